@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, lengths, mixing
+from tidewater.llm import bpe, lengths, mixing, urls, warc
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": urls.op1_url_filter,
+        "op2_warc": warc.op2_warc,
         "op6_length_histogram": lengths.op6_length_histogram,
         "op7_bpe": bpe.op7_bpe,
         "op10_mixing": mixing.op10_mixing,
@@ -14,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return mixing.ORACLE_SQL
+    return urls.ORACLE_SQL | warc.ORACLE_SQL | mixing.ORACLE_SQL
