@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, lengths, mixing, urls, vectors, warc
+from tidewater.llm import bpe, lengths, mixing, perplexity, urls, vectors, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_url_filter": urls.op1_url_filter,
         "op2_warc": warc.op2_warc,
         "op3_nearest": vectors.op3_nearest,
+        "op4_quality": perplexity.op4_quality,
         "op6_length_histogram": lengths.op6_length_histogram,
         "op7_bpe": bpe.op7_bpe,
         "op10_mixing": mixing.op10_mixing,
