@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, lengths, mixing, perplexity, urls, vectors, warc
+from tidewater.llm import bpe, interpolation, lengths, mixing, perplexity, urls, vectors, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_quality": perplexity.op4_quality,
         "op6_length_histogram": lengths.op6_length_histogram,
         "op7_bpe": bpe.op7_bpe,
+        "op8_interpolation": interpolation.op8_interpolation,
         "op10_mixing": mixing.op10_mixing,
     }
 
