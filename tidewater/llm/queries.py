@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, interpolation, lengths, mixing, perplexity, urls, vectors, warc
+from tidewater.llm import bpe, interpolation, jaccard, lengths, mixing, perplexity, urls, vectors, warc
 
 
 def queries() -> dict:
@@ -14,9 +14,10 @@ def queries() -> dict:
         "op6_length_histogram": lengths.op6_length_histogram,
         "op7_bpe": bpe.op7_bpe,
         "op8_interpolation": interpolation.op8_interpolation,
+        "op9_jaccard": jaccard.op9_jaccard,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return urls.ORACLE_SQL | warc.ORACLE_SQL | mixing.ORACLE_SQL
+    return urls.ORACLE_SQL | warc.ORACLE_SQL | jaccard.ORACLE_SQL | mixing.ORACLE_SQL
