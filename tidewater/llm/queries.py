@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, interpolation, jaccard, lengths, mixing, perplexity, urls, vectors, warc
+from tidewater.llm import bpe, interpolation, jaccard, lengths, mixing, perplexity, substrings, urls, vectors, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_warc": warc.op2_warc,
         "op3_nearest": vectors.op3_nearest,
         "op4_quality": perplexity.op4_quality,
+        "op5_substrings": substrings.op5_substrings,
         "op6_length_histogram": lengths.op6_length_histogram,
         "op7_bpe": bpe.op7_bpe,
         "op8_interpolation": interpolation.op8_interpolation,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return urls.ORACLE_SQL | warc.ORACLE_SQL | jaccard.ORACLE_SQL | mixing.ORACLE_SQL
+    return urls.ORACLE_SQL | warc.ORACLE_SQL | substrings.ORACLE_SQL | jaccard.ORACLE_SQL | mixing.ORACLE_SQL
