@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.store import keep
@@ -34,6 +35,17 @@ def among(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def passing(spark: SparkSession, words: np.ndarray):
+    """A column function of hashes: whether each may be in the filter. Only the hashes go to Python."""
+    sent = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(among(sent.value, keys.to_numpy(np.int64).view(np.uint64)))
+
+    return test
+
+
 def components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """node and component (its least node) of every node of links (x, y), by large and small stars.
 

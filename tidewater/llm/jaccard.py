@@ -27,8 +27,8 @@ change nothing in them.
 
 Edge cases: texts with fewer than WORDS words are one shingle, the sequence of
 all; without words a document has no shingle and links with nothing; repeated
-rows link by equal sets; a null doc_id is no candidate for a component's name
-unless alone; equal counts go to the lesser hash; an empty table gives no rows;
+rows link by equal sets; rows with a null doc_id link by equal sets alone, and
+their id names no component; equal counts go to the lesser hash; an empty table gives no rows;
 extra columns are ignored. Hashes have 64 bits; see README.
 """
 
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.graph import among, components, filter_of
+from tidewater.llm.graph import among, components, filter_of, passing
 from tidewater.llm.store import bounded_batches, keep, table
 from tidewater.llm.words import U, Words, _mix, grams, signed
 
@@ -95,8 +95,8 @@ def _columns(*arrays, names):
 
 
 def shapes(docs: DataFrame) -> DataFrame:
-    """doc_id, class and n of each document (said null), and shingles met often in a task (said their count)."""
-    names = ["doc_id", "class", "n", "said"]
+    """doc_id, key of the text, class and n of each document (said null), and shingles met often in a task (said their count)."""
+    names = ["doc_id", "key", "class", "n", "said"]
 
     def run(batches):
         held, size, known = [], 0, set()
@@ -105,13 +105,13 @@ def shapes(docs: DataFrame) -> DataFrame:
             key, n = _count(np.concatenate(held)) if held else (np.zeros(0, U), np.zeros(0, np.int64))
             key, n = key[n >= HOT_LOCAL], n[n >= HOT_LOCAL]
             empty = pa.nulls(len(key), pa.int64())
-            return _columns(empty, signed(key), pa.nulls(len(key), pa.int32()), n.astype(np.int64), names=names)
+            return _columns(empty, empty, signed(key), pa.nulls(len(key), pa.int32()), n.astype(np.int64), names=names)
 
         for batch in batches:
             sets = shingles(batch.column(1))
             ids = [class_of(s) for s in sets]
             n = np.fromiter(map(len, sets), np.int32, len(sets))
-            yield _columns(batch.column(0), np.array(ids, np.int64), n, pa.nulls(len(sets), pa.int64()), names=names)
+            yield _columns(batch.column(0), batch.column(2), np.array(ids, np.int64), n, pa.nulls(len(sets), pa.int64()), names=names)
             for c, s in zip(ids, sets, strict=True):
                 if c not in known and len(s):
                     known.add(c)
@@ -123,7 +123,7 @@ def shapes(docs: DataFrame) -> DataFrame:
         yield often()
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, class long, n int, said long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).mapInArrow(run, "doc_id long, key long, class long, n int, said long")
 
 
 class Order:
@@ -307,7 +307,7 @@ def join(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id, class, copies for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     said = keep(shapes(docs), "jaccard-shapes")
-    rows = said.filter("n is not null").select("doc_id", "class", "n")
+    rows = said.filter("n is not null").select("doc_id", "key", "class", "n")
     often = said.filter("n is null").groupBy("class").agg(F.sum("said").alias("df")).filter(F.col("df") >= HOT_LEAST).orderBy(F.desc("df"), "class").limit(hot).toArrow()
     order = spark.sparkContext.broadcast(Order(often.column("class").to_numpy().astype(np.int64).view(U), often.column("df").to_numpy()))
     classes = keep(rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "jaccard-classes")
@@ -329,10 +329,32 @@ def join(docs: DataFrame, hot: int = HOT) -> DataFrame:
     parts = keep(components(links.unionByName(more), "jaccard-second"), "jaccard-parts")
     named = classes.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "component").select("class", "copies", "component_id")
+    named = named.join(names, "component").select("class", "copies", "component_id", "component")
     out = rows.join(named, "class", "left")
     alone = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, alone).otherwise(F.col("doc_id")).alias("component_id"), "class", F.coalesce("copies", F.lit(1)).alias("copies"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, alone).otherwise(F.col("doc_id")).alias("component_id"), "class", F.coalesce("copies", F.lit(1)).alias("copies"), F.when(F.col("n") > 0, F.col("component")).alias("group"), "key")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without all but one row (the least doc_id) of each group; rows without words stay.
+
+    Rows that go, and repeated rows, are looked up in a filter first, so that the
+    others' texts are not shuffled; what the filter lets pass by mistake is joined too.
+    """
+    row = F.xxhash64("doc_id", "key")
+    found = keep(join(docs).withColumn("row", row), "jaccard-groups")
+    stay = found.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("s")).select("group", F.col("s.row").alias("stays"))
+    stay = keep(stay, "jaccard-stay")
+    gone = found.filter("n_shingles > 0").join(stay, "group").filter("row <> stays").select("row")
+    twice = found.filter("n_shingles > 0").groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row")
+    test = passing(docs.sparkSession, filter_of(gone.unionByName(twice).select(F.xxhash64("row").alias("key"))))
+    own = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    asked = test(F.xxhash64("_row"))
+    safe = own.filter(~asked)
+    wordless = found.filter("n_shingles = 0").select(F.col("row").alias("_row")).distinct()
+    checked = own.filter(asked)
+    once = checked.join(stay.select(F.col("stays").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"])
+    return safe.unionByName(once).unionByName(checked.join(wordless, "_row", "left_semi")).drop("_row")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.graph import among, filter_of
+from tidewater.llm.graph import among, filter_of, passing
 from tidewater.llm.store import bounded_batches, keep, table
 from tidewater.llm.words import _MULT, U, Words, _mix, grams, signed
 
@@ -253,12 +253,16 @@ def strip(docs: DataFrame, texts: bool = True) -> DataFrame:
     own = own.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_key", F.xxhash64("doc_id", "text"))
     cut = spans(own.select("text", "_doc", "_key"))
     cut = keep(cut.groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("_cut")), "repeats-by-text")
-    if not texts:
-        # texts that lose nothing are digested where they are read and not shuffled
-        words = docs.sparkSession.sparkContext.broadcast(filter_of(cut.select(F.expr("xxhash64(key)").alias("key"))))
-        own = _digest_first(own.withColumn("_test", F.xxhash64("_key")), words)
+    # texts that lose nothing are digested where they are read and not shuffled
+    words = filter_of(cut.select(F.expr("xxhash64(key)").alias("key")))
+    if texts:
+        test = passing(docs.sparkSession, words)(F.xxhash64("_key"))
+        clean = own.filter(~test).drop("_doc", "_key").withColumn("_cut", F.lit(None).cast("array<struct<start:int,words:int>>"))
+        own = own.filter(test)
+    else:
+        own = _digest_first(own.withColumn("_test", F.xxhash64("_key")), docs.sparkSession.sparkContext.broadcast(words))
     joined = own.join(cut.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "_cut"), ["_doc", "_key"], "left").drop("_doc", "_key")
-    return _finish(joined, texts)
+    return _finish(joined.unionByName(clean) if texts else joined, texts)
 
 
 def _told(raw: bytes) -> tuple[int, str]:
