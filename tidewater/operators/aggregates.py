@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import scalars as S
 
 
-def hourly(events: DataFrame, ts: str, completed: Column, size: str, speed: str | None = None, round_to: int = 4) -> DataFrame:
+def hourly(events: DataFrame, ts: str, completed: Column, size: str, speed: str | None = None, round_to: int = 8) -> DataFrame:
     """For each hour with events, completions, their bytes and mean speed; hours without completions give 0."""
     speed = speed or size
     pick = lambda c: F.when(completed, F.col(c))
@@ -28,14 +28,14 @@ def counted_by(df: DataFrame, keys: Sequence[str], tests: dict[str, Column], *mo
 
 def status_histogram(df: DataFrame, key: str, status: str, values: Sequence[str], size: str, progress: str) -> DataFrame:
     """Rows by status with a column for each value, bytes and bytes done. One pass, no pivot job."""
-    return counted_by(df, [key], {v: F.col(status) == v for v in values}, F.round(F.sum(size), 2).alias("total_size"), F.round(F.sum(F.col(size) * F.col(progress) / 100), 2).alias("done_size"))
+    return counted_by(df, [key], {v: F.col(status) == v for v in values}, F.round(F.sum(size), 2).alias("total_size"), F.round(F.sum(F.col(size) * F.col(progress) / 100), 4).alias("done_size"))
 
 
 def user_rollup(events: DataFrame, user: str, completed: Column, added: Column, uploaded: Column, value: str) -> DataFrame:
     """Bytes both ways, completions, additions, mean speed, and down / up (0 without uploads)."""
     down = F.coalesce(F.sum(F.when(completed, F.col(value))), F.lit(0.0))
     up = F.coalesce(F.sum(F.when(uploaded, F.col(value))), F.lit(0.0))
-    out = events.groupBy(user).agg(down.alias("_down"), up.alias("_up"), F.count_if(completed).alias("completed"), F.count_if(added).alias("added"), F.round(F.coalesce(F.avg(F.when(completed, F.col(value))), F.lit(0.0)), 4).alias("average_speed"))
+    out = events.groupBy(user).agg(down.alias("_down"), up.alias("_up"), F.count_if(completed).alias("completed"), F.count_if(added).alias("added"), F.round(F.coalesce(F.avg(F.when(completed, F.col(value))), F.lit(0.0)), 8).alias("average_speed"))
     return out.select(user, F.round("_down", 2).alias("downloaded"), F.round("_up", 2).alias("uploaded"), "completed", "added", "average_speed", F.round(S.ratio("_down", "_up"), 6).alias("down_per_up"))
 
 

@@ -239,7 +239,7 @@ def deleted(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def set_where(rows: DataFrame, column: str, value, test: Column) -> DataFrame:
     """Rows with value in column where test holds; changed marks them."""
     hit = F.coalesce(test, F.lit(False))
-    return rows.withColumn(column, F.when(hit, F.lit(value)).otherwise(F.col(column))).withColumn("changed", hit)
+    return rows.withColumn("changed", hit).withColumn(column, F.when(F.col("changed"), F.lit(value)).otherwise(F.col(column)))
 
 
 def changed_keys(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 from tidewater.functions import scalars as S
 
 
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def _seconds(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+    return _micros(ts) / 1e6
 
 
 def trailing_speed(df: DataFrame, keys: Sequence[str], ts: str, value: str, seconds: float, round_to: int = 4) -> DataFrame:
     """Bytes of the last seconds over the time since the first of them; 0 without duration."""
-    out = df.withColumn("_at", _seconds(ts))
-    w = W.partitionBy(*keys).orderBy("_at").rangeBetween(-seconds, 0)
-    span = F.col("_at") - F.min("_at").over(w)
+    out = df.withColumn("_at", _micros(ts))
+    w = W.partitionBy(*keys).orderBy("_at").rangeBetween(-int(seconds * 1e6), 0)
+    span = (F.col("_at") - F.min("_at").over(w)) / 1e6
     return out.withColumn("speed", F.round(F.when(span > 0, F.sum(value).over(w) / span).otherwise(0.0), round_to)).drop("_at")
 
 
@@ -46,13 +50,13 @@ def last_n(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataFr
 def mean_of_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int = 100) -> DataFrame:
     """Mean of the last n values up to each row."""
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)
-    return df.withColumn("mean", F.round(F.avg(value).over(w), 6))
+    return df.withColumn("mean", F.round(F.avg(value).over(w), 10))
 
 
 def strikes(df: DataFrame, keys: Sequence[str], ts: str, strike: Column, seconds: float, most: int) -> DataFrame:
     """E5: strikes within the last seconds and whether they call for a ban."""
-    out = df.withColumn("_at", _seconds(ts))
-    w = W.partitionBy(*keys).orderBy("_at").rangeBetween(-seconds, 0)
+    out = df.withColumn("_at", _micros(ts))
+    w = W.partitionBy(*keys).orderBy("_at").rangeBetween(-int(seconds * 1e6), 0)
     return out.withColumn("strikes", F.sum(F.when(strike, 1).otherwise(0)).over(w)).withColumn("banned", F.col("strikes") >= most).drop("_at")
 
 
