@@ -9,8 +9,8 @@ rejected URLs (those a rule decides), interpolated over context lengths
 below order 0 uniform over the characters seen and one more. A URL's score is
 ln p_accepted - ln p_rejected, summed over its characters and its end, divided
 by their number. The threshold is calibrated on held-out URLs that rules
-decide (by a digest, 3 of 16): the edge of a score bin with the least sum of
-the two error rates, the lowest such edge among equals.
+decide (by a digest, 3 of 16): where the sum of the two error rates is least, in the
+middle of the gap between the scores on either side, the lowest such gap.
 
 All of it is DataFrame operations. Every position of a URL gives one gram of
 ORDER + 1 characters; lower orders are sums over grams with the same ending, so
@@ -112,10 +112,10 @@ def threshold(scored: DataFrame) -> float | None:
     bins = scored.groupBy(place.alias("bin")).agg(F.sum(F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)).alias("b"))
     below = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy()
-    wrong = bins.select("bin", F.coalesce(F.sum("a").over(below), F.lit(0)).alias("lost"), F.coalesce(F.sum("b").over(below), F.lit(0)).alias("caught"), F.sum("a").over(every).alias("all_a"), F.sum("b").over(every).alias("all_b"))
+    wrong = bins.filter("a + b > 0").select("bin", F.lag("bin").over(W.orderBy("bin")).alias("last"), F.coalesce(F.sum("a").over(below), F.lit(0)).alias("lost"), F.coalesce(F.sum("b").over(below), F.lit(0)).alias("caught"), F.sum("a").over(every).alias("all_a"), F.sum("b").over(every).alias("all_b"))
     wrong = wrong.filter("all_a > 0 and all_b > 0").withColumn("errors", F.round(F.col("lost") / F.col("all_a") + 1 - F.col("caught") / F.col("all_b"), 9))
-    best = wrong.orderBy("errors", "bin").select("bin").first()
-    return None if best is None else best.bin * BIN
+    best = wrong.orderBy("errors", "bin").select((F.coalesce(F.col("last") + 1, "bin") + F.col("bin")).alias("twice")).first()
+    return None if best is None else best.twice * BIN / 2
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, order: int = ORDER) -> DataFrame:
@@ -176,10 +176,10 @@ p{n} AS (SELECT gram, CASE WHEN na > 0 THEN (g.a + ta * pa) / (na + ta) ELSE pa
         last = f"p{n}"
     return out + f""",
 s AS (SELECT text, round(sum(ln(pa) - ln(pr)) / count(*), 6) AS score FROM e JOIN {last} USING (gram) GROUP BY text),
-v AS (SELECT floor(greatest(-{LIMIT}, least({LIMIT}, score)) / {BIN})::INT AS bin, sum(allow) AS a, sum(block) AS b FROM t JOIN s USING (text) WHERE held GROUP BY 1),
-w AS (SELECT bin, round(coalesce(sum(a) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(a) OVER () + 1
+v AS (SELECT floor(greatest(-{LIMIT}, least({LIMIT}, score)) / {BIN})::INT AS bin, sum(allow) AS a, sum(block) AS b FROM t JOIN s USING (text) WHERE held AND allow + block > 0 GROUP BY 1),
+w AS (SELECT bin, coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin) + bin AS twice, round(coalesce(sum(a) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(a) OVER () + 1
   - coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(b) OVER (), 9) AS errors FROM v),
-z AS (SELECT bin * {BIN}::DOUBLE AS edge FROM w ORDER BY errors, bin LIMIT 1)
+z AS (SELECT twice * {BIN}::DOUBLE / 2 AS edge FROM w ORDER BY errors, bin LIMIT 1)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score >= edge THEN 'allow' ELSE 'block' END) AS verdict, score FROM b JOIN s USING (text) CROSS JOIN z
 """
 

@@ -108,10 +108,14 @@ class MultiIndex:
                     heapq.heappush(heap, (sa[p] + sb[q], p, q))
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def _scaled(vectors: pd.Series) -> np.ndarray:
+    """Vectors times powers of two, which no rounding follows: squares neither overflow nor vanish, cosines stay."""
     x = np.array(vectors.tolist(), np.float64)
-    # scaled by the largest component first: no overflow or underflow in the squares
-    x /= np.abs(x).max(1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = _scaled(vectors)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -173,11 +177,11 @@ def search(rows: DataFrame, asked: Column, key: str = "vec_id", vector: str = "e
         """left: queries of a block, right: its entries."""
         found = []
         if len(left) and len(right):
-            x, ids = np.array(right["v"].tolist()), right["ids"].tolist()
+            x, ids = _scaled(right["v"]), right["ids"].tolist()
             xn = np.linalg.norm(x, axis=1)
             first = np.array([i[0] for i in ids])
             for lo in range(0, len(left), 256):
-                q = np.array(left["v"].iloc[lo : lo + 256].tolist())
+                q = _scaled(left["v"].iloc[lo : lo + 256])
                 s = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * xn)
                 for i, query in enumerate(left["query"].iloc[lo : lo + 256]):
                     n = min(k + 1, len(ids))
