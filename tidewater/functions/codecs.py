@@ -104,7 +104,7 @@ def plain(value: Any) -> Any:
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def bencode_to_json(data: pd.Series) -> pd.Series:
     """L1 as a column: JSON of a bencoded binary, null if malformed."""
 
@@ -117,7 +117,7 @@ def bencode_to_json(data: pd.Series) -> pd.Series:
     return data.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def json_to_bencode(text: pd.Series) -> pd.Series:
     """L2 as a column: bencoding of JSON text, null where it has none."""
 
@@ -135,7 +135,7 @@ def json_to_bencode(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base32_hex(text: pd.Series) -> pd.Series:
     """Lower-case hex of base32 text without padding; bits that fill no byte are dropped."""
 
@@ -143,15 +143,17 @@ def base32_hex(text: pd.Series) -> pd.Series:
         if x is None:
             return None
         body = x.upper().rstrip("=")
+        # 1, 3 and 6 letters too many hold no whole byte: the last one is dropped
+        body = body[: len(body) - (len(body) % 8 in (1, 3, 6))]
         try:
-            return base64.b32decode(body[: len(body) - (0 if len(body) % 8 in (0, 2, 4, 5, 7) else 1)] + "=" * (-len(body) % 8)).hex() if len(body) % 8 in (0, 2, 4, 5, 7) else None
+            return base64.b32decode(body + "=" * (-len(body) % 8)).hex()
         except ValueError:
             return None
 
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def hex_base32(text: pd.Series) -> pd.Series:
     """base32 text, without padding, of hex."""
     return text.map(lambda x: None if x is None else base64.b32encode(bytes.fromhex(x)).decode().rstrip("="))
