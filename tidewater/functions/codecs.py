@@ -271,3 +271,10 @@ class ReadValues:
                 return
             yield i, at
             i += 1
+
+
+def artifact_magnet(a: Column) -> Column:
+    """The link of a record that read_artifact gave."""
+    from tidewater.functions.scalars import magnet_link
+
+    return magnet_link(a["info_hash"], a["name"], a["trackers"])

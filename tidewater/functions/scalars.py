@@ -450,3 +450,8 @@ def magnet_link(info_hash: C, name: C, trackers: C) -> Column:
     label = F.when(F.coalesce(_c(name), F.lit("")) != "", F.concat(F.lit("&dn="), _quoted(_c(name)))).otherwise("")
     listed = F.array_join(F.transform(F.coalesce(_c(trackers), F.array().cast("array<string>")), lambda t: F.concat(F.lit("&tr="), _quoted(t))), "")
     return F.concat(head, label, listed)
+
+
+def metadata_progress(received: C, size: C) -> Column:
+    """Received parts over all parts of 16 KiB, 0 while the size is unknown."""
+    return ratio(_c(received), F.ceil(zero(size) / BLOCK))

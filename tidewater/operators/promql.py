@@ -43,3 +43,9 @@ def histogram_quantile(buckets: DataFrame, by: Sequence[str], q: float) -> DataF
     hit = out.filter((F.col("n") >= F.col("rank")) & (F.col("below") < F.col("rank")))
     inside = F.col("low") + (F.col("le") - F.col("low")) * (F.col("rank") - F.col("below")) / (F.col("n") - F.col("below"))
     return hit.select(*by, F.round(F.coalesce(inside, F.col("low")), 6).alias("quantile"))
+
+
+def gauges(df: DataFrame, labels: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """One row a gauge in long form from a row of values with labels."""
+    rows = F.array(*(F.struct(F.lit(name).alias("name"), F.col(c).cast("double").alias("value")) for name, c in values.items()))
+    return df.select(*labels, F.explode(rows).alias("m")).select(*labels, "m.name", "m.value")

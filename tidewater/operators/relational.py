@@ -255,3 +255,30 @@ def get_or_create(wanted: DataFrame, users: DataFrame) -> DataFrame:
     by_mail = users.select("email", F.col("id").alias("_by_mail"))
     out = wanted.join(by_id, "google_id", "left").join(by_mail, "email", "left")
     return out.select("google_id", "email", F.coalesce("_by_id", "_by_mail").alias("id"), F.coalesce("_by_id", "_by_mail").isNull().alias("created"))
+
+
+def registry(log: DataFrame, keys: Sequence[str], seen: str, now: Column, seconds: int) -> DataFrame:
+    """Entries of a registry: the latest row of each key that has not expired."""
+    return fresh(latest(log, keys, [seen]), seen, now, seconds)
+
+
+def queue_state(changes: DataFrame, key: str, order: Sequence[str], action: str) -> DataFrame:
+    """M4: where each item of a queue stands after a log of add, start, pause, priority and remove.
+
+    Starting raises the priority to high; an item whose last change removes it is gone.
+    """
+    last = changes.groupBy(key).agg(
+        F.max_by(action, F.struct(*order)).alias("last"),
+        F.max_by(F.when(F.col(action) == "start", "high").otherwise(F.col("priority")), F.when(F.col(action).isin("add", "start", "priority"), F.struct(*order))).alias("priority"),
+        F.max_by(action, F.when(F.col(action).isin("add", "start", "pause"), F.struct(*order))).alias("moved"),
+    )
+    state = F.when(F.col("moved") == "start", "active").when(F.col("moved") == "pause", "paused").otherwise("queued")
+    return last.filter("last <> 'remove'").select(key, state.alias("state"), "priority")
+
+
+def problem_pieces(attempts: DataFrame, keys: Sequence[str], order: Sequence[str], ok: Column, most: int = 10) -> DataFrame:
+    """Failures of each piece since its last success, the peers that failed, and whether that makes it a problem."""
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(0, W.unboundedFollowing)
+    later = attempts.withColumn("_ok", ok).withColumn("_after", F.sum(F.col("_ok").cast("int")).over(w)).filter("_after = 0")
+    out = later.groupBy(*keys).agg(F.count("*").alias("failures"), F.count_distinct("peer").alias("peers"))
+    return out.withColumn("problem", F.col("failures") >= most)

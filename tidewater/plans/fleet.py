@@ -9,6 +9,7 @@ Times leave as text, so that both engines show them alike.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
@@ -725,3 +726,87 @@ def download_eligible(t):
 def readiness(t):
     ok = F.col("s_acctbal") > -1000
     return t.supplier.agg(F.bool_and(ok).alias("ready"), F.count_if(~ok).alias("failing"))
+
+
+@query("A26 B11 E13", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND ts >= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR")
+def live_registry(t):
+    newest = t.events.agg(F.max("ts").alias("m")).first().m
+    log = t.events.select("user_id", "event_id", F.struct("ts", "event_id").alias("seen"), "ts")
+    kept = R.latest(log, ["user_id"], ["seen"])
+    return R.fresh(kept, "ts", F.lit(newest).cast("timestamp_ntz"), 12 * 3600).select("user_id", "event_id")
+
+
+@query("M4 B3", """WITH a AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'add' WHEN 'view' THEN 'start' WHEN 'click' THEN 'pause' WHEN 'error' THEN 'remove' ELSE 'priority' END AS action, CASE WHEN event_id % 2 = 0 THEN 'low' ELSE 'normal' END AS priority FROM events)
+SELECT user_id, CASE arg_max(action, (ts, event_id)) FILTER (action IN ('add', 'start', 'pause')) WHEN 'start' THEN 'active' WHEN 'pause' THEN 'paused' ELSE 'queued' END AS state,
+arg_max(CASE WHEN action = 'start' THEN 'high' ELSE priority END, (ts, event_id)) FILTER (action IN ('add', 'start', 'priority')) AS priority FROM a GROUP BY 1 HAVING arg_max(action, (ts, event_id)) <> 'remove'""")
+def queue_after_changes(t):
+    names = {"signup": "add", "view": "start", "click": "pause", "error": "remove"}
+    action = F.lit("priority")
+    for kind, name in names.items():
+        action = F.when(is_type(kind), name).otherwise(action)
+    log = t.events.select("user_id", "ts", "event_id", action.alias("action"), F.when(F.col("event_id") % 2 == 0, "low").otherwise("normal").alias("priority"))
+    return R.queue_state(log, "user_id", ["ts", "event_id"], "action")
+
+
+@query("I20", """WITH s AS (SELECT user_id, event_id, event_type, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM events)
+SELECT user_id, count(*) AS failures, count(DISTINCT event_id % 3) AS peers, count(*) >= 2 AS problem FROM s WHERE after = 0 GROUP BY 1""")
+def problem_pieces(t):
+    rows = t.events.withColumn("peer", F.col("event_id") % 3)
+    return R.problem_pieces(rows, ["user_id"], ["ts", "event_id"], ~is_type("error"), most=2)
+
+
+@query("A22 M30", "SELECT event_type, 'events' AS name, count(*)::DOUBLE AS value FROM events GROUP BY 1 UNION ALL SELECT event_type, 'largest', max(value) FROM events GROUP BY 1")
+def gauge_rows(t):
+    rows = t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("most"))
+    return P.gauges(rows, ["event_type"], {"events": "n", "largest": "most"})
+
+
+@query("M21", "SELECT doc_id, CASE WHEN ceil(n_chars / 16384) > 0 THEN 1 / ceil(n_chars / 16384) ELSE 0 END AS progress FROM documents")
+def metadata_progress(t):
+    return t.documents.select("doc_id", S.metadata_progress(F.lit(1), "n_chars").alias("progress"))
+
+
+@query("L1 L2 L3 L4 M28 H10 H43")
+def artifact_links(t):
+    """Names and links of metadata files built from the part table's names; bencoding has no SQL."""
+    from tidewater.functions import codecs as K
+
+    @F.pandas_udf("binary")
+    def build(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: K.build_artifact(n, n.encode() * 10, 16, ["http://a.example.net", "http://b.example.net"]))
+
+    rows = t.part.select("p_partkey", K.read_artifact(build("p_name")).alias("a"))
+    return rows.select("p_partkey", "a.info_hash", F.size("a.pieces").alias("pieces"), K.artifact_magnet(F.col("a")).alias("link"))
+
+
+@query("A17 A19 M13")
+def chunk_store(t):
+    """Pieces of all documents by content: hash, copies and length; each content once (hex digests of 4 KiB pieces)."""
+    from tidewater.sources import content
+
+    rows = t.documents.select("doc_id", F.col("text").cast("binary").alias("data"))
+    pieces = content.pieces(rows, "data", 4096)
+    return pieces.groupBy(F.sha2("bytes", 256).alias("sha256")).agg(F.count("*").alias("copies"), F.max(F.octet_length("bytes")).alias("length"))
+
+
+@query("A4 A5 M1 A7 A11")
+def decoded_facts(t):
+    """events as JSON messages and back: completions as facts."""
+    from tidewater.sources import events as source
+
+    body = F.to_json(F.struct(F.col("event_type").alias("name"), F.col("event_id").alias("size"), F.col("value").alias("averageSpeed")))
+    kind = F.when(is_type("purchase"), "torrent:completed").when(is_type("signup"), "torrent:added").when(is_type("error"), "bad")
+    rows = t.events.select(kind.alias("type"), F.sha1(F.col("user_id").cast("string").cast("binary")).alias("infoHash"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("user_id").cast("string").alias("userId"), body.alias("data"))
+    good = source.accepted(source.decoded(source.messages(rows, "infoHash", "torrent-events")))
+    return source.facts(good)["torrent_completions"].select("info_hash", "user_id", "size", F.round("average_speed", 4).alias("average_speed"))
+
+
+@query("J1")
+def iterative_lookup(t):
+    """Nearest nodes found by asking neighbours; an iteration has no SQL."""
+    node = lambda c: S.sha1_hex(c.cast("string"))
+    steps = F.explode(F.array(*(F.lit(s) for s in (1, 2, 5, 11, 23, 47, 97))))
+    rows = t.customer.select("c_custkey", steps.alias("s"))
+    edges = rows.select(node(F.col("c_custkey")).alias("id"), node(F.col("c_custkey") % 150 + F.col("s")).alias("neighbour"))
+    start = t.customer.filter("c_custkey = 1").select(node(F.col("c_custkey")).alias("id"))
+    return M.lookup(edges, start, TARGET)
