@@ -810,3 +810,106 @@ def iterative_lookup(t):
     edges = rows.select(node(F.col("c_custkey")).alias("id"), node(F.col("c_custkey") % 150 + F.col("s")).alias("neighbour"))
     start = t.customer.filter("c_custkey = 1").select(node(F.col("c_custkey")).alias("id"))
     return M.lookup(edges, start, TARGET)
+
+
+# -- messages, codecs and streams ---------------------------------------------
+
+
+@query("A6 I1", "SELECT CASE event_type WHEN 'purchase' THEN 'TRANSFER_COMPLETED' WHEN 'signup' THEN 'JOB_ASSIGNED' WHEN 'error' THEN 'TRANSFER_FAILED' ELSE 'TRANSFER_PROGRESS' END AS type, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY 1")
+def directive_counts(t):
+    from tidewater.sources import events as source
+
+    kind = F.when(is_type("purchase"), "TRANSFER_COMPLETED").when(is_type("signup"), "JOB_ASSIGNED").when(is_type("error"), "TRANSFER_FAILED").when(is_type("view"), "TRANSFER_PROGRESS").otherwise("NOISE")
+    rows = t.events.select(F.to_json(F.struct(kind.alias("type"), F.lit("{}").alias("payload"), F.col("event_id").alias("timestamp"))).alias("value"))
+    return source.directives(rows).filter("problem is null").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("A8 A9 A12 A13", "SELECT event_type AS topic, count(*) AS messages, count(DISTINCT user_id) AS keys FROM events GROUP BY 1")
+def messages_by_topic(t):
+    from tidewater.sources import events as source
+
+    out = source.messages(t.events.withColumn("topic", F.col("event_type")), "user_id")
+    return out.groupBy("topic").agg(F.count("*").alias("messages"), F.count_distinct("key").alias("keys"))
+
+
+@query("A15 A16", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def state_documents(t):
+    from tidewater.sources import events as source
+
+    return source.imported(source.exported(t.nation), "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("D11 B9", f"WITH {CHUNKS_SQL} SELECT l_orderkey, count(*) AS files, count(*) FILTER (quantity > 25) AS selected FROM c GROUP BY 1")
+def selected_files(t):
+    return A.counted_by(chunks(t), ["l_orderkey"], {"selected": F.col("quantity") > 25}).withColumnRenamed("total", "files")
+
+
+@query("H11 H12", "SELECT p_partkey, sha1(p_name) AS info_hash FROM part")
+def base32_topics(t):
+    from tidewater.functions import codecs as K
+
+    rows = t.part.select("p_partkey", K.hex_base32(S.sha1_hex("p_name")).alias("topic"))
+    return rows.select("p_partkey", K.info_hash(F.col("topic")).alias("info_hash"))
+
+
+@query("H18 H19", "SELECT c_custkey, sha1(c_name) AS id, '10.1.' || (c_custkey % 200) || '.7' AS ip, (1 + c_custkey % 60000)::INT AS port FROM customer")
+def node_addresses(t):
+    key = F.col("c_custkey")
+    data = F.unhex(F.concat(S.sha1_hex("c_name"), F.hex(S.encode_peer(F.concat(F.lit("10.1."), (key % 200).cast("string"), F.lit(".7")), 1 + key % 60000))))
+    rows = t.customer.select("c_custkey", F.get(S.compact_nodes(data), 0).alias("n"))
+    kept = S.listed_peers(F.array(F.struct("n.ip", "n.port")))
+    return rows.select("c_custkey", "n.id", F.get(kept, 0)["ip"].alias("ip"), F.get(kept, 0)["port"].alias("port"))
+
+
+@query("H44 M13", "SELECT doc_id, sha1(text) AS sha1 FROM documents WHERE strlen(text) > 0")
+def reassembled(t):
+    from tidewater.sources import content
+
+    rows = t.documents.select("doc_id", F.col("text").cast("binary").alias("data"))
+    parts = content.pieces(rows, "data", 16384).select("doc_id", (F.col("piece") * 16384).alias("offset"), F.col("bytes").alias("data"), F.col("piece").alias("seq"))
+    return content.assembled(parts, "doc_id").select("doc_id", "sha1")
+
+
+@query("H45", "SELECT n_nationkey, n_nationkey % 2 = 0 AS extended FROM nation")
+def extension_flags(t):
+    reserved = F.unhex(F.concat(F.lit("0000000000"), F.when(F.col("n_nationkey") % 2 == 0, "10").otherwise("00"), F.lit("0000")))
+    return t.nation.select("n_nationkey", S.extension_bit(reserved).alias("extended"))
+
+
+@query("I18 A23", "SELECT event_id, s_suppkey FROM events JOIN (SELECT s_suppkey, s_nationkey FROM supplier) ON s_nationkey = user_id % 25")
+def fanned_out(t):
+    subscribers = t.supplier.select("s_suppkey", F.col("s_nationkey").cast("long").alias("room"))
+    return T.fan_out(t.events.withColumn("room", F.col("user_id") % 25), subscribers, "room").select("event_id", "s_suppkey")
+
+
+@query("J3", f"""WITH b AS (SELECT c_custkey, {BUCKET_SQL} AS bucket FROM (SELECT c_custkey, {XOR_SQL} FROM (SELECT c_custkey, sha1(c_custkey::VARCHAR) AS id FROM customer))), u AS (SELECT bucket, max(c_custkey) AS seen FROM b GROUP BY 1)
+SELECT coalesce(u.bucket, f.i::INT) AS bucket FROM u FULL JOIN range(155, 160) f(i) ON f.i = u.bucket WHERE seen IS NULL OR 2000 - seen > 900""")
+def buckets_to_refresh(t):
+    nodes = t.customer.select(S.sha1_hex(F.col("c_custkey").cast("string")).alias("id"), F.timestamp_seconds("c_custkey").alias("last_seen"))
+    return M.stale_buckets(M.bucketed(nodes, TARGET), F.timestamp_seconds(F.lit(2000)))
+
+
+@query("J5", f"SELECT id FROM (SELECT c_custkey, id, {BUCKET_SQL} AS bucket FROM (SELECT c_custkey, id, {XOR_SQL} FROM (SELECT c_custkey, sha1(c_custkey::VARCHAR) AS id FROM customer))) WHERE bucket = 158 ORDER BY c_custkey, id LIMIT 1")
+def oldest_in_bucket(t):
+    nodes = t.customer.select(S.sha1_hex(F.col("c_custkey").cast("string")).alias("id"), F.col("c_custkey").alias("last_seen"))
+    return M.oldest(M.bucketed(nodes, TARGET), 158).select("id")
+
+
+def event_stream(t):
+    from tidewater.sources import events as source
+
+    return source.file_stream(t.spark, t.folder, t.events.schema, "events.parquet")
+
+
+@query("I2 I5 A3 A10", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) FILTER (event_type = 'purchase') AS completions, round(coalesce(sum(value) FILTER (event_type = 'purchase'), 0), 6) AS total_bytes FROM events GROUP BY 1")
+def hourly_stream(t):
+    """The hourly rollup as a stream, run to the present end of its files."""
+    out = T.memory_stream(T.hourly(event_stream(t), "ts", is_type("purchase"), "value"), "hourly_stream", "complete")
+    return out.select(text("hour").alias("hour"), "completions", F.round("total_bytes", 6).alias("total_bytes"))
+
+
+@query("I8 I19 I21", "SELECT count(*) AS requests FROM (SELECT DISTINCT user_id FROM events)")
+def idempotent_stream(t):
+    """First requests of each id, as a stream that remembers them for a year."""
+    out = T.memory_stream(T.first_requests(event_stream(t), "user_id", "ts", "365 days"), "idempotent_stream")
+    return out.agg(F.count("*").alias("requests"))
