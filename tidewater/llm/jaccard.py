@@ -199,6 +199,11 @@ def _close(nx, ny):
     return 5 * np.minimum(nx, ny).astype(np.int64) >= 4 * np.maximum(nx, ny)
 
 
+def _needed(nx, ny):
+    """Least number of common prefix entries with which sets of these sizes can link."""
+    return np.maximum(1, least_overlap(nx, ny) - np.maximum(beyond(nx), beyond(ny)))
+
+
 PAIRS = "s long, x long, y long, nx int, ny int, c long"
 
 
@@ -240,7 +245,11 @@ def stars(posted: DataFrame) -> DataFrame:
 
 
 def across(entries: DataFrame) -> DataFrame:
-    """x, y, nx, ny, c: pairs of different components in each column of entries (s, class, n, component)."""
+    """x, y, nx, ny, c: pairs of different components in each column of entries (s, class, n, component, q).
+
+    q is the number of columns in which a class meets others: no pair has more
+    common columns than either has, so pairs that this rules out are not formed.
+    """
     names = ["x", "y", "nx", "ny", "c"]
     ROOM = 1 << 19
 
@@ -251,13 +260,14 @@ def across(entries: DataFrame) -> DataFrame:
             x, y, nx, ny, k = _summed(*(np.concatenate(p) for p in (x_, y_, nx_, ny_)))
             return _columns(x, y, nx, ny, k, names=names)
 
-        for s, c, n, g in _columns_of(batches, ("s", "class", "n", "component")):
+        for s, c, n, g, q in _columns_of(batches, ("s", "class", "n", "component", "q")):
             first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])).tolist()
             for a, b in zip(first, [*first[1:], len(s)], strict=True):
                 if b - a < 2:
                     continue
                 for i in range(a, b - 1):
-                    j = i + 1 + np.flatnonzero((g[i + 1 : b] != g[i]) & _close(n[i + 1 : b], n[i]))
+                    may = np.minimum(q[i + 1 : b], q[i]) >= _needed(n[i + 1 : b].astype(np.int64), int(n[i]))
+                    j = i + 1 + np.flatnonzero(may & (g[i + 1 : b] != g[i]) & _close(n[i + 1 : b], n[i]))
                     if len(j):
                         x_.append(np.full(len(j), c[i]))
                         y_.append(c[j])
@@ -270,7 +280,7 @@ def across(entries: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    rows = entries.select("s", "class", "n", "component").repartition("s").sortWithinPartitions("s", "class")
+    rows = entries.select("s", "class", "n", "component", "q").repartition("s").sortWithinPartitions("s", "class")
     return rows.mapInArrow(run, "x long, y long, nx int, ny int, c long")
 
 
@@ -314,15 +324,16 @@ def join(docs: DataFrame, hot: int = HOT) -> DataFrame:
     met = keep(stars(postings(docs, order)), "jaccard-columns")
     pivots = met.filter("s is null").groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c"))
     need = F.greatest(F.lit(1), F.expr("(4 * (nx + ny) + 8) div 9 - greatest((4 * nx + 4) div 5, (4 * ny + 4) div 5) + 1"))
-    # these pairs only save work later on: a quarter of the bound and two pivots a row will do
-    worth = pivots.filter(4 * F.col("c") >= need)
+    # these pairs only save work later on: likely ones and two pivots a row will do
+    worth = pivots.filter((4 * F.col("c") >= need) & (45 * F.col("c") >= F.col("nx") + F.col("ny")))
     best = lambda me, it: W.partitionBy(me).orderBy(F.desc("c"), it)
     worth = worth.withColumn("rx", F.row_number().over(best("x", "y"))).withColumn("ry", F.row_number().over(best("y", "x"))).filter("rx <= 2 or ry <= 2")
     links = linked(docs, worth, classes, "first")
     parts = keep(components(links, "jaccard-first"), "jaccard-parts")
     entries = met.filter("s is not null").select("s", F.col("x").alias("class"), F.col("nx").alias("n"))
     entries = entries.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    entries = keep(entries, "jaccard-entries")
+    # the join has dealt entries by class already
+    entries = keep(entries.withColumn("q", F.count("*").over(W.partitionBy("class")).cast("int")), "jaccard-entries")
     split = entries.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("s")
     pairs = across(entries.join(split, "s", "left_semi")).groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c")).filter(F.col("c") >= need)
     more = linked(docs, pairs, classes, "second")
