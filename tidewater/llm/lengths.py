@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.llm import bpe
-from tidewater.llm.store import table
+from tidewater.llm.store import keep, table
 
 BLOCK = 256
 
@@ -34,6 +34,8 @@ def histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
     """
     by = lengths.groupBy(F.coalesce(F.col(length), F.lit(0)).cast("long").alias("length")).agg(F.count("*").alias("n_docs"))
     by = by.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("_block", F.floor(F.col("length") / BLOCK))
+    # a row for each length: written once, so that documents are not encoded again for the blocks
+    by = keep(by, "length-histogram")
     blocks = by.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum("n_tokens").alias("_t"))
     # blocks of blocks: a single ordered window over their sums, length / BLOCK of them
     later = W.orderBy(F.col("_block").desc()).rowsBetween(W.unboundedPreceding, -1)
