@@ -12,8 +12,11 @@ one row (a class). The product of the matrix with its transpose is not formed:
   columns short;
 * a block is a range of columns, sorted by shingle in a task. Its columns give
   overlap counts of pairs, summed in the task before they are shuffled;
-* a pair is discarded if its sizes differ by more than the bound allows, or if
-  its count falls short of what the rest of the two rows cannot make up;
+* a pair is discarded if its sizes differ by more than the bound allows, if the
+  parities of its rows (a bit for each residue of the hash: whether an odd number
+  of entries has it) differ in more bits than linked rows can have entries that
+  only one has, or if its count falls short of what the rest of the two rows
+  cannot make up. Each of these holds for all pairs that link;
 * pairs left are counted exactly on their whole sets.
 
 Groups of near copies would give all their pairs, so it is done in two steps.
@@ -35,6 +38,7 @@ extra columns are ignored. Hashes have 64 bits; see README.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -84,6 +88,61 @@ def class_of(s: np.ndarray) -> int:
     return int(_mix(np.array([int(s.sum(dtype=U)) & (2**64 - 1)], U) ^ U(len(s) * 0x9E3779B97F4A7C15 & (2**64 - 1))).view(np.int64)[0])
 
 
+#: Bits of a row's parities, at least and at most; between them the power of two from its size on.
+LEAST_BITS, MOST_BITS = 64, 4096
+
+
+def parities(s: np.ndarray) -> bytes:
+    """For each residue of the hash modulo a power of two whether an odd number of entries has it, as bits."""
+    m = min(MOST_BITS, max(LEAST_BITS, 1 << (len(s) - 1).bit_length()))
+    odd = np.bincount((s & U(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """Parities of some rows, by width."""
+
+    def __init__(self, bits: list[bytes]):
+        self.width = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
+        self.row = np.zeros(len(bits), np.int64)
+        self.words: dict[tuple[int, int], np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.row[at] = np.arange(len(at))
+            self.words[w, w] = np.frombuffer(b"".join([bits[i] for i in at]), np.uint64).reshape(len(at), w)
+
+    def at(self, width: int, narrow: int) -> np.ndarray:
+        """Rows of a width, folded to a narrower one."""
+        if (width, narrow) not in self.words:
+            wide = self.at(width, narrow * 2)
+            self.words[width, narrow] = wide[:, :narrow] ^ wide[:, narrow:]
+        return self.words[width, narrow]
+
+    def may_link(self, i: int, j: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Whether row i can link with each of the rows j, given the sums of their sizes: 9 |x ^ y| <= |x| + |y|."""
+        out = np.zeros(len(j), bool)
+        wi = int(self.width[i])
+        for wj in np.unique(self.width[j]).tolist():
+            at = np.flatnonzero(self.width[j] == wj)
+            n = min(wi, wj)
+            odd = self.at(wj, n)[self.row[j[at]]] ^ self.at(wi, n)[self.row[i]]
+            out[at] = 9 * np.bitwise_count(odd).sum(1, dtype=np.int64) <= total[at]
+        return out
+
+
+def _may_link_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (x, y, nx, ny and more) that may_link, by a join of each end with its parities."""
+    ends = classes.select("class", "bits")
+    both = pairs.join(ends.select(F.col("class").alias("x"), F.col("bits").alias("bx")), "x").join(ends.select(F.col("class").alias("y"), F.col("bits").alias("by")), "y")
+
+    @F.pandas_udf("boolean")
+    def test(bx: pd.Series, by: pd.Series, total: pd.Series) -> pd.Series:
+        one = np.array([1])
+        return pd.Series([bool(Parities([a, b]).may_link(0, one, np.array([t]))[0]) for a, b, t in zip(bx, by, total, strict=True)])
+
+    return both.filter(test("bx", "by", (F.col("nx") + F.col("ny")).cast("long"))).drop("bx", "by")
+
+
 def _count(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = np.sort(keys)
     edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, int)
@@ -96,7 +155,7 @@ def _columns(*arrays, names):
 
 def shapes(docs: DataFrame) -> DataFrame:
     """doc_id, key of the text, class and n of each document (said null), and shingles met often in a task (said their count)."""
-    names = ["doc_id", "key", "class", "n", "said"]
+    names = ["doc_id", "key", "class", "n", "said", "bits"]
 
     def run(batches):
         held, size, known = [], 0, set()
@@ -105,13 +164,13 @@ def shapes(docs: DataFrame) -> DataFrame:
             key, n = _count(np.concatenate(held)) if held else (np.zeros(0, U), np.zeros(0, np.int64))
             key, n = key[n >= HOT_LOCAL], n[n >= HOT_LOCAL]
             empty = pa.nulls(len(key), pa.int64())
-            return _columns(empty, empty, signed(key), pa.nulls(len(key), pa.int32()), n.astype(np.int64), names=names)
+            return _columns(empty, empty, signed(key), pa.nulls(len(key), pa.int32()), n.astype(np.int64), pa.nulls(len(key), pa.binary()), names=names)
 
         for batch in batches:
             sets = shingles(batch.column(1))
             ids = [class_of(s) for s in sets]
             n = np.fromiter(map(len, sets), np.int32, len(sets))
-            yield _columns(batch.column(0), batch.column(2), np.array(ids, np.int64), n, pa.nulls(len(sets), pa.int64()), names=names)
+            yield _columns(batch.column(0), batch.column(2), np.array(ids, np.int64), n, pa.nulls(len(sets), pa.int64()), pa.array([parities(s) if len(s) else None for s in sets], pa.binary()), names=names)
             for c, s in zip(ids, sets, strict=True):
                 if c not in known and len(s):
                     known.add(c)
@@ -123,7 +182,7 @@ def shapes(docs: DataFrame) -> DataFrame:
         yield often()
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).mapInArrow(run, "doc_id long, key long, class long, n int, said long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).mapInArrow(run, "doc_id long, key long, class long, n int, said long, bits binary")
 
 
 class Order:
@@ -245,7 +304,7 @@ def stars(posted: DataFrame) -> DataFrame:
 
 
 def across(entries: DataFrame) -> DataFrame:
-    """x, y, nx, ny, c: pairs of different components in each column of entries (s, class, n, component, q).
+    """x, y, nx, ny, c: pairs of different components in each column of entries (s, class, n, component, q, bits).
 
     q is the number of columns in which a class meets others: no pair has more
     common columns than either has, so pairs that this rules out are not formed.
@@ -260,14 +319,17 @@ def across(entries: DataFrame) -> DataFrame:
             x, y, nx, ny, k = _summed(*(np.concatenate(p) for p in (x_, y_, nx_, ny_)))
             return _columns(x, y, nx, ny, k, names=names)
 
-        for s, c, n, g, q in _columns_of(batches, ("s", "class", "n", "component", "q")):
+        for s, c, n, g, q, bits in _columns_of(batches, ("s", "class", "n", "component", "q", "bits")):
             first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])).tolist()
             for a, b in zip(first, [*first[1:], len(s)], strict=True):
                 if b - a < 2:
                     continue
+                known = Parities(bits[a:b].tolist())
                 for i in range(a, b - 1):
                     may = np.minimum(q[i + 1 : b], q[i]) >= _needed(n[i + 1 : b].astype(np.int64), int(n[i]))
                     j = i + 1 + np.flatnonzero(may & (g[i + 1 : b] != g[i]) & _close(n[i + 1 : b], n[i]))
+                    if len(j):
+                        j = j[known.may_link(i - a, j - a, n[j].astype(np.int64) + int(n[i]))]
                     if len(j):
                         x_.append(np.full(len(j), c[i]))
                         y_.append(c[j])
@@ -280,7 +342,7 @@ def across(entries: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    rows = entries.select("s", "class", "n", "component", "q").repartition("s").sortWithinPartitions("s", "class")
+    rows = entries.select("s", "class", "n", "component", "q", "bits").repartition("s").sortWithinPartitions("s", "class")
     return rows.mapInArrow(run, "x long, y long, nx int, ny int, c long")
 
 
@@ -317,10 +379,11 @@ def join(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id, class, copies for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     said = keep(shapes(docs), "jaccard-shapes")
-    rows = said.filter("n is not null").select("doc_id", "key", "class", "n")
+    told = said.filter("n is not null")
+    rows = told.select("doc_id", "key", "class", "n")
     often = said.filter("n is null").groupBy("class").agg(F.sum("said").alias("df")).filter(F.col("df") >= HOT_LEAST).orderBy(F.desc("df"), "class").limit(hot).toArrow()
     order = spark.sparkContext.broadcast(Order(often.column("class").to_numpy().astype(np.int64).view(U), often.column("df").to_numpy()))
-    classes = keep(rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "jaccard-classes")
+    classes = keep(told.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("bits").alias("bits")), "jaccard-classes")
     met = keep(stars(postings(docs, order)), "jaccard-columns")
     pivots = met.filter("s is null").groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c"))
     need = F.greatest(F.lit(1), F.expr("(4 * (nx + ny) + 8) div 9 - greatest((4 * nx + 4) div 5, (4 * ny + 4) div 5) + 1"))
@@ -328,14 +391,16 @@ def join(docs: DataFrame, hot: int = HOT) -> DataFrame:
     worth = pivots.filter((4 * F.col("c") >= need) & (45 * F.col("c") >= F.col("nx") + F.col("ny")))
     best = lambda me, it: W.partitionBy(me).orderBy(F.desc("c"), it)
     worth = worth.withColumn("rx", F.row_number().over(best("x", "y"))).withColumn("ry", F.row_number().over(best("y", "x"))).filter("rx <= 2 or ry <= 2")
-    links = linked(docs, worth, classes, "first")
+    links = linked(docs, _may_link_pairs(worth, classes), classes, "first")
     parts = keep(components(links, "jaccard-first"), "jaccard-parts")
     entries = met.filter("s is not null").select("s", F.col("x").alias("class"), F.col("nx").alias("n"))
     entries = entries.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     # the join has dealt entries by class already
     entries = keep(entries.withColumn("q", F.count("*").over(W.partitionBy("class")).cast("int")), "jaccard-entries")
+    # parities go along with entries of columns that more than one component has
     split = entries.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("s")
-    pairs = across(entries.join(split, "s", "left_semi")).groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c")).filter(F.col("c") >= need)
+    asked = entries.join(split, "s", "left_semi")
+    pairs = across(asked.join(classes.select("class", "bits"), "class")).groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c")).filter(F.col("c") >= need)
     more = linked(docs, pairs, classes, "second")
     parts = keep(components(links.unionByName(more), "jaccard-second"), "jaccard-parts")
     named = classes.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
