@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from tidewater.llm.store import bounded_batches, table
 
 #: Words kept with their ids, at most; the table is emptied when full.
-PIECES = 1 << 19
+PIECES = 1 << 17
 #: Longer words are streamed and not kept.
 KEPT_LENGTH = 64
 #: Characters of a text that are normalised and cut into pieces at a time, at least.
