@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.store import bounded_batches, table
+from tidewater.llm.store import bounded_batches, table, tidy
 
 #: Words kept with their ids, at most; the table is emptied when full.
 PIECES = 1 << 17
@@ -409,7 +409,7 @@ def _with_columns(docs: DataFrame, text: str, make, added: list[T.StructField],
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f.name for f in added)])
 
     bounded_batches(docs.sparkSession)
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def _arrow(fields: list[T.StructField]) -> list[pa.DataType]:

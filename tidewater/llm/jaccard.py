@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.llm.graph import among, components, filter_of, passing
-from tidewater.llm.store import bounded_batches, keep, table
+from tidewater.llm.store import bounded_batches, keep, table, tidy
 from tidewater.llm.words import U, Words, _mix, grams, signed
 
 WORDS = 5
@@ -182,7 +182,7 @@ def shapes(docs: DataFrame) -> DataFrame:
         yield often()
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).mapInArrow(run, "doc_id long, key long, class long, n int, said long, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).mapInArrow(tidy(run), "doc_id long, key long, class long, n int, said long, bits binary")
 
 
 class Order:
@@ -224,7 +224,7 @@ def postings(docs: DataFrame, order) -> DataFrame:
                 yield _columns(signed(np.concatenate([p for p, _, _ in by.values()])), rep(list(by), np.int64), rep([n for _, n, _ in by.values()], np.int32), rep([m for _, _, m in by.values()], np.int32), names=["s", "class", "n", "copies"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "s long, class long, n int, copies int")
+    return docs.select("text").mapInArrow(tidy(run), "s long, class long, n int, copies int")
 
 
 def _columns_of(batches, names):
@@ -300,7 +300,7 @@ def stars(posted: DataFrame) -> DataFrame:
                 yield _columns(pa.nulls(len(x), pa.int64()), x, y, nx, ny, k, names=names)
 
     rows = posted.repartition("s").sortWithinPartitions("s", "class")
-    return rows.mapInArrow(run, PAIRS)
+    return rows.mapInArrow(tidy(run), PAIRS)
 
 
 def across(entries: DataFrame) -> DataFrame:
@@ -343,7 +343,7 @@ def across(entries: DataFrame) -> DataFrame:
             yield flush()
 
     rows = entries.select("s", "class", "n", "component", "q", "bits").repartition("s").sortWithinPartitions("s", "class")
-    return rows.mapInArrow(run, "x long, y long, nx int, ny int, c long")
+    return rows.mapInArrow(tidy(run), "x long, y long, nx int, ny int, c long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -360,7 +360,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield _columns(batch.column(0).take(at), np.array([class_of(s) for s in sets], np.int64), pa.array([signed(s) for s in sets], pa.list_(pa.int64())), names=["doc_id", "class", "entries"])
 
     bounded_batches(docs.sparkSession)
-    found = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", key).mapInArrow(run, "doc_id long, class long, entries array<long>")
+    found = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", key).mapInArrow(tidy(run), "doc_id long, class long, entries array<long>")
     return found.join(wanted, ["doc_id", "class"], "left_semi").dropDuplicates(["class"]).select("class", "entries")
 
 

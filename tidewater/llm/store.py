@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch: long texts stay far below a worker's memory.
 BATCH_ROWS = 512
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +43,24 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _release() -> None:
+    """Give memory that a task has freed back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over a task's batches, and then no memory kept beyond the task."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return whole

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.graph import among, filter_of, passing
-from tidewater.llm.store import bounded_batches, keep, table
+from tidewater.llm.store import bounded_batches, keep, table, tidy
 from tidewater.llm.words import _MULT, U, Words, _mix, grams, signed
 
 WINDOW = 20
@@ -136,7 +136,7 @@ def repeated_minimizers(docs: DataFrame) -> DataFrame:
             yield from out()
 
     bounded_batches(docs.sparkSession)
-    told = docs.select("text").mapInArrow(run, "key long, n byte")
+    told = docs.select("text").mapInArrow(tidy(run), "key long, n byte")
     return told.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
 
 
@@ -172,7 +172,7 @@ def paths(docs: DataFrame, filtered) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(doc.astype(np.int64)), pa.array(key.astype(np.int64)), i32(local), i32(size), pa.array(packed, pa.binary()), pa.array(np.where(later, doc[head], 0), mask=~later), pa.array(local[head].astype(np.int32), mask=~later)], names=_MATCH_NAMES)
 
     bounded_batches(docs.sparkSession)
-    return docs.select("text", "_doc", "_key").mapInArrow(run, _MATCH)
+    return docs.select("text", "_doc", "_key").mapInArrow(tidy(run), _MATCH)
 
 
 def _runs(*columns):
@@ -226,7 +226,7 @@ def matches(found: DataFrame) -> DataFrame:
             yield resolve(*_arrays(pa.Table.from_batches(held)))
 
     rows = found.repartition("minimizer").sortWithinPartitions("minimizer")
-    return rows.mapInArrow(run, "doc long, key long, start int, size int, source long, source_start int")
+    return rows.mapInArrow(tidy(run), "doc long, key long, start int, size int, source long, source_start int")
 
 
 def _arrays(rows: pa.Table):
@@ -285,7 +285,7 @@ def _digest_first(own: DataFrame, words) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _ in told], pa.int64()), pa.array([s for _, s in told], pa.string())], schema.names)
 
     bounded_batches(own.sparkSession)
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)
 
 
 def _finish(joined: DataFrame, texts: bool) -> DataFrame:
@@ -323,7 +323,7 @@ def _finish(joined: DataFrame, texts: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], schema.names)
 
     bounded_batches(joined.sparkSession)
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

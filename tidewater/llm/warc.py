@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.store import bounded_batches, fresh_path, table
+from tidewater.llm.store import bounded_batches, fresh_path, table, tidy
 
 MIN_BYTES = 100
 DATE = "2025-01-01T00:00:00Z"
@@ -120,7 +120,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                         rows.append((name.as_py(), place, _page(f["warc-record-id"]), f["warc-type"], f.get("warc-target-uri", ""), f["warc-date"], size, digest, _page(f.get("warc-refers-to"))))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)] if rows else [pa.array([], t) for t in _ARROW.types], schema=_ARROW)
 
-    return files.mapInArrow(run, HEADERS)
+    return files.mapInArrow(tidy(run), HEADERS)
 
 
 def resolve(headers: DataFrame, least: int = MIN_BYTES) -> DataFrame:
@@ -163,7 +163,7 @@ def deduplicate(spark: SparkSession, path: str, resolved: DataFrame, to: str) ->
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     bounded_batches(spark)
-    _write(joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")), to)
+    _write(joined.mapInArrow(tidy(run), "value binary").select(F.col("value").cast("string").alias("value")), to)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
