@@ -150,3 +150,30 @@ def test_scores_of_repeated_rows_and_nothing(spark):
     got = interpolation.score(df, 1).collect()
     assert len(got) == 4 and len({(r.n_tokens, r.n_known, r.base_score, r.score) for r in got if r.doc_id == 1}) == 1
     assert interpolation.score(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1 << 20, 9000])
+def test_rare_words_have_pairs_of_their_own(spark, block):
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(2100)]
+    rows = [(i, " ".join(rng.sample(common, 700) + [x for j in rng.sample(range(200), 60) for x in (f"r{j}", f"s{j}")])) for i in range(40)]
+    tokens = {i: [*plain.words(t, lower=True), None] for i, t in rows}
+    got = {r.doc_id: r.score for r in interpolation.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    c = Counter(w for i, t in tokens.items() if not held[i] for w in t)
+    pairs = Counter(p for i, t in tokens.items() if not held[i] for p in zip([None, *t], t))
+    n, v = sum(c.values()), len(c)
+    parts = lambda h, w: (pairs[h, w] / max(c[h], 1), c[w] / n, 1 / (v + 1))
+    seen = Counter(p for i, t in tokens.items() if held[i] for p in zip([None, *t], t))
+    weights = {}
+    for b in {c[h].bit_length() for h in c} | {c[h].bit_length() for h, _ in seen} | {0}:
+        own, x = [(parts(*p), m) for p, m in seen.items() if c[p[0]].bit_length() == b], (1 / 3,) * 3
+        for _ in range(40 if own else 0):
+            sums = [math.fsum(m * x[i] * p[i] / sum(map(math.prod, zip(x, p))) for p, m in own) for i in range(3)]
+            x = tuple(s / math.fsum(sums) for s in sums)
+        weights[b] = x if own else None
+    assert set(seen) and all(weights[c[h].bit_length()] for i, t in tokens.items() if held[i] for h in [None, *t[:-1]])
+    for i, t in tokens.items():
+        if held[i]:
+            expected = sum(math.log10(sum(map(math.prod, zip(weights[c[h].bit_length()], parts(h, w))))) for h, w in zip([None, *t], t))
+            assert math.isclose(got[i], expected, rel_tol=1e-6)

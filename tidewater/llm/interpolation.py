@@ -7,328 +7,301 @@ out. A token's probability given the one before (the end's, at the start) is
     l2(b) P2(w | h) + l1(b) c(w) / N + l0(b) / (V + 1)
 
 with maximum-likelihood estimates P2 = n(h, w) / n(h) and c(w) / N, and weights
-by the bucket b of the context's frequency, floor(log2 n(h)), learned by
-expectation-maximisation on the held-out documents' counts.
-
-Contexts, and words within P2, are the CLASSES - 2 most frequent words, the end,
-and one class of all others, within which a word has its share of the class's
-count. That bounds P2 to CLASSES x CLASSES numbers whatever the vocabulary. The
-at most HEAD most frequent words have their counts sent to every task (16 bytes
-each); occurrences of all other words are rows that meet their exact counts in
-a join by word, where adaptive execution may split a frequent one. So base
-scores and numbers of known words are exact over any vocabulary, and what is
-counted, shuffled and joined grows with the corpus.
-
-In the held-out counts words of the class of others are told apart by count in
-LEVELS steps of an eighth of a power of two; nothing else is approximated.
+by the bucket b of the context's frequency, floor(log2 n(h)), contexts never
+seen being a bucket without P2. Weights are learned by expectation-maximisation
+on the held-out documents' pairs. Every token but the end has one after it, and
+every start is one end, so n(h) = c(h).
+
+All words and all pairs of words have exact counts of their own. Documents are
+cut into blocks of about BLOCK tokens. A block sends each of its distinct words
+and pairs once (64-bit hash and number of times learned) to the part of the hash
+space that it lies in; a part adds up and answers every block with the corpus's
+counts, in the block's order. So a word or pair, however frequent, is one entry
+a block; parts grow in number with the corpus, and neither the driver nor a
+broadcast holds counts.
 
 Edge cases: a null or empty text is one token, the end; a null doc_id counts as
 an empty one (it is learned from); without documents to learn from N and V are
 0 and both scores are those of the uniform part; without held-out documents all
-weights are equal; repeated rows are scored alike and counted as often as they
-occur; extra columns are ignored; an empty table gives no rows.
+weights are equal (where a context was seen); repeated rows are scored alike and
+counted as often as they occur; extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.store import bounded_batches, keep, table, tidy
-from tidewater.llm.words import U, Words, signed
+from tidewater.llm.words import _MULT, U, Words, _mix
 
 FOLDS, HELD = 7, 2
-HEAD = 1 << 20
-CLASSES = 2048
-LEVELS = 512
+#: Tokens of a block, and entries (about) of a part of the hash space.
+BLOCK = 1 << 20
 ROUNDS = 40
-#: Distinct words that a task sums up before it sends them on.
-FLUSH = 1 << 20
+BUCKETS = 65
 END = U(0x7A3D5C91E4B80F26)
-OTHER, STOP = 0, 1
+#: Answers about the corpus, not a block.
+ALL = -1
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
 
 
-def level(c: np.ndarray) -> np.ndarray:
-    """0 for count 0, else 1 + floor(8 log2 c)."""
-    out = np.zeros(len(c), np.int64)
-    at = c > 0
-    out[at] = 1 + np.floor(8 * np.log2(c[at])).astype(np.int64)
-    return np.minimum(out, LEVELS - 1)
+def pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    x = np.ascontiguousarray(x, np.uint64)
+    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True) if len(x) else bytes(8)
 
 
-def _level_count(n: int) -> np.ndarray:
-    """A count in the middle of each level; small levels are exact counts."""
-    out = np.zeros(n)
-    i = np.arange(1, n)
-    out[1:] = np.exp2((i - 0.5) / 8)
-    small = np.arange(1, 12)
-    out[level(small)] = small
-    return out
-
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.zeros(0, U)
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(U).ravel()
 
-def fold(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums by key of (keys, counts) parts."""
-    key, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    return key[edge], np.add.reduceat(n, edge) if len(edge) else n
 
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=U(0))
 
-def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return fold([(keys, np.ones(len(keys), np.int64))])
 
+def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """origin, tokens, ids, held, sizes (tokens of each text), words (distinct hashes) and seq (places in words) of each block."""
+    names = ["origin", "tokens", "ids", "held", "sizes", "words", "seq"]
 
-def _rows(key: np.ndarray, n: np.ndarray):
-    for i in range(0, len(key), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)], pa.int64()), pa.array(n[i : i + (1 << 16)], pa.int64())], names=["w", "n"])
-
-
-def counts(docs: DataFrame) -> DataFrame:
-    """w (hash) and n of every token of the documents to learn from, the end included."""
+    def made(ids, held, sizes, hashes):
+        words, seq, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        often = np.argsort(-n, kind="stable")
+        place = np.empty(len(often), np.int64)
+        place[often] = np.arange(len(often))
+        sizes = np.concatenate(sizes)
+        row = [int.from_bytes(os.urandom(7), "little"), int(sizes.sum()), ids, held, pack(sizes), pack(words[often]), pack(place[seq])]
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
 
     def run(batches):
-        parts, size = [], 0
+        ids, held, sizes, hashes, size = [], [], [], [], 0
         for batch in batches:
-            learn = np.array([not held_out(x) for x in batch.column(0).to_pylist()], bool)
-            w = Words(batch.column(1))
-            own = np.repeat(learn, w.counts())
-            parts += [tally(signed(w.hashes(lower=True)[own])), (signed(np.array([END])), np.array([int(learn.sum())], np.int64))]
-            size += len(parts[-2][0])
-            if size > 4 * FLUSH:
-                parts = [fold(parts)]
-                size = len(parts[0][0])
-                if size > FLUSH:
-                    yield from _rows(*parts[0])
-                    parts, size = [], 0
-        if parts:
-            key, n = fold(parts)
-            yield from _rows(key[n > 0], n[n > 0])
+            w = Words(batch.column(2))
+            n = w.counts() + 1
+            h = np.full(int(n.sum()), END, U)
+            own = np.ones(len(h), bool)
+            own[np.cumsum(n) - 1] = False
+            h[own] = w.hashes(lower=True)
+            said, own = batch.column(1).to_pylist(), [held_out(x) for x in batch.column(0).to_pylist()]
+            at = lo = 0
+            # texts are whole: a block ends with the one that fills it
+            for i, m in enumerate(n.tolist()):
+                size += m
+                if size >= block or i == len(n) - 1:
+                    to = at + int(n[lo : i + 1].sum())
+                    ids += said[lo : i + 1]
+                    held += own[lo : i + 1]
+                    sizes.append(n[lo : i + 1])
+                    hashes.append(h[at:to])
+                    at, lo = to, i + 1
+                if size >= block:
+                    yield made(ids, held, sizes, hashes)
+                    ids, held, sizes, hashes, size = [], [], [], [], 0
+        if ids:
+            yield made(ids, held, sizes, hashes)
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("id"), "text")
+    return rows.mapInArrow(tidy(run), "origin long, tokens long, ids array<long>, held array<boolean>, sizes binary, words binary, seq binary")
+
+
+class Block:
+    """A block's tokens, and its distinct words and pairs in the order of their hashes."""
+
+    def __init__(self, row: dict):
+        self.origin, self.ids = row["origin"], row["ids"]
+        self.sizes = unpack(row["sizes"]).astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.held = np.array(row["held"], bool)
+        words, seq = unpack(row["words"]), unpack(row["seq"]).astype(np.int64)
+        end = int(np.flatnonzero(words == END)[0])
+        before = np.empty_like(seq)
+        before[1:] = seq[:-1]
+        before[self.first] = end
+        self.learned = np.repeat(~self.held, self.sizes)
+        code, pair = np.unique(before * len(words) + seq, return_inverse=True)
+        key = _mix(words[code // len(words)] * _MULT + words[code % len(words)])
+        # token's word, context and pair, as places among the sorted keys
+        self.words, place = self._sorted(words)
+        self.word, self.before = place[seq], place[before]
+        self.pairs, place = self._sorted(key)
+        self.pair = place[pair]
+
+    @staticmethod
+    def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return key[order], place
 
 
-class Head:
-    """Counts and classes of the most frequent words, as arrays sorted by hash."""
+def _read(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, tokens: int, types: int, ends: int):
-        key = keys.view(U)
-        if ends and not (key == END).any():
-            key, n = np.append(key, END), np.append(n, ends)
-        order = np.argsort(key)
-        self.keys, self.n = key[order], n[order].astype(np.int64)
-        self.tokens, self.types = tokens, types
-        self.classes = np.zeros(len(self.keys), np.int16)
-        often = np.lexsort((self.keys, -self.n))
-        often = often[self.keys[often] != END][: CLASSES - 2]
-        self.classes[often] = np.arange(2, 2 + len(often))
-        self.classes[self.keys == END] = STOP
-        self.others = tokens - int(self.n[self.classes > 0].sum())
-        self.end = ends
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count (-1: not among the head) and class of each hash."""
-        if not len(self.keys):
-            return np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hit = self.keys[at] == h
-        return np.where(hit, self.n[at], -1), np.where(hit, self.classes[at], OTHER).astype(np.int64)
-
-
-def head_of(counted: DataFrame, size: int = HEAD) -> Head:
-    """The head of counted words: whole bins of frequency from the top, size words at most."""
-    place = F.floor(F.log2("n") * 64).cast("int")
-    bins = counted.groupBy(place.alias("bin")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).orderBy(F.desc("bin")).collect()
-    least, words = 1 << 30, 0
-    for r in bins:
-        words += r.words
-        if words > size:
-            break
-        least = r.bin
-    ends = counted.filter(F.col("w") == int(signed(np.array([END]))[0])).first()
-    found = counted.filter(place >= least).toArrow()
-    return Head(found.column("w").to_numpy().astype(np.int64), found.column("n").to_numpy().astype(np.int64), sum(r.tokens for r in bins), sum(r.words for r in bins), ends.n if ends else 0)
-
-
-class Tokens:
-    """A batch's tokens with ends put in: count and class of each, class before each, text of each."""
-
-    def __init__(self, texts: pa.Array, head: Head):
-        w = Words(texts)
-        n, size = len(w), w.counts()
-        h = w.hashes(lower=True)
-        self.text = np.repeat(np.arange(n), size + 1)
-        self.stop = np.cumsum(size + 1) - 1
-        self.hash = np.full(len(self.text), END, U)
-        own = np.ones(len(self.text), bool)
-        own[self.stop] = False
-        self.hash[own] = h
-        self.count, self.cls = head.find(self.hash)
-        # the end is known by its place: it is never among the rest
-        self.count[self.stop], self.cls[self.stop] = head.end, STOP
-        self.before = np.empty_like(self.cls)
-        self.before[1:] = self.cls[:-1]
-        self.before[np.concatenate([[0], self.stop[:-1] + 1])[:n]] = STOP
-        self.first = np.concatenate([[0], self.stop + 1])
-
-
-def pairs(docs: DataFrame, head) -> DataFrame:
-    """w (code) and n: class pairs learned, class pairs held out, and held-out contexts by level of count."""
-    size = CLASSES * CLASSES
+
+def asked(made: DataFrame, parts: int) -> DataFrame:
+    """part, origin, keys and n (times learned) of each block's distinct words (parts from 0) and pairs (from parts on)."""
 
     def run(batches):
-        parts = []
-        for batch in batches:
-            learn = np.array([not held_out(x) for x in batch.column(0).to_pylist()], bool)
-            t = Tokens(batch.column(1), head.value)
-            own = learn[t.text]
-            pair = t.before * CLASSES + t.cls
-            rest = ~own & (t.cls == OTHER) & (t.count >= 0)
-            parts += [tally(pair[own]), tally(size + pair[~own & (t.cls != OTHER)]), tally(2 * size + t.before[rest] * LEVELS + level(t.count[rest]))]
-            if len(parts) > 48:
-                parts = [fold(parts)]
-        if parts:
-            yield from _rows(*fold(parts))
+        for row in _read(batches):
+            b = Block(row)
+            for kind, (keys, at) in enumerate(((b.words, b.word), (b.pairs, b.pair))):
+                n = np.bincount(at[b.learned], minlength=len(keys))
+                part = ((keys >> U(32)) * U(parts)) >> U(32)
+                edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
+                for lo, hi in zip(edge, [*edge[1:], len(keys)], strict=True):
+                    row = [kind * parts + int(part[lo]), b.origin, pack(_steps(keys[lo:hi])), pack(n[lo:hi])]
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["part", "origin", "keys", "n"])
+
+    bounded_batches(made.sparkSession)
+    return made.mapInArrow(tidy(run), "part long, origin long, keys binary, n binary")
+
+
+def answers(questions: DataFrame, parts: int) -> DataFrame:
+    """origin, part and n: times learned in all of the corpus, for each entry asked; under ALL, tokens and types of each part of words."""
+    names = ["origin", "part", "n", "tokens", "types"]
+
+    def told(part, found):
+        keys = np.concatenate([np.cumsum(unpack(k), dtype=U) for _, k, _ in found])
+        n = np.concatenate([unpack(c) for _, _, c in found]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        edge = np.concatenate([[True], keys[1:] != keys[:-1]])
+        total = np.add.reduceat(n[order], np.flatnonzero(edge))
+        every = np.empty(len(n), np.int64)
+        every[order] = total[np.cumsum(edge) - 1]
+        at, out = 0, []
+        for origin, k, _ in found:
+            size = int.from_bytes(k[:8], "little")
+            out.append((origin, part, pack(every[at : at + size]), 0, 0))
+            at += size
+        if part < parts:
+            out.append((ALL, part, b"", int(total.sum()), int((total > 0).sum())))
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    def run(batches):
+        part, found = None, []
+        for row in _read(batches):
+            if row["part"] != part and found:
+                yield told(part, found)
+                found = []
+            part = row["part"]
+            found.append((row["origin"], row["keys"], row["n"]))
+        if found:
+            yield told(part, found)
 
+    rows = questions.repartition("part").sortWithinPartitions("part")
+    return rows.mapInArrow(tidy(run), "origin long, part long, n binary, tokens long, types long")
 
-def rare(docs: DataFrame, head) -> DataFrame:
-    """doc_id, fp, held, h, w: an occurrence of each word outside the head."""
-    names = ["doc_id", "fp", "held", "h", "w"]
+
+class Counted(Block):
+    """A block with the corpus's counts: c, of context and pair for each token."""
+
+    def __init__(self, row: dict, parts: int):
+        super().__init__(row)
+        said = sorted((x["part"], x["n"]) for x in row["said"])
+        n = [np.concatenate([unpack(x) for p, x in said if (p >= parts) == kind]).astype(np.int64) for kind in (False, True)]
+        self.c, self.h, self.n = n[0][self.word], n[0][self.before], n[1][self.pair]
+
+
+def held_pairs(known: DataFrame, parts: int) -> DataFrame:
+    """n, h, c (of pair, context and word) and times of all held-out tokens."""
 
     def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            held = np.array([held_out(x) for x in ids], bool)
-            t = Tokens(batch.column(1), head.value)
-            at = np.flatnonzero(t.count < 0)
-            if len(at):
-                fp = _prints(batch.column(1))
-                text = t.text[at]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(fp[text]), pa.array(held[text]), pa.array(t.before[at].astype(np.int32)), pa.array(signed(t.hash[at]))], names=names)
+        for row in _read(batches):
+            b = Counted(row, parts)
+            at = np.flatnonzero(~b.learned)
+            _, one, times = np.unique(b.pair[at], return_index=True, return_counts=True)
+            at = at[one]
+            for lo in range(0, len(at), 1 << 16):
+                x = at[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (b.n[x], b.h[x], b.c[x], times[lo : lo + (1 << 16)])], names=["n", "h", "c", "times"])
+
+    bounded_batches(known.sparkSession)
+    return known.mapInArrow(tidy(run), "n long, h long, c long, times long").groupBy("n", "h", "c").agg(F.sum("times").alias("times"))
+
+
+def bucket(h: np.ndarray) -> np.ndarray:
+    """0 for contexts never seen, else 1 + floor(log2 n(h))."""
+    return np.where(h > 0, np.frexp(h.astype(np.float64))[1], 0)
+
+
+def parts_of(n, h, c, tokens: int, types: int) -> np.ndarray:
+    """P2, P1 and P0 of tokens."""
+    return np.stack([n / np.maximum(h, 1), c / max(tokens, 1), np.full(len(c), 1.0 / (types + 1))])
+
+
+def learn(pairs: DataFrame, tokens: int, types: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights (P2, P1, P0) of each bucket, by EM: a round is one sum by bucket over the held-out pairs."""
+    # exact: n(h) is far below 2**53
+    place = F.when(F.col("h") > 0, F.length(F.bin("h"))).otherwise(0)
+    rows = keep(pairs.select(place.cast("int").alias("b"), (F.col("n") / F.greatest("h", F.lit(1))).alias("p2"), (F.col("c") / F.lit(float(max(tokens, 1)))).alias("p1"), F.col("times").cast("double").alias("times")), "lm-held")
+    out = np.full((BUCKETS, 3), 1 / 3)
+    p = [F.col("p2"), F.col("p1"), F.lit(1.0 / (types + 1))]
+    for _ in range(rounds):
+        share = [F.get(F.lit(out[:, i].tolist()), F.col("b")) * p[i] for i in range(3)]
+        each = F.col("times") / (share[0] + share[1] + share[2])
+        found = rows.groupBy("b").agg(*(F.sum(each * s).alias(f"s{i}") for i, s in enumerate(share))).collect()
+        if not found:
+            break
+        total = np.zeros((BUCKETS, 3))
+        for r in found:
+            total[r.b] = r.s0, r.s1, r.s2
+        every = total.sum(0)
+        # buckets without held-out tokens take what all together say
+        seen = total.sum(1) > 0
+        last, out = out, np.where(seen[:, None], total / np.maximum(total.sum(1), 1e-300)[:, None], every / every.sum())
+        if np.abs(out - last).max() < 1e-9:
+            break
+    # without P2 the other two make up the whole
+    out[0, 0] = 0
+    out[0] = out[0] / out[0].sum() if out[0].sum() > 0 else (0, 0.5, 0.5)
+    return out
 
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, fp long, held boolean, h int, w long")
-
-
-def _prints(texts: pa.Array) -> np.ndarray:
-    """Tells rows of one doc_id apart."""
-    return np.array([xxhash.xxh3_64_intdigest(x or "") for x in texts.to_pylist()], U).view(np.int64)
-
-
-class Weights:
-    """P2 and the weights of each context class."""
-
-    def __init__(self, head: Head, learned: np.ndarray):
-        self.total = learned.sum(1)
-        self.p2 = (learned / np.maximum(self.total, 1)[:, None]).astype(np.float32)
-        self.bucket = np.floor(np.log2(np.maximum(self.total, 1))).astype(np.int64)
-        self.weights = np.full((64, 3), 1 / 3)
-        self.p0 = 1.0 / (head.types + 1)
-
-    def learn(self, head: Head, seen: np.ndarray, by_level: np.ndarray, rounds: int = ROUNDS) -> None:
-        """EM on held-out counts: seen[h, class], by_level[h, level of count] for the class of others."""
-        h, w = np.nonzero(seen)
-        one = np.zeros(CLASSES)
-        one[head.classes] = head.n / max(head.tokens, 1)
-        one[OTHER] = 0
-        g, lv = np.nonzero(by_level)
-        c = _level_count(LEVELS)[lv]
-        n = np.concatenate([seen[h, w], by_level[g, lv]]).astype(float)
-        p = np.stack([
-            np.concatenate([self.p2[h, w], self.p2[g, OTHER] * c / max(head.others, 1)]),
-            np.concatenate([one[w], c / max(head.tokens, 1)]),
-            np.full(len(n), self.p0),
-        ], 1)
-        b = self.bucket[np.concatenate([h, g])]
-        if not len(n):
-            return
-        for _ in range(rounds):
-            share = p * self.weights[b]
-            share *= (n / share.sum(1))[:, None]
-            total = np.stack([np.bincount(b, share[:, i], 64) for i in range(3)], 1)
-            every = total.sum(0)
-            # buckets without held-out tokens take what all together say
-            known = total.sum(1) > 0
-            self.weights = np.where(known[:, None], total / np.maximum(total.sum(1), 1e-300)[:, None], every / every.sum())
-
-    def parts(self, head: Head) -> tuple[np.ndarray, np.ndarray]:
-        """a and b by context class: a word of count c among the others has probability a c + b."""
-        w = self.weights[self.bucket]
-        return w[:, 0] * self.p2[:, OTHER] / max(head.others, 1) + w[:, 1] / max(head.tokens, 1), w[:, 2] * self.p0
-
-
-def scores(docs: DataFrame, model) -> DataFrame:
-    """doc_id, fp, held_out, n_tokens, and known, base and score over the tokens within the head."""
-    names = ["doc_id", "fp", "held_out", "n_tokens", "known", "base", "lm"]
+
+def scores(known: DataFrame, parts: int, weights: np.ndarray, tokens: int, types: int) -> DataFrame:
+    """The result's rows, block by block."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches):
-        head, weights = model.value
-        a, b = weights.parts(head)
-        w = weights.weights[weights.bucket]
-        for batch in batches:
-            t = Tokens(batch.column(1), head)
-            inside = t.count >= 0
-            c = np.where(inside, t.count, 0)
-            p = np.where(t.cls == OTHER, a[t.before] * c + b[t.before], w[t.before, 0] * weights.p2[t.before, t.cls] + w[t.before, 1] * c / max(head.tokens, 1) + b[t.before])
-            values = (inside & (c > 0), np.where(inside, np.log10((c + 1.0) / (head.tokens + head.types + 1)), 0.0), np.where(inside, np.log10(p), 0.0))
-            sums = [np.add.reduceat(v.astype(np.float64), t.first[:-1]) if len(v) else np.zeros(0) for v in values]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_prints(batch.column(1))), pa.array([held_out(x) for x in batch.column(0).to_pylist()], pa.bool_()), pa.array(np.diff(t.first).astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=names)
+        for row in _read(batches):
+            b = Counted(row, parts)
+            p = (weights[bucket(b.h)].T * parts_of(b.n, b.h, b.c, tokens, types)).sum(0)
+            sums = [np.add.reduceat(v, b.first) for v in ((b.c > 0).astype(np.int64), np.log10((b.c + 1.0) / (tokens + types + 1)), np.log10(p))]
+            yield pa.RecordBatch.from_arrays([pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.sizes), pa.array(sums[0]), pa.array(np.full(len(b.ids), tokens)), pa.array(sums[1]), pa.array(sums[2])], names=names)
 
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, fp long, held_out boolean, n_tokens long, known long, base double, lm double")
+    bounded_batches(known.sparkSession)
+    return known.mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(docs: DataFrame, head_size: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
-    spark = docs.sparkSession
-    counted = keep(counts(docs), "lm-counts")
-    head = head_of(counted, head_size)
-    sent = spark.sparkContext.broadcast(head)
-    # at most 2 CLASSES^2 + CLASSES LEVELS codes, whatever the corpus
-    coded = pairs(docs, sent).toArrow()
-    code, n = coded.column("w").to_numpy().astype(np.int64), coded.column("n").to_numpy()
-    size = CLASSES * CLASSES
-    dense = np.zeros(2 * size + CLASSES * LEVELS, np.int64)
-    dense[code] = n
-    weights = Weights(head, dense[:size].reshape(CLASSES, CLASSES))
-    tail = counted.select("w", "n")
-    found = rare(docs, sent).join(tail, "w", "left").select("doc_id", "fp", "held", "h", F.coalesce("n", F.lit(0)).alias("c"))
-    found = keep(found.groupBy("doc_id", "fp", "held", "h", "c").agg(F.count("*").alias("times")), "lm-rare")
-    step = F.when(F.col("c") > 0, F.least(1 + F.floor(8 * F.log2("c")), F.lit(LEVELS - 1))).otherwise(0)
-    more = found.filter("held").groupBy("h", step.cast("int").alias("step")).agg(F.sum("times").alias("n")).toArrow()
-    by_level = dense[2 * size :].reshape(CLASSES, LEVELS).copy()
-    np.add.at(by_level, (more.column("h").to_numpy(), more.column("step").to_numpy()), more.column("n").to_numpy())
-    weights.learn(head, dense[size : 2 * size].reshape(CLASSES, CLASSES), by_level)
-    model = spark.sparkContext.broadcast((head, weights))
-    # a row for each context class
-    a, b = weights.parts(head)
-    contexts = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "h int, a double, b double")
-    total = float(head.tokens + head.types + 1)
-    sums = found.join(F.broadcast(contexts), "h").groupBy("doc_id", "fp").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("r_known"),
-        F.sum(F.col("times") * F.log10((F.col("c") + 1.0) / total)).alias("r_base"),
-        F.sum(F.col("times") * F.log10(F.col("a") * F.col("c") + F.col("b"))).alias("r_lm"),
-    )
-    inside = scores(docs, model)
-    # rows alike in doc_id and text: what was found for all of them is shared out
-    alike = inside.groupBy("doc_id", "fp", "held_out", "n_tokens", "known").agg(F.count("*").alias("rows"), F.first("base").alias("base"), F.first("lm").alias("lm"))
-    out = alike.alias("l").join(sums.alias("r"), F.expr("l.doc_id <=> r.doc_id and l.fp = r.fp"), "left")
-    part = lambda c: F.coalesce(F.col(c) / F.col("rows"), F.lit(0.0))
-    out = out.select(F.col("l.doc_id").alias("doc_id"), "held_out", "n_tokens", (F.col("known") + part("r_known").cast("long")).alias("n_known"), F.lit(head.tokens).cast("long").alias("train_tokens"), (F.col("base") + part("r_base")).alias("base_score"), (F.col("lm") + part("r_lm")).alias("score"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_"))
-    return out.drop("_")
+    made = keep(blocks(docs, block), "lm-blocks")
+    size = made.agg(F.sum("tokens").alias("n")).first().n or 0
+    parts = -(-size // block) or 1
+    said = keep(answers(asked(made, parts), parts), "lm-answers")
+    total = said.filter(F.col("origin") == ALL).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
+    by_block = said.filter(F.col("origin") != ALL).groupBy("origin").agg(F.collect_list(F.struct("part", "n")).alias("said"))
+    known = keep(made.join(by_block, "origin"), "lm-known")
+    weights = learn(held_pairs(known, parts), total.tokens, total.types)
+    return scores(known, parts, weights, total.tokens, total.types)
 
 
 def op8_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
