@@ -58,6 +58,39 @@ def test_bands_reject_noise_and_keep_prose(spark):
     assert perplexity.judge(df.limit(0)).count() == 0
 
 
+def test_letters_of_other_scripts_are_told_apart(spark):
+    rng = random.Random(1)
+    greek = str.maketrans("abcdefghijklmnopqrstuvwxyzé", "αβγδεζηθικλμνξοπρστυφχψωабв")
+    clean = [(i, prose(rng, 150).translate(greek), "el") for i in range(120)]
+    noise = [(1000 + i, " ".join("".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω") for _ in w) for w in prose(rng, 150).split(" ")), "el") for i in range(3)]
+    kept = {r.doc_id: r.kept for r in perplexity.judge(spark.createDataFrame(clean + noise, "doc_id long, text string, lang string")).collect()}
+    assert all(kept[i] for i, *_ in clean) and not any(kept[i] for i, *_ in noise)
+
+
+def test_details_sum_to_one():
+    code, _ = perplexity.details(["éàé ñé àñ éé", "àé\u4e2d"])
+    model = perplexity.Details(*perplexity.tally(code))
+    group = [c for c in range(0xC0, 0x250) if perplexity._TABLE[c] == 60]
+    for h in [*(code[:4] >> np.uint64(21)).tolist(), 12345]:
+        p = np.exp(model.log(3, (np.uint64(h) << np.uint64(21)) | np.array(group, np.uint64)))
+        assert abs(p.sum() - 1) < 1e-5 and (p > 0).all()
+
+
+def test_every_language_has_a_model(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(100 * k + i, prose(rng, 60).translate(str.maketrans("aeiou", "aeiou"[k % 5 :] + "aeiou"[: k % 5])), f"l{k}" if k else None) for k in range(20) for i in range(6)]
+    rows += [(9000, None, "l1"), (9001, "", "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    a = {r.doc_id: r for r in perplexity.score(df).collect()}
+    assert {r._model for r in a.values() if r.log_perplexity is not None} == {perplexity.REST, *(f"l{k}" for k in range(1, 20))}
+    alone = {r.doc_id: r for r in perplexity.score(df.filter("lang = 'l19'")).collect()}
+    assert len(alone) == 6 and all(math.isclose(a[i].log_perplexity, r.log_perplexity, rel_tol=1e-6) for i, r in alone.items())
+    monkeypatch.setattr(perplexity, "SENT", 0)
+    monkeypatch.setattr(perplexity, "SALTED", 1000)
+    b = {r.doc_id: r for r in perplexity.score(df).collect()}
+    assert set(a) == set(b) and all(a[i]._model == b[i]._model and (a[i].log_perplexity is b[i].log_perplexity is None or math.isclose(a[i].log_perplexity, b[i].log_perplexity, rel_tol=1e-6)) for i in a)
+
+
 def test_passages(spark, docs, rows):
     expected = {i: x for (i, _, _, _), x in zip(rows, plain.stripped([(i, t) for i, t, _, _ in rows]), strict=True)}
     for texts in (False, True):

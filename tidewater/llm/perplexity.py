@@ -15,11 +15,16 @@ band: of log perplexity, SPREAD interquartile ranges below the first quartile
 to as many above the third. Quartiles are read off histograms over all
 documents that pass the base rules, in bins of 0.005.
 
-Languages are models of their own up to MODELS, the ones with most symbols; the
-rest share one model.
+Letters beyond a-z and signs share symbols, so for these the model goes on: which
+code point of its group it is, by Kneser-Ney over DEEP code points (exact codes
+of 63 bits), given the two before and the group. Texts in any script are thus
+judged by their letters.
+
+Every language has a model and a band of its own, however many there are. The
+driver holds a row for each language and SENT counts at most.
 
 Edge cases: a null or empty text has no words, fails the base rules and is not
-kept; a null language shares the model of the rest; repeated rows are judged
+kept; null languages are one language; repeated rows are judged
 alike; an empty table gives no rows; columns of the input with the names added
 here give way.
 """
@@ -39,7 +44,12 @@ from tidewater.llm.words import SPACE, U, Words, grams
 ORDER = 4
 BITS = 6
 SYMBOLS = 1 << BITS
-MODELS = 16
+#: Symbols from this one on are groups of letters or signs, told apart by DEEP code points of POINT bits.
+GROUPS, DEEP, POINT = 60, 3, 21
+#: Counts of models that are sent to every task, and that a task sums up before it sends them on.
+SENT, FLUSH = 1 << 21, 1 << 21
+#: Symbols of a language that one task scores, about, where its model is not sent.
+SALTED, SALT_DIGITS = 1 << 25, 6
 REST = "\x00rest"
 LEAST_WORDS = 50
 MOST_REPEATED = 50
@@ -70,6 +80,8 @@ def _letters() -> np.ndarray:
 
 _TABLE = _letters()
 _OTHER = 63
+#: Code points in each group.
+_SIZES = np.append(np.bincount(_TABLE, minlength=64)[GROUPS:_OTHER], 0x110000 - 0x250).astype(np.float64)
 
 
 def symbols(text: str) -> np.ndarray:
@@ -189,20 +201,105 @@ class KneserNey:
         return out
 
 
-def count(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, code, n over all texts."""
+class Details:
+    """Which code point of its group a symbol is: interpolated Kneser-Ney over DEEP code points, as sorted arrays.
+
+    Codes hold DEEP code points of 21 bits; a context is those before, and the group.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        levels = [(keys[order], counts[order].astype(np.int64))]
+        for n in range(DEEP - 1, 0, -1):
+            levels.insert(0, tally(levels[0][0] & U((1 << POINT * n) - 1)))
+        self.keys, self.logp, self.contexts, self.backoff = [], [], [], []
+        for n, (key, c) in enumerate(levels, 1):
+            d = KneserNey.discounts(c)
+            h, at = np.unique(self._context(key), return_inverse=True)
+            total = np.bincount(at, c, len(h))
+            kind = np.minimum(c, 3)
+            free = np.bincount(at, d[kind], len(h)) / total
+            below = np.exp(self.log(n - 1, key & U((1 << POINT * (n - 1)) - 1) if n > 1 else key))
+            self.keys.append(key)
+            self.logp.append(np.log((c - d[kind]) / total[at] + free[at] * below).astype(np.float32))
+            self.contexts.append(h)
+            self.backoff.append(np.log(free).astype(np.float32))
+
+    @staticmethod
+    def _context(key: np.ndarray) -> np.ndarray:
+        return (key >> U(POINT) << U(2)) | (_group(key) - GROUPS).astype(U)
+
+    def log(self, n: int, code: np.ndarray) -> np.ndarray:
+        """ln p of the last code point within its group; all of a group are alike at order 0."""
+        if n == 0:
+            return -np.log(_SIZES)[_group(code) - GROUPS]
+        code = code & U((1 << POINT * n) - 1)
+        keys = self.keys[n - 1]
+        if not len(keys):
+            return self.log(n - 1, code)
+        at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+        out = self.logp[n - 1][at].astype(np.float64)
+        missing = np.flatnonzero(keys[at] != code)
+        if len(missing):
+            h = self._context(code[missing])
+            at = np.minimum(np.searchsorted(self.contexts[n - 1], h), len(self.contexts[n - 1]) - 1)
+            out[missing] = self.log(n - 1, code[missing]) + np.where(self.contexts[n - 1][at] == h, self.backoff[n - 1][at], 0)
+        return out
+
+
+def _group(code: np.ndarray) -> np.ndarray:
+    cp = (code & U((1 << POINT) - 1)).astype(np.int64)
+    return np.where(cp < 0x250, _TABLE[np.minimum(cp, 0x24F)], _OTHER).astype(np.int64)
 
-    def run(batches):
-        held: dict[str, list] = {}
 
-        def fold(parts):
-            key = np.concatenate([k for k, _ in parts])
-            n = np.concatenate([c for _, c in parts])
-            order = np.argsort(key, kind="stable")
-            key, n = key[order], n[order]
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            return [(key[edge], np.add.reduceat(n, edge))]
+def details(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the code points that share a symbol with others, and where in codes(texts) each is."""
+    pad = " " * (ORDER - 1)
+    cp = np.frombuffer((pad + pad.join(texts) + pad).encode("utf-32-le", "replace"), np.uint32).astype(U)
+    # codes(texts)[i] is about the symbol at i + ORDER - 1
+    at = np.flatnonzero(_group(cp[ORDER - 1 :]) >= GROUPS)
+    code = np.zeros(len(at), U)
+    for i in range(DEEP):
+        code = (code << U(POINT)) | cp[at + ORDER - DEEP + i]
+    return code, at
+
+
+class Model:
+    """A language's symbols and code points within them, from rows (deep, code, n) of counted()."""
+
+    def __init__(self, deep: np.ndarray, code: np.ndarray, n: np.ndarray):
+        self.symbols = KneserNey(code[~deep].astype(np.uint32), n[~deep])
+        self.details = Details(code[deep].view(U), n[deep])
+
+    def log_perplexity(self, texts: list[str]) -> np.ndarray:
+        code, spans = codes(texts)
+        value = self.symbols.log(ORDER, code)
+        code, at = details(texts)
+        value[at] += self.details.log(DEEP, code)
+        total = np.concatenate([[0.0], np.cumsum(value)])
+        return (total[spans[:, 0]] - total[spans[:, 1]]) / (spans[:, 1] - spans[:, 0])
+
+
+def counted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, deep, code, n over all texts: n-grams of symbols and, deep, of code points that share theirs."""
 
+    def fold(parts):
+        key = np.concatenate([k for k, _ in parts])
+        n = np.concatenate([c for _, c in parts])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        return [(key[edge], np.add.reduceat(n, edge) if len(edge) else n)]
+
+    def rows(held):
+        for (name, deep), parts in held.items():
+            ((key, n),) = fold(parts)
+            for i in range(0, len(key), 1 << 16):
+                k = key[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array([deep] * len(k), pa.bool_()), pa.array(k.astype(np.int64)), pa.array(n[i : i + (1 << 16)].astype(np.int64))], names=["lang", "deep", "code", "n"])
+
+    def run(batches):
+        held: dict[tuple, list] = {}
         for batch in batches:
             by: dict[str, list[str]] = {}
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -213,100 +310,129 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
                 own = np.zeros(len(code), bool)
                 for a, b in spans:
                     own[a:b] = True
-                parts = held.setdefault(name, [])
-                parts.append(tally(code[own]))
-                if len(parts) > 16:
-                    held[name] = fold(parts)
-        for name, parts in held.items():
-            ((key, n),) = fold(parts)
-            for i in range(0, len(key), 1 << 16):
-                k = key[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(n[i : i + (1 << 16)].astype(np.int64))], names=["lang", "code", "n"])
+                point, at = details(texts)
+                for deep, found in ((False, code[own]), (True, point[own[at]])):
+                    parts = held.setdefault((name, deep), [])
+                    parts.append(tally(found))
+                    if len(parts) > 16:
+                        held[name, deep] = fold(parts)
+            if sum(len(k) for parts in held.values() for k, _ in parts) > FLUSH:
+                yield from rows(held)
+                held = {}
+        yield from rows(held)
 
     bounded_batches(docs.sparkSession)
-    part = docs.select(F.col(text), F.col(lang)).mapInArrow(tidy(run), "lang string, code int, n long")
-    return part.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", models: int = MODELS) -> dict[str, KneserNey]:
-    """A model for each of the languages with most symbols and, under REST, one for the others together."""
-    counts = count(docs, text, lang)
-    found = counts.toArrow()
-    names, code, n = found.column("lang").to_numpy(), found.column("code").to_numpy().astype(np.uint32), found.column("n").to_numpy()
-    sizes = {x: int(n[names == x].sum()) for x in set(names)}
-    own = sorted((x for x in sizes if x != REST), key=lambda x: (-sizes[x], x))[:models]
-    out = {x: KneserNey(code[names == x], n[names == x]) for x in own}
-    if len(code):
-        # the rest are judged by what they have in common, or by all if there is no rest
-        rest = ~np.isin(names, own)
-        pick = rest if rest.any() else np.ones(len(names), bool)
-        key = code[pick]
-        order = np.argsort(key, kind="stable")
-        key, c = key[order], n[pick][order]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        out[REST] = KneserNey(key[edge], np.add.reduceat(c, edge))
-    return out
+    part = docs.select(F.col(text), F.col(lang)).mapInArrow(tidy(run), "lang string, deep boolean, code long, n long")
+    return part.groupBy("lang", "deep", "code").agg(F.sum("n").alias("n"))
+
 
+def count(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, code, n of symbols over all texts."""
+    return counted(docs, text, lang).filter("not deep").select("lang", "code", "n")
 
-def score(docs: DataFrame, models: dict[str, KneserNey], text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with BASE, base_failed, _model (the language judged by) and log_perplexity (null without symbols)."""
+
+def score(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs with BASE, base_failed, _model (the language judged by) and log_perplexity (null without symbols).
+
+    Models of the languages with most symbols are sent to every task, SENT counts
+    in all at most. Documents of all others meet their language's counts in a
+    shuffle by language and salt, counts first, and the task makes the model.
+    """
+    spark = docs.sparkSession
     added = [*BASE, "base_failed", "_model", "log_perplexity"]
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     schema = T.StructType([*kept.schema.fields, *(T.StructField(c, T.LongType(), False) for c in BASE), T.StructField("base_failed", T.BooleanType(), False), T.StructField("_model", T.StringType(), False), T.StructField("log_perplexity", T.DoubleType(), True)])
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    counts = keep(counted(docs, text, lang), "perplexity-counts")
+    sizes = counts.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.when(~F.col("deep"), F.col("n"))).alias("symbols"))
+    upto = F.sum("rows").over(W.orderBy(F.desc("symbols"), "lang").rowsBetween(W.unboundedPreceding, 0))
+    own = [r.lang for r in sizes.select("lang", upto.alias("upto")).filter(F.col("upto") <= SENT).collect()]
+    found = counts.filter(F.col("lang").isin(own)).toArrow()
+    said, deep, code, n = (found.column(c).to_numpy() for c in ("lang", "deep", "code", "n"))
+    deep = deep.astype(bool)
+    models = {x: Model(deep[said == x], code[said == x], n[said == x]) for x in own}
+    sent = spark.sparkContext.broadcast(models)
+
+    def scored(batch, models):
+        column = batch.column(batch.schema.get_field_index(text))
+        b = base(column)
+        failed = (b["n_words"] < LEAST_WORDS) | (100 * b["n_repeat_words"] > MOST_REPEATED * b["n_words"])
+        texts = column.to_pylist()
+        model = [REST if x is None else x for x in batch.column(batch.schema.get_field_index(lang)).to_pylist()]
+        value = np.full(len(texts), np.nan)
+        for name in set(model):
+            at = [i for i, (m, x) in enumerate(zip(model, texts, strict=True)) if m == name and x]
+            if at:
+                value[at] = models[name].log_perplexity([texts[i] for i in at])
+        new = [*(pa.array(b[c], pa.int64()) for c in BASE), pa.array(failed), pa.array(model, pa.string()), pa.array(value, mask=np.isnan(value))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
 
     def run(batches):
-        models = sent.value
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            b = base(column)
-            failed = (b["n_words"] < LEAST_WORDS) | (100 * b["n_repeat_words"] > MOST_REPEATED * b["n_words"])
-            texts = column.to_pylist()
-            model = [x if x in models else REST for x in batch.column(batch.schema.get_field_index(lang)).to_pylist()]
-            value = np.full(len(texts), np.nan)
-            for name in set(model):
-                at = [i for i, (m, x) in enumerate(zip(model, texts, strict=True)) if m == name and x]
-                if at and name in models:
-                    code, spans = codes([texts[i] for i in at])
-                    total = np.concatenate([[0.0], np.cumsum(models[name].log(ORDER, code))])
-                    value[at] = (total[spans[:, 0]] - total[spans[:, 1]]) / (spans[:, 1] - spans[:, 0])
-            new = [*(pa.array(b[c], pa.int64()) for c in BASE), pa.array(failed), pa.array(model, pa.string()), pa.array(value, mask=np.isnan(value))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
-
-    bounded_batches(docs.sparkSession)
-    return kept.mapInArrow(tidy(run), schema)
+            yield scored(batch, sent.value)
 
+    names = kept.columns
+    width = len(names)
 
-def bands(scored: DataFrame, spread: float = SPREAD) -> dict[str, tuple[float, float]]:
-    """Lower and upper log perplexity by model, from the quartiles of histograms."""
+    def met(batches):
+        name, parts, model = None, [], None
+        for batch in batches:
+            by = batch.column(width).to_pylist()
+            kind = batch.column(width + 1).to_pylist()
+            edge = [i for i in range(len(by)) if i == 0 or (by[i], kind[i]) != (by[i - 1], kind[i - 1])]
+            for lo, hi in zip(edge, [*edge[1:], len(by)], strict=True):
+                piece = batch.slice(lo, hi - lo)
+                if by[lo] != name:
+                    name, parts, model = by[lo], [], None
+                if kind[lo] == 0:
+                    parts.append([piece.column(width + i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)])
+                    continue
+                if model is None and parts:
+                    d, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    model, parts = Model(d.astype(bool), c.astype(np.int64), n.astype(np.int64)), []
+                # a language without symbols has no counts, and no text to score
+                yield scored(pa.RecordBatch.from_arrays(piece.columns[:width], names=names), {name[:-SALT_DIGITS]: model})
+
+    bounded_batches(spark)
+    key = F.coalesce(F.col(f"`{lang}`"), F.lit(REST))
+    out = kept.filter(key.isin(own)).mapInArrow(tidy(run), schema)
+    large = sizes.filter(~F.col("lang").isin(own)).select("lang", F.least(F.ceil(F.col("symbols") / SALTED), F.lit(10**SALT_DIGITS - 1)).cast("int").alias("salts"))
+    salted = lambda k, salt: F.concat(k, F.lpad(salt.cast("string"), SALT_DIGITS, "0"))
+    said = counts.join(large, "lang").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    said = said.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in kept.schema.fields), salted(F.col("lang"), F.col("salt")).alias("_by"), F.lit(0).alias("_kind"), F.col("deep").alias("_deep"), F.col("code").alias("_code"), F.col("n").alias("_n"))
+    rest = kept.filter(~key.isin(own)).withColumn("_key", key).join(large.select(F.col("lang").alias("_key"), "salts"), "_key", "left")
+    salt = F.pmod(F.xxhash64(f"`{text}`"), F.coalesce("salts", F.lit(1)))
+    rest = rest.select(*(F.col(f"`{c}`") for c in kept.columns), salted(F.col("_key"), salt).alias("_by"), F.lit(1).alias("_kind"), F.lit(False).alias("_deep"), F.lit(0).cast("long").alias("_code"), F.lit(0).cast("long").alias("_n"))
+    both = said.unionByName(rest).repartition("_by").sortWithinPartitions("_by", "_kind")
+    return out.unionByName(both.mapInArrow(tidy(met), schema))
+
+
+def bands(scored: DataFrame, spread: float = SPREAD) -> DataFrame:
+    """_model, low and high log perplexity, from the quartiles of histograms."""
     bins = scored.filter("not base_failed and log_perplexity is not null").groupBy("_model", F.floor(F.col("log_perplexity") / BIN).alias("bin")).agg(F.count("*").alias("n"))
     order = W.partitionBy("_model").orderBy("bin")
     bins = bins.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(W.partitionBy("_model")))
-    quarter = lambda i: F.min(F.when(4 * F.col("upto") >= i * F.col("all"), F.col("bin")))
-    out = {}
-    for r in bins.groupBy("_model").agg(quarter(1).alias("q1"), quarter(3).alias("q3")).collect():
-        low, high = (r["q1"] + 0.5) * BIN, (r["q3"] + 0.5) * BIN
-        width = max(high - low, LEAST_WIDTH)
-        out[r["_model"]] = (low - spread * width, high + spread * width)
-    return out
+    quarter = lambda i: (F.min(F.when(4 * F.col("upto") >= i * F.col("all"), F.col("bin"))) + 0.5) * BIN
+    found = bins.groupBy("_model").agg(quarter(1).alias("q1"), quarter(3).alias("q3"))
+    width = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_WIDTH))
+    return found.select("_model", (F.col("q1") - spread * width).alias("_low"), (F.col("q3") + spread * width).alias("_high"))
 
 
 def judged(scored: DataFrame) -> DataFrame:
     """scored with kept: base rules passed and log perplexity within the language's band."""
-    within = F.lit(False)
-    for name, (low, high) in sorted(bands(scored).items()):
-        within = F.when(F.col("_model") == name, F.col("log_perplexity").between(float(low), float(high))).otherwise(within)
-    return scored.withColumn("kept", F.coalesce(~F.col("base_failed") & within, F.lit(False))).drop("_model")
+    columns = [F.col(f"`{c}`") for c in scored.columns if c not in ("_model", "kept")]
+    within = F.col("log_perplexity").between(F.col("_low"), F.col("_high"))
+    # a row for each language, of numbers alone
+    return scored.join(F.broadcast(bands(scored)), "_model", "left").select(*columns, F.coalesce(~F.col("base_failed") & within, F.lit(False)).alias("kept"))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with BASE, base_failed, log_perplexity and kept, by a model of docs themselves."""
-    return judged(keep(score(docs, fit(docs, text, lang), text, lang), "perplexity"))
+    return judged(keep(score(docs, text, lang), "perplexity"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, BASE, base_failed, kept and log_perplexity of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     # bands need all scores first: these are written without the texts
-    scored = keep(score(docs, fit(docs)).drop("text", "lang"), "perplexity")
+    scored = keep(score(docs).drop("text", "lang"), "perplexity")
     return judged(scored).select("doc_id", *BASE, "base_failed", "kept", "log_perplexity")
