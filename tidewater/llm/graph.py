@@ -60,6 +60,8 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components: not settled after {rounds} rounds")
     stars = edges.select(F.col("x").alias("node"), F.col("y").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component")).groupBy("node").agg(F.min("component").alias("component"))
 
