@@ -96,6 +96,16 @@ def test_nearest_with_every_pair_asked(spark):
     assert vectors.search(df.limit(1), F.lit(True)).count() == 0
 
 
+def test_nearest_within_each_length(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8 if i < 60 else 4).tolist()) for i in range(80)] + [(100, [1.0])]
+    got = {}
+    for r in vectors.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, share=1.0, codes=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    cosine = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    assert got == {i: sorted((j for j, w in rows if j != i and len(w) == len(v)), key=lambda j: -cosine(v, rows[j][1]))[:5] for i, v in rows if i % 10 == 0 and i < 80}
+
+
 def test_recall(spark, folder):
     df = spark.read.parquet(f"{folder}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]

@@ -24,8 +24,7 @@ so it must be large there; see README for measured recall.
 
 Edge cases: vectors that are null, zero, empty or hold null or non-finite
 components take no part, neither as query nor as candidate; vectors of another
-length than most are other spaces: only those of the most frequent length (the
-smaller of equals) take part; with fewer than k candidates all are returned;
+length are another space, with an index of its own; with fewer than k candidates all are returned;
 equal scores go by smaller id; repeated ids with different vectors are entries
 of their own, and no query meets its own id; an empty table gives no rows.
 """
@@ -34,6 +33,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -123,11 +123,15 @@ def search(rows: DataFrame, asked: Column, key: str = "vec_id", vector: str = "e
     """query_id, rank, vec_id, score: for each row with asked its k nearest others, nearest first."""
     spark = rows.sparkSession
     own = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(asked, F.lit(False)).alias("asked")).filter(usable(F.col("v")) & F.col("id").isNotNull())
-    sizes = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], empty)
-    own = own.filter(F.size("v") == sizes.n)
+    # an index for each length that is asked for
+    sizes = sorted(r.n for r in own.filter("asked").select(F.size("v").alias("n")).distinct().collect())
+    found = [_search(own.filter(F.size("v") == n), k, codes, share, least, block) for n in sizes]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(own: DataFrame, k: int, codes: int, share: float, least: int, block: int) -> DataFrame:
+    """search among vectors of one length (id, v, asked)."""
+    spark = own.sparkSession
     # equal vectors: one entry, k + 1 smallest ids; rank limits within each task before the shuffle
     ranked = own.groupBy("v", "id").agg(F.max("asked").alias("asked")).withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
     entries = ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("entry", F.xxhash64("v"))
