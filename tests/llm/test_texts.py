@@ -146,6 +146,70 @@ def test_large_groups_near_the_bound(spark, seed, hot):
     assert got == sorted(plain.groups(rows))
 
 
+@pytest.mark.parametrize("square, wide", [(1 << 12, 1 << 15), (3, 2)])
+def test_rows_without_id_and_wide_columns(spark, monkeypatch, square, wide):
+    monkeypatch.setattr(jaccard, "WIDE", wide)
+    monkeypatch.setattr(jaccard, "HOT_LOCAL", 1)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 2)
+    w = [f"w{i}" for i in range(40)]
+    near = lambda k: " ".join(w[k:] + [f"z{i}" for i in range(k)])
+    # each links with the next alone, and the one between has no id
+    rows = [(1, near(0)), (None, near(2)), (2, near(4)), (None, "of its own " * 3), (3, " ".join(w[::-1]))]
+    assert [c for _, _, c in plain.groups([(9 if i is None else i, t) for i, t in rows])] == [1, 1, 1, 9, 3]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, component string").repartition(3)
+    got = jaccard.join(df, square=square).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 1), (1, 1), (2, 1), (3, 3)]
+    assert sorted(r.doc_id or 0 for r in jaccard.one_of_each(df).collect()) == [0, 1, 3]
+    rows = near_copies(7, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df, square=square).collect()) == sorted(plain.groups(rows))
+
+
+def test_sets_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    assert jaccard.classed(docs)[0] == jaccard.SEEDS[0]
+    shapes = jaccard.shapes
+    few = lambda docs, seed: shapes(docs, seed).selectExpr("doc_id", "key", "if(%d < 2, class %% 7, class) AS class" % seed, "check", "n", "said", "bits")
+    monkeypatch.setattr(jaccard, "shapes", few)
+    seed, said, classes = jaccard.classed(docs)
+    assert seed == 2 and classes.count() == 30
+    monkeypatch.setattr(jaccard, "shapes", lambda docs, seed: few(docs, 0))
+    with pytest.raises(RuntimeError):
+        jaccard.classed(docs)
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [16, 64, 1024, 4096])
+def test_words_that_a_polynomial_takes_for_equal(spark, n):
+    a, b = thue_morse(n)
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, a), (4, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.strip(df, texts=False).collect()} == dict.fromkeys((1, 2, 3, 4), 0)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df).collect()) == sorted(plain.groups(rows))
+    swap = {"a": "left", "b": "right"}
+    rows = [(i, " ".join(swap[c] for c in x[: min(n, 1024)])) for i, x in enumerate((a, b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r.doc_id, r.n_removed) for r in substrings.strip(df, texts=False).orderBy("doc_id").collect()] == [(i, g) for (i, _), (_, g, _) in zip(rows, plain.stripped(rows), strict=True)]
+
+
+def test_spans_whose_words_differ_stay(spark, monkeypatch):
+    rng = random.Random(6)
+    p, q = prose(rng, 30), prose(rng, 30)
+    df = spark.createDataFrame([(1, p), (2, q), (3, p)], "doc_id long, text string")
+    spans = substrings.spans
+    # the second text is said to repeat the first, which it does not
+    keys = {r._doc: r._key for r in df.selectExpr("doc_id AS _doc", "xxhash64(doc_id, text) AS _key").collect()}
+    monkeypatch.setattr(substrings, "spans", lambda docs, name="x": spans(docs, name).unionByName(spark.createDataFrame([(2, keys[2], 0, 30, 1, keys[1], 0)], "doc long, key long, start int, words int, source long, source_key long, source_start int")))
+    assert {r.doc_id: r.n_removed for r in substrings.strip(df, texts=False).collect()} == {1: 0, 2: 0, 3: 30}
+
+
 def test_one_of_each(spark):
     rows = near_copies(4, 60) + [(3, near_copies(4, 60)[3][1]), (100, None), (101, ""), (102, "a b"), (103, "a b")]
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, class string")

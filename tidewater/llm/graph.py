@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +39,9 @@ def passing(spark: SparkSession, words: np.ndarray):
     """A column function of hashes: whether each may be in the filter. Only the hashes go to Python."""
     sent = spark.sparkContext.broadcast(words)
 
-    @F.pandas_udf("boolean")
-    def test(keys: pd.Series) -> pd.Series:
-        return pd.Series(among(sent.value, keys.to_numpy(np.int64).view(np.uint64)))
+    @F.arrow_udf("boolean")
+    def test(keys: pa.Array) -> pa.Array:
+        return pa.array(among(sent.value, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     return test
 

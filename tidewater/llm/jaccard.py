@@ -28,24 +28,32 @@ components is lost, and a group's pairs are looked at only as far as it falls
 into parts. Components are what the query returns, and links within a component
 change nothing in them.
 
+A column that very many rows have is no single task's work: columns of the hot
+list are dealt in cells of about WIDE classes (first step), and a column of more
+than SQUARE classes in blocks, each two of which meet in a group of their own
+(second step).
+
+Shingles have hashes of 64 bits; equal sets are one class only if hashes of 128
+bits agree, over all of the table: where two sets share a class but not its
+second hash, all is done anew with other hashes.
+
 Edge cases: texts with fewer than WORDS words are one shingle, the sequence of
 all; without words a document has no shingle and links with nothing; repeated
-rows link by equal sets; rows with a null doc_id link by equal sets alone, and
-their id names no component; equal counts go to the lesser hash; an empty table gives no rows;
-extra columns are ignored. Hashes have 64 bits; see README.
+rows link by equal sets; rows with a null doc_id link like all others, but
+their id names no component (null if there is no other); equal counts go to the
+greater hash; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.llm.graph import among, components, filter_of, passing
-from tidewater.llm.store import bounded_batches, keep, table, tidy
+from tidewater.llm.store import bounded_batches, keep, table, tidy, unused
 from tidewater.llm.words import U, Words, _mix, grams, signed
 
 WORDS = 5
@@ -54,6 +62,10 @@ PERCENT = 80
 HOT = 1 << 16
 #: A shingle is told of if a task meets it so often among SEEN shingles; the sum must be HOT_LEAST.
 HOT_LOCAL, HOT_LEAST, SEEN = 4, 16, 1 << 22
+#: Classes in a cell of a column (about) and in a block of one; prefix entries that a task sums up before it sends them on.
+WIDE, SQUARE, FLUSH = 1 << 15, 1 << 12, 1 << 19
+#: Hashes that are tried one after the other.
+SEEDS = (0, 2, 4, 6)
 
 
 def least_overlap(nx, ny):
@@ -66,10 +78,10 @@ def beyond(n):
     return (4 * n + 4) // 5 - 1
 
 
-def shingles(texts: pa.Array, k: int = WORDS) -> list[np.ndarray]:
+def shingles(texts: pa.Array, k: int = WORDS, seed: int = 0) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     w = Words(texts)
-    h = w.hashes(lower=True)
+    h = w.hashes(lower=True, seed=seed)
     g = grams(h, k)
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
@@ -135,10 +147,10 @@ def _may_link_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     ends = classes.select("class", "bits")
     both = pairs.join(ends.select(F.col("class").alias("x"), F.col("bits").alias("bx")), "x").join(ends.select(F.col("class").alias("y"), F.col("bits").alias("by")), "y")
 
-    @F.pandas_udf("boolean")
-    def test(bx: pd.Series, by: pd.Series, total: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def test(bx: pa.Array, by: pa.Array, total: pa.Array) -> pa.Array:
         one = np.array([1])
-        return pd.Series([bool(Parities([a, b]).may_link(0, one, np.array([t]))[0]) for a, b, t in zip(bx, by, total, strict=True)])
+        return pa.array([bool(Parities([a, b]).may_link(0, one, np.array([t]))[0]) for a, b, t in zip(bx.to_pylist(), by.to_pylist(), total.to_pylist(), strict=True)])
 
     return both.filter(test("bx", "by", (F.col("nx") + F.col("ny")).cast("long"))).drop("bx", "by")
 
@@ -153,9 +165,9 @@ def _columns(*arrays, names):
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names)
 
 
-def shapes(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the text, class and n of each document (said null), and shingles met often in a task (said their count)."""
-    names = ["doc_id", "key", "class", "n", "said", "bits"]
+def shapes(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """doc_id, key of the text, class, check (its second hash) and n of each document (said null), and shingles met often in a task (said their count)."""
+    names = ["doc_id", "key", "class", "check", "n", "said", "bits"]
 
     def run(batches):
         held, size, known = [], 0, set()
@@ -164,13 +176,14 @@ def shapes(docs: DataFrame) -> DataFrame:
             key, n = _count(np.concatenate(held)) if held else (np.zeros(0, U), np.zeros(0, np.int64))
             key, n = key[n >= HOT_LOCAL], n[n >= HOT_LOCAL]
             empty = pa.nulls(len(key), pa.int64())
-            return _columns(empty, empty, signed(key), pa.nulls(len(key), pa.int32()), n.astype(np.int64), pa.nulls(len(key), pa.binary()), names=names)
+            return _columns(empty, empty, signed(key), empty, pa.nulls(len(key), pa.int32()), n.astype(np.int64), pa.nulls(len(key), pa.binary()), names=names)
 
         for batch in batches:
-            sets = shingles(batch.column(1))
+            sets = shingles(batch.column(1), seed=seed)
             ids = [class_of(s) for s in sets]
             n = np.fromiter(map(len, sets), np.int32, len(sets))
-            yield _columns(batch.column(0), batch.column(2), np.array(ids, np.int64), n, pa.nulls(len(sets), pa.int64()), pa.array([parities(s) if len(s) else None for s in sets], pa.binary()), names=names)
+            check = [class_of(s) for s in shingles(batch.column(1), seed=seed + 1)]
+            yield _columns(batch.column(0), batch.column(2), np.array(ids, np.int64), np.array(check, np.int64), n, pa.nulls(len(sets), pa.int64()), pa.array([parities(s) if len(s) else None for s in sets], pa.binary()), names=names)
             for c, s in zip(ids, sets, strict=True):
                 if c not in known and len(s):
                     known.add(c)
@@ -182,7 +195,7 @@ def shapes(docs: DataFrame) -> DataFrame:
         yield often()
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).mapInArrow(tidy(run), "doc_id long, key long, class long, n int, said long, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).mapInArrow(tidy(run), "doc_id long, key long, class long, check long, n int, said long, bits binary")
 
 
 class Order:
@@ -191,10 +204,19 @@ class Order:
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         order = np.argsort(keys)
         self.keys = keys[order]
+        self.cells = -(-counts[order] // WIDE)
         place = np.empty(len(keys), np.int64)
         place[np.lexsort((keys[order], counts[order]))] = np.arange(1, len(keys) + 1)
         self.place = place
 
+    def cell(self, s: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The cell of a column that a class is in; -1 for columns that are whole."""
+        if not len(self.keys):
+            return np.full(len(s), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+        cells = np.where(self.keys[at] == s, self.cells[at], 1)
+        return np.where(cells > 1, (_mix(c.view(U)) % cells.astype(U)).astype(np.int64), -1).astype(np.int32)
+
     def prefix(self, s: np.ndarray) -> np.ndarray:
         """The first len - beyond(len) entries of a sorted set."""
         p = len(s) - beyond(len(s))
@@ -205,40 +227,58 @@ class Order:
         return s[np.argsort(place, kind="stable")[:p]]
 
 
-def postings(docs: DataFrame, order) -> DataFrame:
-    """s, class, n, copies: prefix entries of each class of an Arrow batch, with its copies there."""
+def postings(docs: DataFrame, order, seed: int = 0) -> DataFrame:
+    """s, cell, class, n, copies: prefix entries of each class that a task meets, with its copies there.
+
+    cell is -1, but for columns of the hot list that are too wide for a task.
+    """
 
     def run(batches):
+        by: dict[int, list] = {}
+        size = 0
+
+        def out():
+            width = [len(p) for p, _, _ in by.values()]
+            rep = lambda x, t: np.repeat(np.array(x, t), width)
+            s, c = np.concatenate([p for p, _, _ in by.values()]), rep(list(by), np.int64)
+            n, m = rep([n for _, n, _ in by.values()], np.int32), rep([m for _, _, m in by.values()], np.int32)
+            cell = order.value.cell(s, c)
+            for lo in range(0, len(s), 1 << 16):
+                at = slice(lo, lo + (1 << 16))
+                yield _columns(signed(s[at]), cell[at], c[at], n[at], m[at], names=["s", "cell", "class", "n", "copies"])
+
         for batch in batches:
-            by: dict[int, list] = {}
-            for s in shingles(batch.column(0)):
+            for s in shingles(batch.column(0), seed=seed):
                 if len(s):
                     c = class_of(s)
                     if c in by:
                         by[c][2] += 1
                     else:
                         by[c] = [order.value.prefix(s), len(s), 1]
-            if by:
-                width = [len(p) for p, _, _ in by.values()]
-                rep = lambda x, t: np.repeat(np.array(x, t), width)
-                yield _columns(signed(np.concatenate([p for p, _, _ in by.values()])), rep(list(by), np.int64), rep([n for _, n, _ in by.values()], np.int32), rep([m for _, _, m in by.values()], np.int32), names=["s", "class", "n", "copies"])
+                        size += len(by[c][0])
+            if size >= FLUSH:
+                yield from out()
+                by, size = {}, 0
+        if by:
+            yield from out()
 
     bounded_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(tidy(run), "s long, class long, n int, copies int")
+    return docs.select("text").mapInArrow(tidy(run), "s long, cell int, class long, n int, copies int")
 
 
 def _columns_of(batches, names):
-    """Whole columns (all rows of a shingle) of a partition sorted by s, as arrays of bounded size where columns are."""
+    """Whole columns (all rows alike in the first two names) of a partition sorted by these, as arrays of bounded size where columns are."""
     held = None
     for batch in batches:
         now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
         if held is not None:
             now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
-        s = now[0]
+        s, u = now[0], now[1]
         if len(s) < 1 << 17:
             held = now
             continue
-        cut = int(np.searchsorted(s, s[-1]))
+        lo = int(np.searchsorted(s, s[-1]))
+        cut = lo + int(np.searchsorted(u[lo:], u[-1]))
         if cut:
             yield [x[:cut] for x in now]
         held = [x[cut:] for x in now]
@@ -246,6 +286,15 @@ def _columns_of(batches, names):
         yield held
 
 
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any of keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for x in keys:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
 def _summed(x, y, nx, ny):
     """Pairs with their number of occurrences."""
     order = np.lexsort((y, x))
@@ -271,19 +320,20 @@ def stars(posted: DataFrame) -> DataFrame:
     names = ["s", "x", "y", "nx", "ny", "c"]
 
     def run(batches):
-        for s, c, n, m in _columns_of(batches, ("s", "class", "n", "copies")):
-            # rows of one class from several batches: one entry, copies summed
-            new = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
+        for s, u, c, n, m in _columns_of(batches, ("s", "cell", "class", "n", "copies")):
+            # rows of one class from several tasks: one entry, copies summed
+            new = _new(s, u, c)
             m = np.add.reduceat(m, np.flatnonzero(new))
-            s, c, n = s[new], c[new], n[new]
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            s, u, c, n = s[new], u[new], c[new], n[new]
+            first = np.flatnonzero(_new(s, u))
             width = np.diff(np.append(first, len(s)))
-            own = np.repeat(width > 1, width)
+            # of a cell others may hold more classes
+            own = np.repeat(width > 1, width) | (u >= 0)
             if not own.any():
                 continue
-            s, c, n, m = s[own], c[own], n[own], m[own]
+            s, u, c, n, m = s[own], u[own], c[own], n[own], m[own]
             yield _columns(s, c, pa.nulls(len(s), pa.int64()), n, pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.int64()), names=names)
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            first = np.flatnonzero(_new(s, u))
             width = np.diff(np.append(first, len(s)))
             column = np.repeat(np.arange(len(first)), width)
             most = np.lexsort((c, -m.astype(np.int64), column))[first]
@@ -299,13 +349,14 @@ def stars(posted: DataFrame) -> DataFrame:
                 x, y, nx, ny, k = _summed(x, y, nx, ny)
                 yield _columns(pa.nulls(len(x), pa.int64()), x, y, nx, ny, k, names=names)
 
-    rows = posted.repartition("s").sortWithinPartitions("s", "class")
+    rows = posted.repartition("s", "cell").sortWithinPartitions("s", "cell", "class")
     return rows.mapInArrow(tidy(run), PAIRS)
 
 
 def across(entries: DataFrame) -> DataFrame:
-    """x, y, nx, ny, c: pairs of different components in each column of entries (s, class, n, component, q, bits).
+    """x, y, nx, ny, c: pairs of different components in each column of entries (s, two, block, class, n, component, q, bits).
 
+    two names the blocks of a column that meet here (lesser << 32 | greater).
     q is the number of columns in which a class meets others: no pair has more
     common columns than either has, so pairs that this rules out are not formed.
     """
@@ -319,15 +370,19 @@ def across(entries: DataFrame) -> DataFrame:
             x, y, nx, ny, k = _summed(*(np.concatenate(p) for p in (x_, y_, nx_, ny_)))
             return _columns(x, y, nx, ny, k, names=names)
 
-        for s, c, n, g, q, bits in _columns_of(batches, ("s", "class", "n", "component", "q", "bits")):
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])).tolist()
+        for s, u, own, c, n, g, q, bits in _columns_of(batches, ("s", "two", "block", "class", "n", "component", "q", "bits")):
+            first = np.flatnonzero(_new(s, u)).tolist()
             for a, b in zip(first, [*first[1:], len(s)], strict=True):
                 if b - a < 2:
                     continue
                 known = Parities(bits[a:b].tolist())
+                apart = int(u[a]) >> 32 != int(u[a]) & 0xFFFFFFFF
                 for i in range(a, b - 1):
                     may = np.minimum(q[i + 1 : b], q[i]) >= _needed(n[i + 1 : b].astype(np.int64), int(n[i]))
-                    j = i + 1 + np.flatnonzero(may & (g[i + 1 : b] != g[i]) & _close(n[i + 1 : b], n[i]))
+                    may &= (g[i + 1 : b] != g[i]) & _close(n[i + 1 : b], n[i])
+                    if apart:
+                        may &= own[i + 1 : b] != own[i]
+                    j = i + 1 + np.flatnonzero(may)
                     if len(j):
                         j = j[known.may_link(i - a, j - a, n[j].astype(np.int64) + int(n[i]))]
                     if len(j):
@@ -342,66 +397,90 @@ def across(entries: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    rows = entries.select("s", "class", "n", "component", "q", "bits").repartition("s").sortWithinPartitions("s", "class")
+    rows = entries.select("s", "two", "block", "class", "n", "component", "q", "bits").repartition("s", "two").sortWithinPartitions("s", "two", "class")
     return rows.mapInArrow(tidy(run), "x long, y long, nx int, ny int, c long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class and its whole set (entries) for each class of wanted (class, doc_id: one of its documents)."""
-    key = F.expr("xxhash64(doc_id)")
-    words = docs.sparkSession.sparkContext.broadcast(filter_of(wanted.select(key.alias("key"))))
+def met_by_two(entries: DataFrame, square: int) -> DataFrame:
+    """entries of columns that more than one component has, with block and two: a column of over `square` rows in blocks, each row once for every block that its own meets."""
+    wide = entries.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("width")).filter("a <> b")
+    wide = wide.select("s", F.ceil(F.col("width") / square).cast("long").alias("blocks"))
+    own = entries.join(wide, "s").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    own = own.withColumn("other", other)
+    return own.withColumn("two", F.shiftleft(F.least("block", "other").cast("long"), 32) + F.greatest("block", "other").cast("long")).drop("other", "blocks")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
+    """class and its whole set (entries) for each class of wanted (class, and row: a document that has it)."""
+    words = docs.sparkSession.sparkContext.broadcast(filter_of(wanted.select(F.col("row").alias("key"))))
 
     def run(batches):
         for batch in batches:
-            use = np.flatnonzero(among(words.value, batch.column(2).to_numpy(zero_copy_only=False).view(U)))
+            use = np.flatnonzero(among(words.value, batch.column(1).to_numpy(zero_copy_only=False).view(U)))
+            known = set()
             for lo in range(0, len(use), 64):
-                at = pa.array(use[lo : lo + 64])
-                sets = shingles(batch.column(1).take(at))
-                yield _columns(batch.column(0).take(at), np.array([class_of(s) for s in sets], np.int64), pa.array([signed(s) for s in sets], pa.list_(pa.int64())), names=["doc_id", "class", "entries"])
+                at = use[lo : lo + 64]
+                sets = shingles(batch.column(0).take(pa.array(at)), seed=seed)
+                ids = [class_of(s) for s in sets]
+                new = [i for i, c in enumerate(ids) if c not in known and not known.add(c)]
+                yield _columns(batch.column(1).take(pa.array(at[new])), np.array([ids[i] for i in new], np.int64), pa.array([signed(sets[i]) for i in new], pa.list_(pa.int64())), names=["row", "class", "entries"])
 
     bounded_batches(docs.sparkSession)
-    found = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", key).mapInArrow(tidy(run), "doc_id long, class long, entries array<long>")
-    return found.join(wanted, ["doc_id", "class"], "left_semi").dropDuplicates(["class"]).select("class", "entries")
+    found = docs.select("text", row_of(F.col("doc_id"), F.xxhash64("text")).alias("row")).mapInArrow(tidy(run), "row long, class long, entries array<long>")
+    return found.join(wanted, ["row", "class"], "left_semi").dropDuplicates(["class"]).select("class", "entries")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+def row_of(doc_id, key):
+    """What names a document: its id and the hash of its text."""
+    return F.xxhash64(doc_id.cast("long"), key)
+
+
+def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, name: str, seed: int = 0) -> DataFrame:
     """x and y of those pairs (x, y, nx, ny) whose whole sets link."""
     pairs = keep(pairs.select("x", "y", "nx", "ny"), f"jaccard-{name}-pairs")
     ends = pairs.select(F.col("x").alias("class")).unionByName(pairs.select(F.col("y").alias("class"))).distinct()
-    wanted = keep(ends.join(classes, "class").select("class", F.col("least").alias("doc_id")), f"jaccard-{name}-ends")
-    sets = keep(sets_of(docs, wanted), f"jaccard-{name}-sets")
+    wanted = keep(ends.join(classes, "class").select("class", "row"), f"jaccard-{name}-ends")
+    sets = keep(sets_of(docs, wanted, seed), f"jaccard-{name}-sets")
     both = pairs.join(sets.select(F.col("class").alias("x"), F.col("entries").alias("ex")), "x").join(sets.select(F.col("class").alias("y"), F.col("entries").alias("ey")), "y")
     enough = F.size(F.array_intersect("ex", "ey")) >= F.expr("(4 * (nx + ny) + 8) div 9")
     return keep(both.filter(enough).select("x", "y"), f"jaccard-{name}-links")
 
 
-def join(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def classed(docs: DataFrame) -> tuple[int, DataFrame, DataFrame]:
+    """Seed of the hashes, shapes and classes (class, least, row, copies, bits), such that no two sets share a class."""
+    for seed in SEEDS:
+        said = keep(shapes(docs, seed), "jaccard-shapes")
+        least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+        classes = said.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), least.alias("m"), F.count("*").alias("copies"), F.min("bits").alias("bits"), (F.min("check") != F.max("check")).alias("clash"))
+        classes = keep(classes.select("class", "least", row_of(F.col("m.doc_id"), F.col("m.key")).alias("row"), "copies", "bits", "clash"), "jaccard-classes")
+        if classes.filter("clash").isEmpty():
+            return seed, said, classes
+    raise RuntimeError("jaccard: different sets share a hash, whichever hash is used")
+
+
+def join(docs: DataFrame, hot: int = HOT, square: int = SQUARE) -> DataFrame:
     """doc_id, n_shingles, component_id, class, copies for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    said = keep(shapes(docs), "jaccard-shapes")
-    told = said.filter("n is not null")
-    rows = told.select("doc_id", "key", "class", "n")
+    seed, said, classes = classed(docs)
+    rows = said.filter("n is not null").select("doc_id", "key", "class", "n")
     often = said.filter("n is null").groupBy("class").agg(F.sum("said").alias("df")).filter(F.col("df") >= HOT_LEAST).orderBy(F.desc("df"), "class").limit(hot).toArrow()
     order = spark.sparkContext.broadcast(Order(often.column("class").to_numpy().astype(np.int64).view(U), often.column("df").to_numpy()))
-    classes = keep(told.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("bits").alias("bits")), "jaccard-classes")
-    met = keep(stars(postings(docs, order)), "jaccard-columns")
+    met = keep(stars(postings(docs, order, seed)), "jaccard-columns")
     pivots = met.filter("s is null").groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c"))
     need = F.greatest(F.lit(1), F.expr("(4 * (nx + ny) + 8) div 9 - greatest((4 * nx + 4) div 5, (4 * ny + 4) div 5) + 1"))
-    # these pairs only save work later on: likely ones and two pivots a row will do
-    worth = pivots.filter((4 * F.col("c") >= need) & (45 * F.col("c") >= F.col("nx") + F.col("ny")))
-    best = lambda me, it: W.partitionBy(me).orderBy(F.desc("c"), it)
-    worth = worth.withColumn("rx", F.row_number().over(best("x", "y"))).withColumn("ry", F.row_number().over(best("y", "x"))).filter("rx <= 2 or ry <= 2")
-    links = linked(docs, _may_link_pairs(worth, classes), classes, "first")
+    # these pairs only save work later on: likely ones and two pivots a row (the best of each half of them) will do
+    worth = keep(pivots.filter((4 * F.col("c") >= need) & (45 * F.col("c") >= F.col("nx") + F.col("ny"))), "jaccard-likely")
+    best = [worth.groupBy(me, F.pmod(it, F.lit(2))).agg(F.max(F.struct("c", it, "nx", "ny")).alias("m")).select(me, f"m.{it}", "m.nx", "m.ny") for me, it in (("x", "y"), ("y", "x"))]
+    links = linked(docs, _may_link_pairs(best[0].unionByName(best[1]).distinct(), classes), classes, "first", seed)
     parts = keep(components(links, "jaccard-first"), "jaccard-parts")
     entries = met.filter("s is not null").select("s", F.col("x").alias("class"), F.col("nx").alias("n"))
     entries = entries.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     # the join has dealt entries by class already
     entries = keep(entries.withColumn("q", F.count("*").over(W.partitionBy("class")).cast("int")), "jaccard-entries")
     # parities go along with entries of columns that more than one component has
-    split = entries.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("s")
-    asked = entries.join(split, "s", "left_semi")
-    pairs = across(asked.join(classes.select("class", "bits"), "class")).groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c")).filter(F.col("c") >= need)
-    more = linked(docs, pairs, classes, "second")
+    pairs = across(met_by_two(entries, square).join(classes.select("class", "bits"), "class")).groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c")).filter(F.col("c") >= need)
+    more = linked(docs, pairs, classes, "second", seed)
     parts = keep(components(links.unionByName(more), "jaccard-second"), "jaccard-parts")
     named = classes.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -417,20 +496,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that go, and repeated rows, are looked up in a filter first, so that the
     others' texts are not shuffled; what the filter lets pass by mistake is joined too.
     """
-    row = F.xxhash64("doc_id", "key")
-    found = keep(join(docs).withColumn("row", row), "jaccard-groups")
+    name = unused(docs.columns, "_row")[0]
+    found = keep(join(docs.select("doc_id", "text")).withColumn("row", row_of(F.col("doc_id"), F.col("key"))), "jaccard-groups")
     stay = found.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("s")).select("group", F.col("s.row").alias("stays"))
     stay = keep(stay, "jaccard-stay")
     gone = found.filter("n_shingles > 0").join(stay, "group").filter("row <> stays").select("row")
     twice = found.filter("n_shingles > 0").groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row")
-    test = passing(docs.sparkSession, filter_of(gone.unionByName(twice).select(F.xxhash64("row").alias("key"))))
-    own = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    asked = test(F.xxhash64("_row"))
+    test = passing(docs.sparkSession, filter_of(gone.unionByName(twice).select(F.col("row").alias("key"))))
+    own = docs.withColumn(name, row_of(F.col("doc_id"), F.xxhash64("text")))
+    asked = test(F.col(name))
     safe = own.filter(~asked)
-    wordless = found.filter("n_shingles = 0").select(F.col("row").alias("_row")).distinct()
+    wordless = found.filter("n_shingles = 0").select(F.col("row").alias(name)).distinct()
     checked = own.filter(asked)
-    once = checked.join(stay.select(F.col("stays").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"])
-    return safe.unionByName(once).unionByName(checked.join(wordless, "_row", "left_semi")).drop("_row")
+    once = checked.join(stay.select(F.col("stays").alias(name)), name, "left_semi").dropDuplicates([name])
+    return safe.unionByName(once).unionByName(checked.join(wordless, name, "left_semi")).select(docs.columns)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: long texts stay far below a worker's memory.
 BATCH_ROWS = 512
 BATCH_BYTES = 4 << 20
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a local one only if the session names none (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, a local folder if all run in this process; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset: on {master}, name a folder that all executors see")
+        app = spark.sparkContext.applicationId
+        found = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tidewater-"))
     return found.rstrip("/")
 
 
@@ -45,6 +53,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """names, each with underscores in front until no column (in any case) is called so."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(df: DataFrame, added: Iterable[str]) -> DataFrame:
+    """df without columns that are called like one of added: these give way."""
+    gone = {c.lower() for c in added}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
 def _release() -> None:
     """Give memory that a task has freed back to the system: workers live on between tasks."""
     pa.default_memory_pool().release_unused()

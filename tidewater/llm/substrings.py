@@ -14,11 +14,15 @@ one row: all occurrences of an edge lie in paths of the same minimizer.
    earliest place (smaller doc_id, then earlier start) of the same edge. An edge
    is known by minimizer and own hash together: 128 bits.
 3. Neighbouring matches of a text whose source places are neighbours too are
-   compacted to one span: the coordinates in the source verify that what
-   repeats is one passage there and not a walk through several.
-4. Spans are joined to their texts, and the words that they cover are removed.
+   compacted to one span.
+4. Source coordinates verify: the words at a span's source are read from the
+   source text and digested (`told`), and the digest goes along with the span.
+5. Spans are joined to their texts, and the words that they cover are removed if
+   they are the source's words. A span whose words differ, as only a collision of
+   hashes can make it, is no repeat: its words stay.
 
-A passage that a third of all texts hold is one row a batch of texts.
+A passage that a third of all texts hold is one row a batch of texts. What is
+asked of one source text is cut into lists of about ASKED places.
 
 Edge cases: null texts and texts under WINDOW words lose nothing; a null doc_id
 comes after all others; rows of one doc_id count as one document, so at equal
@@ -39,9 +43,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.graph import among, filter_of, passing
-from tidewater.llm.store import bounded_batches, keep, table, tidy
-from tidewater.llm.words import _MULT, U, Words, _mix, grams, signed
+from tidewater.llm.graph import among, filter_of
+from tidewater.llm.store import bounded_batches, keep, others, table, tidy, unused
+from tidewater.llm.words import U, Words, _mix, grams, signed
 
 WINDOW = 20
 SEED = 8
@@ -49,6 +53,8 @@ FILTER_BITS = 1 << 27
 LAST = 2**63 - 1
 #: Minimizers that a task sums up before it sends them on.
 FLUSH = 1 << 21
+#: Places of a source text that one row asks for, about.
+ASKED = 4096
 
 
 def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -92,18 +98,6 @@ class Paths:
         self.text = text[self.start]
         self.minimizer = self.seeds[place[self.start]]
 
-    def digest(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the words start..end of each path, by a polynomial over word hashes."""
-        n = len(self.hash)
-        power = np.full(n + 1, _MULT, U)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        inverse = np.full(n + 1, U(pow(int(_MULT), -1, 1 << 64)), U)
-        inverse[0] = 1
-        inverse = np.multiply.accumulate(inverse)
-        c = np.concatenate([np.zeros(1, U), np.cumsum(_mix(self.hash) * power[:n], dtype=U)])
-        return _mix((c[end] - c[start]) * inverse[start] + (end - start).astype(U) * U(0xC2B2AE3D27D4EB4F))
-
 
 def _sum(parts):
     key = np.concatenate([k for k, _ in parts])
@@ -140,8 +134,8 @@ def repeated_minimizers(docs: DataFrame) -> DataFrame:
     return told.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
 
 
-_MATCH = "minimizer long, doc long, key long, start int, size int, edges binary, source long, source_start int"
-_MATCH_NAMES = ["minimizer", "doc", "key", "start", "size", "edges", "source", "source_start"]
+_MATCH = "minimizer long, doc long, key long, start int, size int, edges binary, source long, source_key long, source_start int"
+_MATCH_NAMES = ["minimizer", "doc", "key", "start", "size", "edges", "source", "source_key", "source_start"]
 
 
 def paths(docs: DataFrame, filtered) -> DataFrame:
@@ -157,33 +151,38 @@ def paths(docs: DataFrame, filtered) -> DataFrame:
             doc = batch.column(1).to_numpy(zero_copy_only=False)[text]
             key = batch.column(2).to_numpy(zero_copy_only=False)[text]
             local = start - p.words.first[text]
-            same = p.digest(start, start + size + WINDOW - 1)
-            order = np.lexsort((local, doc, same))
-            new = np.concatenate([[True], same[order][1:] != same[order][:-1]])
+            # a path is shorter than two windows: its first and last edge and its size are all of its words
+            edges = grams(p.hash, WINDOW)
+            first, last = edges[start], edges[start + size - 1]
+            order = np.lexsort((local, doc, size, last, first))
+            a, b, n = first[order], last[order], size[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (n[1:] != n[:-1])])
             head = np.empty(len(order), np.int64)
             head[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
             later = (doc > doc[head]) | ((doc == doc[head]) & (local > local[head]))
-            edges = grams(p.hash, WINDOW)
             raw = edges.tobytes()
             packed = [None if x else raw[8 * a : 8 * (a + n)] for a, n, x in zip(start.tolist(), size.tolist(), later.tolist(), strict=True)]
             # what is matched already needs no meeting place: it is spread by its own text and start
             lead = np.where(later, signed(_mix(key.astype(np.int64).view(U) + local.astype(U))), signed(p.minimizer[use]))
             i32 = lambda x: pa.array(x.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(doc.astype(np.int64)), pa.array(key.astype(np.int64)), i32(local), i32(size), pa.array(packed, pa.binary()), pa.array(np.where(later, doc[head], 0), mask=~later), pa.array(local[head].astype(np.int32), mask=~later)], names=_MATCH_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(doc.astype(np.int64)), pa.array(key.astype(np.int64)), i32(local), i32(size), pa.array(packed, pa.binary()), pa.array(np.where(later, doc[head], 0), mask=~later), pa.array(key[head].astype(np.int64), mask=~later), pa.array(local[head].astype(np.int32), mask=~later)], names=_MATCH_NAMES)
 
     bounded_batches(docs.sparkSession)
     return docs.select("text", "_doc", "_key").mapInArrow(tidy(run), _MATCH)
 
 
 def _runs(*columns):
-    """Where a new run begins: all columns advance by one within a run, the first two stay."""
-    a, b, c, d, e = columns
-    return np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1] + 1) | (e[1:] != e[:-1] + 1)]) if len(a) else np.zeros(0, bool)
+    """Where a new run begins: within a run the last two columns advance by one, the others stay."""
+    *same, d, e = columns
+    new = (d[1:] != d[:-1] + 1) | (e[1:] != e[:-1] + 1)
+    for x in same:
+        new |= x[1:] != x[:-1]
+    return np.concatenate([[True], new]) if len(d) else np.zeros(0, bool)
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """doc, key, start, size (windows), source, source_start: windows that start earlier elsewhere."""
-    names = ["doc", "key", "start", "size", "source", "source_start"]
+    """doc, key, start, size (windows), source, source_key, source_start: windows that start earlier elsewhere."""
+    names = ["doc", "key", "start", "size", "source", "source_key", "source_start"]
 
     def resolve(v, doc, key, start, size, edges):
         h = np.frombuffer(b"".join(edges), U)
@@ -195,12 +194,14 @@ def matches(found: DataFrame) -> DataFrame:
         new = np.concatenate([[True], (v[1:] != v[:-1]) | (h[1:] != h[:-1])])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = np.flatnonzero((doc > doc[head]) | ((doc == doc[head]) & (at > at[head])))
-        doc, key, at, source, place = doc[later], key[later], at[later], doc[head[later]], at[head[later]]
-        order = np.lexsort((at, key, doc))
-        doc, key, at, source, place = doc[order], key[order], at[order], source[order], place[order]
-        edge = np.flatnonzero(_runs(doc, key, source, at, place))
-        length = np.diff(np.append(edge, len(doc)))
-        return pa.RecordBatch.from_arrays([pa.array(doc[edge]), pa.array(key[edge]), pa.array(at[edge].astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(source[edge]), pa.array(place[edge].astype(np.int32))], names=names)
+        head = head[later]
+        order = np.lexsort((at[later], key[later], doc[later]))
+        later, head = later[order], head[order]
+        edge = np.flatnonzero(_runs(doc[later], key[later], doc[head], key[head], at[later], at[head]))
+        length = np.diff(np.append(edge, len(later)))
+        later, head = later[edge], head[edge]
+        i32 = lambda x: pa.array(x.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(key[later]), i32(at[later]), i32(length), pa.array(doc[head]), pa.array(key[head]), i32(at[head])], names=names)
 
     def run(batches):
         held, size = [], 0
@@ -208,7 +209,7 @@ def matches(found: DataFrame) -> DataFrame:
             there = batch.column(5).is_valid()
             done = batch.filter(pc.invert(there))
             if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(i) for i in (1, 2, 3, 4, 6, 7)], names=names)
+                yield pa.RecordBatch.from_arrays([done.column(i) for i in (1, 2, 3, 4, 6, 7, 8)], names=names)
             own = batch.filter(there)
             if own.num_rows:
                 held.append(own)
@@ -226,7 +227,7 @@ def matches(found: DataFrame) -> DataFrame:
             yield resolve(*_arrays(pa.Table.from_batches(held)))
 
     rows = found.repartition("minimizer").sortWithinPartitions("minimizer")
-    return rows.mapInArrow(tidy(run), "doc long, key long, start int, size int, source long, source_start int")
+    return rows.mapInArrow(tidy(run), "doc long, key long, start int, size int, source long, source_key long, source_start int")
 
 
 def _arrays(rows: pa.Table):
@@ -235,34 +236,80 @@ def _arrays(rows: pa.Table):
 
 
 def spans(docs: DataFrame, name: str = "repeats") -> DataFrame:
-    """doc, key, start, words, source, source_start: compacted repeats of docs (text, _doc, _key)."""
+    """doc, key, start, words, source, source_key, source_start: compacted repeats of docs (text, _doc, _key)."""
     sent = docs.sparkSession.sparkContext.broadcast(filter_of(repeated_minimizers(docs), FILTER_BITS))
-    found = keep(matches(paths(docs, sent)), name)
+    # rows alike in doc_id and text say the same
+    found = keep(matches(paths(docs, sent)).distinct(), name)
     # paths that follow on each other in both texts are one span
-    order = W.partitionBy("doc", "key").orderBy("start", "source", "source_start")
-    follows = (F.lag("source").over(order) == F.col("source")) & (F.lag("start").over(order) + F.lag("size").over(order) == F.col("start")) & (F.lag("source_start").over(order) + F.lag("size").over(order) == F.col("source_start"))
+    order = W.partitionBy("doc", "key").orderBy("start", "source", "source_key", "source_start")
+    follows = (F.lag("source").over(order) == F.col("source")) & (F.lag("source_key").over(order) == F.col("source_key")) & (F.lag("start").over(order) + F.lag("size").over(order) == F.col("start")) & (F.lag("source_start").over(order) + F.lag("size").over(order) == F.col("source_start"))
     marked = found.withColumn("island", F.sum(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).over(order))
-    whole = marked.groupBy("doc", "key", "island").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.min("source_start").alias("source_start"), F.first("source").alias("source"))
-    return whole.select("doc", "key", "start", (F.col("size") + WINDOW - 1).cast("int").alias("words"), "source", "source_start")
+    whole = marked.groupBy("doc", "key", "island").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.min("source_start").alias("source_start"), F.first("source").alias("source"), F.first("source_key").alias("source_key"))
+    return whole.select("doc", "key", "start", (F.col("size") + WINDOW - 1).cast("int").alias("words"), "source", "source_key", "source_start")
+
+
+def _print(words: list[bytes], start: int, n: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[start : start + n]), digest_size=16).digest()
+
+
+def _among_texts(docs: DataFrame, words) -> DataFrame:
+    """Rows of docs (text, _doc, _key) whose _key may be in the filter sent."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(among(words.value, batch.column(2).to_numpy(zero_copy_only=False).view(U))))
+
+    bounded_batches(docs.sparkSession)
+    return docs.select("text", "_doc", "_key").mapInArrow(tidy(run), "text string, _doc long, _key long")
+
+
+def told(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """doc, key, start, words, print: the digest of each place's words, for places found (source, source_key, source_start, words)."""
+    asked = found.select(F.col("source").alias("_doc"), F.col("source_key").alias("_key"), F.col("source_start").alias("start"), "words").distinct()
+    lists = asked.groupBy("_doc", "_key").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("_lists"))
+    lists = keep(lists, "repeats-sources")
+    asked = asked.join(lists, ["_doc", "_key"]).withColumn("_list", F.pmod(F.xxhash64("start", "words"), F.col("_lists")).cast("int"))
+    asked = asked.groupBy("_doc", "_key", "_list").agg(F.collect_list(F.struct("start", "words")).alias("places"))
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(lists.select(F.col("_key").alias("key"))))
+    # equal texts of one doc_id say the same
+    texts = _among_texts(docs, sent).join(lists, ["_doc", "_key"]).withColumn("_list", F.explode(F.sequence(F.lit(0), F.col("_lists") - 1)))
+    both = texts.join(asked, ["_doc", "_key", "_list"]).select("text", "_doc", "_key", "places")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = (batch.column(0)[i].as_py() or "").encode().split()
+                places = batch.column(3).slice(i, 1).flatten()
+                start, n = places.field(0), places.field(1)
+                prints = [_print(words, a, b) for a, b in zip(start.to_pylist(), n.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(1)[i], len(prints)), pa.repeat(batch.column(2)[i], len(prints)), start, n, pa.array(prints, pa.binary())], names=["doc", "key", "start", "words", "print"])
+
+    return both.mapInArrow(tidy(run), "doc long, key long, start int, words int, print binary").distinct()
+
+
+ADDED = ("n_words", "n_removed", "kept_sha256")
 
 
 def strip(docs: DataFrame, texts: bool = True) -> DataFrame:
     """docs with n_words, n_removed and kept_sha256; with texts, the text of those that lose words is what they keep, joined by one space."""
-    added = ["n_words", "n_removed", "kept_sha256"]
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-    own = own.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_key", F.xxhash64("doc_id", "text"))
-    cut = spans(own.select("text", "_doc", "_key"))
-    cut = keep(cut.groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("_cut")), "repeats-by-text")
+    own = others(docs, ADDED)
+    columns = own.columns
+    doc, key, cut = unused(own.columns, "_doc", "_key", "_cut")
+    own = own.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(key, F.xxhash64("doc_id", "text"))
+    narrow = own.select("text", F.col(doc).alias("_doc"), F.col(key).alias("_key"))
+    found = keep(spans(narrow), "repeats-spans")
+    place = ["source", "source_key", "source_start", "words"]
+    prints = told(narrow, found).toDF(*place, "print")
+    lists = found.join(prints, place, "left").groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("start", "words", "print"))).alias(cut))
+    lists = keep(lists, "repeats-by-text")
     # texts that lose nothing are digested where they are read and not shuffled
-    words = filter_of(cut.select(F.expr("xxhash64(key)").alias("key")))
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(lists.select("key")))
+    lists = lists.select(F.col("doc").alias(doc), F.col("key").alias(key), cut)
+    joined = _digested(own, key, sent, not texts).join(lists, [doc, key], "left").select(*(F.col(f"`{c}`") for c in columns), "n_words", "kept_sha256", cut)
+    out = _finish(joined, cut)
     if texts:
-        test = passing(docs.sparkSession, words)(F.xxhash64("_key"))
-        clean = own.filter(~test).drop("_doc", "_key").withColumn("_cut", F.lit(None).cast("array<struct<start:int,words:int>>"))
-        own = own.filter(test)
-    else:
-        own = _digest_first(own.withColumn("_test", F.xxhash64("_key")), docs.sparkSession.sparkContext.broadcast(words))
-    joined = own.join(cut.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "_cut"), ["_doc", "_key"], "left").drop("_doc", "_key")
-    return _finish(joined.unionByName(clean) if texts else joined, texts)
+        return out.unionByName(_digested(own, key, sent, False, False).select(*(F.col(f"`{c}`") for c in columns), "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"))
+    return out.drop("text")
 
 
 def _told(raw: bytes) -> tuple[int, str]:
@@ -270,57 +317,63 @@ def _told(raw: bytes) -> tuple[int, str]:
     return len(words), hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _digest_first(own: DataFrame, words) -> DataFrame:
-    """own with n_words and kept_sha256 and no text, except for texts that may lose words."""
-    schema = T.StructType([*(f for f in own.schema.fields if f.name != "_test"), T.StructField("n_words", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+def _digested(own: DataFrame, key: str, words, every: bool, asked: bool = True) -> DataFrame:
+    """own with n_words and kept_sha256, both null for texts that may lose words.
+
+    every: all rows, with the text of those alone that may lose words; else only
+    rows that may (asked) or may not lose words, with their texts.
+    """
+    schema = T.StructType([*own.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            test = batch.schema.get_field_index("_test")
-            hit = among(words.value, batch.column(test).to_numpy(zero_copy_only=False).view(U))
-            texts = batch.column(at).to_pylist()
-            told = [(None, None) if h else _told((x or "").encode()) for h, x in zip(hit, texts, strict=True)]
-            columns = [pa.array([x if h else None for h, x in zip(hit, texts, strict=True)], pa.string()) if i == at else c for i, c in enumerate(batch.columns) if i != test]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _ in told], pa.int64()), pa.array([s for _, s in told], pa.string())], schema.names)
+            hit = among(words.value, batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False).view(U))
+            if not every:
+                batch = batch.filter(pa.array(hit if asked else ~hit))
+                hit = np.full(batch.num_rows, asked)
+            texts = batch.column(at)
+            own = [(None, None) if h else _told((x.as_py() or "").encode()) for h, x in zip(hit, texts, strict=True)]
+            columns = list(batch.columns)
+            if every:
+                columns[at] = pc.if_else(pa.array(hit), texts, pa.scalar(None, texts.type))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _ in own], pa.int64()), pa.array([s for _, s in own], pa.string())], schema.names)
 
     bounded_batches(own.sparkSession)
     return own.mapInArrow(tidy(run), schema)
 
 
-def _finish(joined: DataFrame, texts: bool) -> DataFrame:
-    gone = {"_cut", "n_words", "kept_sha256"} | (set() if texts else {"text"})
-    schema = T.StructType([*(f for f in joined.schema.fields if f.name not in gone), T.StructField("n_words", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("kept_sha256", T.StringType(), False)])
+def _kept(raw: bytes, found: list | None) -> tuple[int, list[bytes]]:
+    """Number of words, and those that stay; a span's words go if they are what its source has."""
+    words = raw.split()
+    stay = np.ones(len(words), bool)
+    for r in found or ():
+        if _print(words, r["start"], r["words"]) == r["print"]:
+            stay[r["start"] : r["start"] + r["words"]] = False
+    return len(words), words if stay.all() else [words[i] for i in np.flatnonzero(stay)]
+
+
+def _finish(joined: DataFrame, cut: str) -> DataFrame:
+    """joined (with n_words, kept_sha256 of texts that lose nothing, and the spans) with ADDED, text by text."""
+    schema = T.StructType([*(f for f in joined.schema.fields if f.name not in (cut, *ADDED)), T.StructField("n_words", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("kept_sha256", T.StringType(), False)])
 
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            text = batch.column(names.index("text")).to_pylist()
-            cut = batch.column(names.index("_cut")).to_pylist()
-            known = batch.column(names.index("n_words")).to_pylist() if "n_words" in names else [None] * len(text)
-            digest = batch.column(names.index("kept_sha256")).to_pylist() if "n_words" in names else known
-            n_words, n_removed, sha, new = [], [], [], []
-            for x, spans_, n, s in zip(text, cut, known, digest, strict=True):
+            text, found, known, digest = (batch.column(names.index(c)) for c in ("text", cut, "n_words", "kept_sha256"))
+            rows, new = [], []
+            for i in range(batch.num_rows):
+                x = text[i].as_py()
+                n, gone, s = known[i].as_py(), 0, digest[i].as_py()
                 if n is None:
-                    words = (x or "").encode().split()
-                    n = len(words)
-                    if spans_:
-                        keep_ = np.ones(n, bool)
-                        for r in spans_:
-                            keep_[r["start"] : r["start"] + r["words"]] = False
-                        words = [words[i] for i in np.flatnonzero(keep_)]
-                    joined_ = b" ".join(words)
-                    s = hashlib.sha256(joined_).hexdigest()
-                    n_removed.append(n - len(words))
-                    if n > len(words):
-                        x = joined_.decode()
-                else:
-                    n_removed.append(0)
-                n_words.append(n)
-                sha.append(s)
+                    n, words = _kept((x or "").encode(), found[i].as_py())
+                    left = b" ".join(words)
+                    gone, s = n - len(words), hashlib.sha256(left).hexdigest()
+                    x = left.decode() if gone else x
+                rows.append((n, gone, s))
                 new.append(x)
-            columns = [pa.array(new, pa.string()) if f == "text" else batch.column(i) for i, f in enumerate(names) if f not in gone]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], schema.names)
+            columns = [pa.array(new, pa.string()) if f == "text" else batch.column(i) for i, f in enumerate(names) if f not in (cut, *ADDED)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string())))], schema.names)
 
     bounded_batches(joined.sparkSession)
     return joined.mapInArrow(tidy(run), schema)

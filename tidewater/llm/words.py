@@ -1,9 +1,11 @@
 """Words of whole texts, found and hashed a block of bytes at a time.
 
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D, which in UTF-8 is
-`[^\\x20\\x09-\\x0D]+` of the text. Hashes are 64 bits of a polynomial over the
-bytes (random value per byte, odd multiplier) and depend on the word alone, so
-every task finds the same.
+`[^\\x20\\x09-\\x0D]+` of the text. A word's hash takes in its length and then
+eight bytes at a time, each step a bijection of 64 bits (longer words: xxh3), so
+no two words of up to eight bytes and one length share a hash, and no pattern in
+longer ones makes them collide. It depends on the word alone: every task finds
+the same. Hashes of two seeds together are 128 bits.
 """
 
 from __future__ import annotations
@@ -18,9 +20,8 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 U = np.uint64
 _MULT = U(0x9E3779B97F4A7C15 | 1)
-_BLOCK = 1 << 19
 #: Words over this many bytes are hashed by xxh3.
-_LONG = 1 << 16
+_LONG = 64
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -32,21 +33,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_VALUES = {s: _mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F) + U(s * 7919 + 1)) for s in (0, 1)}
-_POW: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POW or len(_POW[0]) <= n:
-        size = max(n + 1, _BLOCK + _LONG + 2)
-        inverse = U(pow(int(_MULT), -1, 1 << 64))
-        both = []
-        for m in (_MULT, inverse):
-            p = np.full(size, m, U)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _POW[:] = both
-    return _POW[0], _POW[1]
+_K = U(0xC2B2AE3D27D4EB4F)
+#: The first n bytes of a lane, by n.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+_LOWER_TABLE = bytes(_LOWER.tolist())
 
 
 class Words:
@@ -78,59 +68,47 @@ class Words:
         return len(self.offsets) - 1
 
     def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
-        values = _VALUES[seed][_LOWER] if lower else _VALUES[seed]
-        out = np.empty(len(self.starts), U)
-        i, n = 0, len(self.starts)
-        while i < n:
-            lo = int(self.starts[i])
-            j = max(i + 1, int(np.searchsorted(self.ends, lo + _BLOCK, "right")))
-            s, e = self.starts[i:j], self.ends[i:j]
-            if j == i + 1 and e[0] - s[0] > _LONG:
-                raw = self.data[s[0] : e[0]]
-                raw = _LOWER.astype(np.uint8)[raw] if lower else raw
-                out[i] = xxhash.xxh3_64_intdigest(raw.tobytes(), seed)
-            else:
-                hi = int(e[-1])
-                power, inverse = _powers(hi - lo)
-                c = np.empty(hi - lo + 1, U)
-                c[0] = 0
-                np.cumsum(values[self.data[lo:hi]] * power[: hi - lo], out=c[1:])
-                length = (e - s).astype(U)
-                out[i:j] = _mix((c[e - lo] - c[s - lo]) * inverse[s - lo] + length * U(0xC2B2AE3D27D4EB4F))
-                for k in np.flatnonzero(e - s > _LONG):
-                    raw = self.data[s[k] : e[k]]
-                    raw = _LOWER.astype(np.uint8)[raw] if lower else raw
-                    out[i + k] = xxhash.xxh3_64_intdigest(raw.tobytes(), seed)
-            i = j
-        return out
+        """Hash of each word; other seeds give hashes that share nothing with these."""
+        raw = self.data.tobytes()
+        raw = (raw.translate(_LOWER_TABLE) if lower else raw) + bytes(8)
+        # the eight bytes from each place on
+        lanes = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        left = self.ends - self.starts
+        h = _mix(left.astype(U) * _K + U(2 * seed + 1))
+        at, who = self.starts, np.arange(len(left))
+        while len(who):
+            h[who] = _mix(h[who] ^ (lanes[at] & _FIRST[np.minimum(left, 8)]))
+            more = np.flatnonzero((left > 8) & (left <= _LONG + 8))
+            at, who, left = at[more] + 8, who[more], left[more] - 8
+        for i in np.flatnonzero(self.ends - self.starts > _LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(raw[self.starts[i] : self.ends[i]], 2 * seed + 1)
+        return h
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k neighbouring words (len(h) - k + 1 of them, by doubling)."""
+    """Hash of each k neighbouring words (len(h) - k + 1 of them), by doubling; each joint is mixed, so that no pattern of words cancels out."""
     if len(h) < k:
         return np.zeros(0, U)
     # acc holds the hashes of `done` words from each place; power doubles the width.
     acc, done, power, width = None, 0, h, 1
     rest = k
-    shift = _MULT
     while rest:
         if rest & 1:
             if acc is None:
                 acc, done = power, width
             else:
                 n = len(h) - done - width + 1
-                acc = acc[:n] * shift + power[done : done + n]
+                acc = _mix(acc[:n] * _MULT + power[done : done + n])
                 done += width
         rest >>= 1
         if rest:
             n = len(power) - width
-            power = power[:n] * shift + power[width : width + n]
+            power = _mix(power[:n] * _MULT + power[width : width + n])
             width *= 2
-            shift = U((int(shift) * int(shift)) & (2**64 - 1))
-    return _mix(acc[: len(h) - k + 1])
+    return _mix(acc[: len(h) - k + 1] + U(k) * _K)
 
 
 def signed(h: np.ndarray) -> np.ndarray:
