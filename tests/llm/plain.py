@@ -61,3 +61,14 @@ def groups(docs):
     for a, (i, _) in enumerate(sets):
         least[root(a)].append(i)
     return [(i, len(s), min(least[root(a)])) for a, (i, s) in enumerate(sets)]
+
+
+def merged(symbols, pairs):
+    """BPE of symbols: the merge of least rank first, the leftmost among equals. pairs: (left << 32 | right) to (rank, new)."""
+    ids = list(symbols)
+    while True:
+        found = [(pairs[x], i) for i in range(len(ids) - 1) if (x := ids[i] << 32 | ids[i + 1]) in pairs]
+        if not found:
+            return ids
+        (_, new), i = min(found)
+        ids[i : i + 2] = [new]

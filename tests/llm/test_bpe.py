@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from tests.llm import plain
 from tests.llm.data import SCHEMA, documents
 from tidewater.llm import bpe, lengths
 
@@ -32,20 +33,47 @@ def test_odd_texts(library, enc, text):
     assert "".join(d.feed([i]) for i in ids) + d.finish() == library.decode(ids, skip_special_tokens=False)
 
 
-def test_streaming_equals_merging_whole(enc):
-    rng = random.Random(3)
-    need = enc.v.lookahead
-    for alphabet in ("ab", "aeinorst", "the"):
-        piece = "".join(rng.choice(alphabet) for _ in range(need + need // 2))
-        whole = bpe.merged(list(enc.symbols(piece)), enc.v.pairs)
-        assert list(enc.stream(piece, room=need // 4)) == whole
+def plainly(v, piece):
+    raw = piece.encode()
+    return plain.merged([v.inner[raw[i : i + 1]] for i in range(len(raw) - 1)] + [v.final[raw[-1:]]], v.pairs)
 
 
-def test_many_at_once_equals_one_by_one(enc):
-    rng = random.Random(4)
-    pieces = ["".join(rng.choice("aeinorstlé") for _ in range(rng.randint(1, 20))).encode() for _ in range(500)]
-    one = [tuple(bpe.merged(list(enc.symbols(p.decode("utf-8", "ignore"))), enc.v.pairs)) for p in pieces]
-    assert bpe.merged_many([p.decode("utf-8", "ignore").encode() for p in pieces], enc.v) == one
+def test_transducer_equals_merging_whole(enc):
+    rng = random.Random(3)
+    lookahead = enc.v.lookahead()
+    for alphabet in ("a", "ab", "aeinorst", "the", "lé中", "0!-"):
+        for n in [*range(1, 40), 300, 700]:
+            piece = "".join(rng.choice(alphabet) for _ in range(n))
+            t = bpe.Transducer(enc.v)
+            raw = piece.encode()
+            cut = rng.randrange(len(raw))
+            assert t.feed(raw[:cut]) + t.finish(raw[cut:]) == plainly(enc.v, piece)
+            assert t.most <= lookahead + 8 * enc.v.longest
+
+
+def test_memory_is_constant(enc, library):
+    rng = random.Random(5)
+    for alphabet in ("a", "ha", "aeinorst"):
+        piece = "".join(rng.choice(alphabet) for _ in range(20_000))
+        t = bpe.Transducer(enc.v)
+        assert t.finish(piece.encode()) == library.encode(piece, add_special_tokens=False).ids
+        assert t.most <= 16 * enc.v.longest
+
+
+def test_joints_by_hand():
+    # a a -> A (rank 0), b c -> B (rank 1), a b -> C (rank 2)
+    pairs = {0 << 32 | 0: (0, 3), 1 << 32 | 2: (1, 4), 0 << 32 | 1: (2, 5)}
+    j = bpe.Joints(pairs, 6, 2)
+    assert j.hold(3, 0) and not j.hold(0, 3) and j.hold(0, 4) and not j.hold(5, 2) and not j.hold(0, 1) and j.hold(3, 3)
+    assert j.hold(2, 0) and all(map(j.whole, range(6)))
+    with pytest.raises(ValueError):
+        bpe.Joints({1: (0, 3), 2: (1, 3)}, 4, 2)
+
+
+def test_every_piece_goes_through_the_transducer(library):
+    e = bpe.Encoder(bpe.Vocabulary(bpe.read_vocabulary()))
+    e.encode("hello hello brave new-world's")
+    assert e.streamed == 6 and len(e.table) == 3
 
 
 def test_lookahead_by_hand():
@@ -57,7 +85,6 @@ def test_lookahead_by_hand():
 def test_small_table_changes_nothing(library):
     small = bpe.Encoder(bpe.Vocabulary(bpe.read_vocabulary()), pieces=8)
     texts = [t for _, t, _, _ in documents() if t]
-    small.learn(texts)
     assert [small.encode(t) for t in texts] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 

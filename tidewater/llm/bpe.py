@@ -6,11 +6,13 @@ where it is, whatever follows. A boundary can only be moved by a merge that
 reaches across it, that merge only by one of higher priority that overlaps it,
 and so on, so the farthest influence is the longest chain of overlapping merges
 of rising priority; `sufficient_lookahead` computes it from the merge list by
-one pass in priority order. The transducer reads symbols into a buffer, merges
-the buffer, emits the tokens that end at least the lookahead before its end and
-goes on from the last emitted boundary (tokens on either side of a boundary are
-merged independently). Its memory is the buffer, however long a piece is.
-Pieces already seen are answered from a table of bounded size.
+one pass in priority order. That bound holds for all texts and is far; how far
+it is in the text at hand the transducer sees by itself: every place knows the
+one token that ends there, and what the places from which a next token can
+begin have in common is stable and given out (`Transducer`). So it holds the
+lookahead at most, and mostly a few tokens, however long a piece is. Every piece
+of every text goes through it; words seen before are answered from a table of
+bounded size.
 
 Decoding. `Decoder` takes ids one at a time. Without a byte-level decoder in
 the vocabulary file the text is the tokens joined by single spaces; with one,
@@ -26,13 +28,11 @@ from __future__ import annotations
 
 import codecs
 import hashlib
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import chain, pairwise
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +41,8 @@ from pyspark.sql import types as T
 
 from tidewater.llm.store import bounded_batches, table, tidy
 
-#: Words kept with their ids, at most; the table is emptied when full.
-PIECES = 1 << 17
+#: Words kept with their ids, and pairs of tokens kept with whether they hold, at most; tables are emptied when full.
+PIECES, PAIRS = 1 << 17, 1 << 18
 #: Longer words are streamed and not kept.
 KEPT_LENGTH = 64
 #: Characters of a text that are normalised and cut into pieces at a time, at least.
@@ -94,18 +94,27 @@ class Vocabulary:
         for rank, (a, b) in enumerate(merges):
             if a in self.ids and b in self.ids and a + b in self.ids:
                 self.pairs.setdefault(self.ids[a] << 32 | self.ids[b], (rank, self.ids[a + b]))
-        # the suffix is part of a piece's last symbol: it counts as no symbol of its own
-        self.lookahead = sufficient_lookahead([(a, b.removesuffix(self.suffix) if self.suffix else b) for a, b in merges])
-        self.keys = np.array(sorted(self.pairs), np.int64)
-        self.ranks = np.array([self.pairs[k][0] for k in self.keys.tolist()], np.int32)
-        self.news = np.array([self.pairs[k][1] for k in self.keys.tolist()], np.int64)
+        self.merges = merges
         letters = byte_letters()
-        self.first = [self.ids.get(x) for x in letters]
-        self.last = [self.ids.get(x + self.suffix) for x in letters]
-        #: Whether each byte has a symbol: then pieces can be merged many at a time.
-        self.whole = None not in self.first and None not in self.last
-        if self.whole:
-            self.first_ids, self.last_ids = np.array(self.first, np.int64), np.array(self.last, np.int64)
+        first = [self.ids.get(x) for x in letters]
+        last = [self.ids.get(x + self.suffix) for x in letters]
+        #: Bytes without a symbol, which are left out.
+        self.silent = bytes(b for b in range(256) if first[b] is None or last[b] is None)
+        # tokens that merges make, by their bytes: those inside a piece, and those at its end
+        value = {x: i for i, x in enumerate(letters)}
+        self.inner: dict[bytes, int] = {bytes([b]): t for b, t in enumerate(first) if t is not None}
+        self.final: dict[bytes, int] = {bytes([b]): t for b, t in enumerate(last) if t is not None}
+        for _, t in self.pairs.values():
+            token = self.tokens[t]
+            ends = bool(self.suffix) and token.endswith(self.suffix)
+            raw = bytes(value[c] for c in (token[: -len(self.suffix)] if ends else token))
+            if ends or not self.suffix:
+                self.final[raw] = t
+            if not ends:
+                self.inner[raw] = t
+        self.length = {t: len(raw) for some in (self.inner, self.final) for raw, t in some.items()}
+        self.longest = max(self.length.values())
+        self.joints = Joints(self.pairs, len(self.decimals), PAIRS)
         parts = spec.get("normalizer") or {}
         parts = parts.get("normalizers", [parts] if parts else [])
         kinds = [p["type"] for p in parts]
@@ -117,121 +126,178 @@ class Vocabulary:
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    def lookahead(self) -> int:
+        """The merge list's sufficient lookahead; the suffix is part of a piece's last symbol and counts as none of its own."""
+        return sufficient_lookahead([(a, b.removesuffix(self.suffix) if self.suffix else b) for a, b in self.merges])
 
-def merged(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
-    """BPE of symbols: the highest merge first, the leftmost among equals."""
-    n = len(symbols)
-    if n < 2:
-        return symbols
-    if n <= 24:
-        get = pairs.get
-        ids = list(symbols)
-        found = [get(ids[i] << 32 | ids[i + 1]) for i in range(n - 1)]
+
+class Joints:
+    """Which tokens may stand next to each other.
+
+    A sequence of tokens is the BPE of its text just if each two neighbours are
+    that of theirs. The boundary of two tokens holds if, while their parts were
+    merged, no merge was due that reaches across it. Parts at the boundary, each
+    with the ranks at which it came to be and was merged on, are looked at from
+    the latest back.
+    """
+
+    def __init__(self, merges: dict[int, tuple[int, int]], tokens: int, known: int):
+        """merges: pair of ids (packed in one int) to rank and merged id."""
+        self.merges, self.limit = merges, known
+        self.rank = [-1] * tokens
+        self.left, self.right = list(range(tokens)), list(range(tokens))
+        for pair, (rank, new) in merges.items():
+            if self.rank[new] >= 0:
+                raise ValueError(f"token {new} has two merges")
+            self.rank[new], self.left[new], self.right[new] = rank, pair >> 32, pair & 0xFFFFFFFF
+        self.held: dict[int, bool] = {}
+        self.made: dict[int, bool] = {}
+
+    def _holds(self, x: int, y: int, end: float) -> bool:
+        """Whether no merge across x | y is due before rank end."""
+        rank, merges = self.rank, self.merges
+        x_goes = y_goes = end
         while True:
-            best = None
-            for f in found:
-                if f is not None and (best is None or f < best):
-                    best = f
-            if best is None:
-                return ids
-            i = found.index(best)
-            ids[i : i + 2] = [best[1]]
-            del found[i]
-            if i:
-                found[i - 1] = get(ids[i - 1] << 32 | ids[i])
-            if i < len(found):
-                found[i] = get(ids[i] << 32 | ids[i + 1])
-    ids, after, before = list(symbols), [*range(1, n), -1], [-1, *range(n - 1)]
-    heap = [(*f, i, ids[i], ids[i + 1]) for i in range(n - 1) if (f := pairs.get(ids[i] << 32 | ids[i + 1]))]
-    # equal ranks must come out leftmost first
-    heap = [(r, i, new, a, b) for r, new, i, a, b in heap]
-    heapq.heapify(heap)
-    while heap:
-        _, i, new, a, b = heapq.heappop(heap)
-        j = after[i]
-        if ids[i] != a or j < 0 or ids[j] != b:
-            continue
-        ids[i], ids[j] = new, -1
-        after[i] = k = after[j]
-        if k >= 0:
-            before[k] = i
-            if f := pairs.get(new << 32 | ids[k]):
-                heapq.heappush(heap, (f[0], i, f[1], new, ids[k]))
-        h = before[i]
-        if h >= 0 and (f := pairs.get(ids[h] << 32 | new)):
-            heapq.heappush(heap, (f[0], h, f[1], ids[h], new))
-    return [x for x in ids if x >= 0]
-
-
-NEVER = np.int32(2**31 - 1)
-
-
-def merged_many(pieces: list[bytes], v: Vocabulary) -> list[tuple[int, ...]]:
-    """`merged` of many short pieces at once: each round does every piece's next merge."""
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    raw = np.frombuffer(b"".join(pieces), np.uint8)
-    ends = np.cumsum(sizes)
-    ids = v.first_ids[raw]
-    ids[ends - 1] = v.last_ids[raw[ends - 1]]
-    owner = np.repeat(np.arange(len(pieces)), sizes)
-
-    def look(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = ids[at] << 32 | ids[at + 1]
-        k = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-        hit = (v.keys[k] == key) & (owner[at] == owner[at + 1])
-        return np.where(hit, v.ranks[k], NEVER), v.news[k]
-
-    n = len(ids)
-    rank, new = np.full(n, NEVER), np.zeros(n, np.int64)
-    if n > 1:
-        rank[:-1], new[:-1] = look(np.arange(n - 1))
-    done: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(ids):
-        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        least = np.minimum.reduceat(rank, starts)
-        width = np.diff(np.append(starts, len(ids)))
-        still = least != NEVER
-        if not still.all():
-            stay = np.repeat(still, width)
-            done.append((owner[~stay], ids[~stay]))
-            ids, owner, rank, new = ids[stay], owner[stay], rank[stay], new[stay]
-            if not len(ids):
+            due = merges.get(x << 32 | y)
+            # of merges of one rank the leftmost comes first
+            if due is not None and due[0] < x_goes and due[0] <= y_goes and due[0] < end:
+                return False
+            if rank[x] > rank[y]:
+                x_goes, x = rank[x], self.right[x]
+            elif rank[y] >= 0:
+                y_goes, y = rank[y], self.left[y]
+            else:
+                return True
+
+    def whole(self, t: int) -> bool:
+        """Whether the BPE of a token's text is that token."""
+        found = self.made.get(t)
+        if found is None:
+            a, b, r = self.left[t], self.right[t], self.rank[t]
+            found = self.made[t] = r < 0 or (self.whole(a) and self.whole(b) and self._holds(a, b, r))
+        return found
+
+    def hold(self, x: int, y: int) -> bool:
+        """Whether the BPE of x's and y's text is these two."""
+        key = x << 32 | y
+        found = self.held.get(key)
+        if found is None:
+            if len(self.held) >= self.limit:
+                self.held.clear()
+            found = self.held[key] = self.whole(y) and self._holds(x, y, float("inf"))
+        return found
+
+
+class Transducer:
+    """BPE of one piece: feed() takes bytes and gives the tokens that have become stable, finish() the rest.
+
+    Each place read so far has one last token of what stands before it: the one
+    ending there that may follow the last token before its own beginning; it is
+    looked for where it is asked for. The next token begins at one of the last
+    `longest` places; a boundary that all of these lead back to stays, whatever
+    follows. The merge list's sufficient lookahead bounds how far back that is,
+    and so what is held.
+    """
+
+    __slots__ = ("last", "most", "raw", "v")
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        #: Bytes from the last boundary given out on, the last token before each of their places (if known), and the most bytes held.
+        self.raw, self.last, self.most = b"", [None], 0
+
+    def _token(self, end: int, tokens: dict[bytes, int]) -> int:
+        """The last token before a place, of those in tokens."""
+        raw, last, joints, longest = self.raw, self.last, self.v.joints, self.v.longest
+        get, held = tokens.get, joints.held.get
+        for at in range(end - longest if end > longest else 0, end):
+            t = get(raw[at:end])
+            if t is None:
+                continue
+            before = last[at]
+            if before is None:
+                if not at:
+                    if joints.whole(t):
+                        break
+                    continue
+                before = self._token(at, self.v.inner)
+            if (found := held(before << 32 | t)) or (found is None and joints.hold(before, t)):
                 break
-            least, width = least[still], width[still]
-        at = np.flatnonzero(rank == np.repeat(least, width))
-        who = owner[at]
-        at = at[np.concatenate([[True], who[1:] != who[:-1]])]
-        ids[at] = new[at]
-        keep = np.ones(len(ids), bool)
-        keep[at + 1] = False
-        at -= np.arange(len(at))
-        ids, owner, rank, new = ids[keep], owner[keep], rank[keep], new[keep]
-        rank[at] = NEVER
-        touched = np.zeros(len(ids), bool)
-        touched[at] = True
-        touched[np.maximum(at - 1, 0)] = True
-        touched[-1] = False
-        near = np.flatnonzero(touched)
-        rank[near], new[near] = look(near)
-    owner, ids = np.concatenate([o for o, _ in done]), np.concatenate([i for _, i in done])
-    order = np.argsort(owner, kind="stable")
-    cuts = [0, *np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()]
-    flat = tuple(ids[order].tolist())
-    return [flat[a:b] for a, b in pairwise(cuts)]
+        else:
+            raise ValueError(f"no token ends with {raw[end - 1 : end]!r}")
+        last[end] = t
+        return t
+
+    def _tokens(self, end: int) -> list[int]:
+        """Tokens from the last boundary to end."""
+        last, length, out = self.last, self.v.length, []
+        while end:
+            t = last[end]
+            out.append(t)
+            end -= length[t]
+        out.reverse()
+        return out
+
+    def _stable(self) -> int:
+        """The farthest place that all from which the next token may begin lead back to."""
+        n, inner, length = len(self.raw), self.v.inner, self.v.length
+        live = set(range(max(0, n + 1 - self.v.longest), n + 1))
+        while len(live) > 1:
+            at = max(live)
+            live.remove(at)
+            t = self.last[at]
+            live.add(at - length[self._token(at, inner) if t is None else t])
+        at = live.pop()
+        if at and self.last[at] is None:
+            self._token(at, inner)
+        return at
+
+    def _held(self, some: bytes) -> None:
+        self.raw += some
+        self.last += [None] * len(some)
+        self.most = max(self.most, len(self.raw))
+
+    def feed(self, some: bytes) -> list[int]:
+        """some: bytes that are not the piece's last."""
+        out: list[int] = []
+        step = 4 * self.v.longest
+        for lo in range(0, len(some), step):
+            self._held(some[lo : lo + step])
+            if len(self.raw) >= step and (at := self._stable()):
+                out += self._tokens(at)
+                self.raw, self.last = self.raw[at:], self.last[at:]
+        return out
+
+    def finish(self, some: bytes) -> list[int]:
+        """some: the bytes left, of which the last is the piece's last."""
+        if not some:
+            return []
+        out = self.feed(some[:-1]) if len(some) > self.v.longest else []
+        self._held(some[-1:] if len(some) > self.v.longest else some)
+        self._token(len(self.raw), self.v.final)
+        return out + self._tokens(len(self.raw))
 
 
 class Encoder:
-    """The transducer, with its bounded table of pieces."""
+    """Texts to ids: every piece by a transducer, words already seen from a table of bounded size."""
 
     def __init__(self, vocabulary: Vocabulary, pieces: int = PIECES):
         self.v, self.limit = vocabulary, pieces
-        self.length = {i: len(t[: -len(vocabulary.suffix)] if vocabulary.suffix and t.endswith(vocabulary.suffix) else t) for t, i in vocabulary.ids.items()}
+        #: Pieces that went through a transducer.
+        self.streamed = 0
+        before: dict[str, tuple[int, ...]] = {}
 
         class Table(dict):
+            """Half of the table; when it is full it takes the place of the other half, from which words in use come back."""
+
             def __missing__(table, word: str) -> tuple[int, ...]:
-                out = tuple(x for piece in vocabulary.cut.findall(word) for x in self.stream(piece))
+                nonlocal before
+                out = before.get(word)
+                if out is None:
+                    out = tuple(chain.from_iterable(map(self.stream, [word] if word.isalpha() else vocabulary.cut.findall(word))))
                 if len(word) <= KEPT_LENGTH:
-                    if len(table) >= self.limit:
+                    if 2 * len(table) >= self.limit:
+                        before = dict(table)
                         table.clear()
                     table[word] = out
                 return out
@@ -239,34 +305,13 @@ class Encoder:
         #: Ids of words between white space; a piece never crosses white space.
         self.table = Table()
 
-    def symbols(self, piece: str) -> Iterator[int]:
+    def stream(self, piece: str) -> list[int]:
+        """Ids of one piece."""
+        self.streamed += 1
         raw = piece.encode()
-        for b in raw[:-1]:
-            if (x := self.v.first[b]) is not None:
-                yield x
-        if raw and (x := self.v.last[raw[-1]]) is not None:
-            yield x
-
-    def stream(self, piece: str, room: int | None = None) -> Iterator[int]:
-        """Ids of one piece. At most lookahead + room symbols are held."""
-        need = self.v.lookahead
-        if len(piece) * 4 <= need:
-            yield from merged(list(self.symbols(piece)), self.v.pairs)
-            return
-        room = room or 4 * need
-        buffer: list[int] = []
-        for x in self.symbols(piece):
-            buffer.append(x)
-            if len(buffer) >= need + room:
-                at = 0
-                for t in merged(buffer, self.v.pairs):
-                    at += self.length[t]
-                    if at > len(buffer) - need:
-                        at -= self.length[t]
-                        break
-                    yield t
-                buffer = buffer[at:]
-        yield from merged(buffer, self.v.pairs)
+        if self.v.silent:
+            raw = raw.translate(None, self.v.silent)
+        return Transducer(self.v).finish(raw)
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -294,24 +339,6 @@ class Encoder:
             yield list(chain.from_iterable(map(self.table.__getitem__, self.words(text[at:to]))))
             at = to
 
-    def learn(self, texts: list[str | None]) -> None:
-        """Put the short words of a batch of texts into the table, merging all their pieces at once."""
-        if not self.v.whole:
-            return
-        words: set[str] = set()
-        for x in texts:
-            if x and len(x) <= SEGMENT:
-                words.update(self.words(x))
-        missing = [w for w in words.difference(self.table) if len(w) <= KEPT_LENGTH]
-        if len(self.table) + len(missing) > self.limit:
-            self.table.clear()
-            missing = [w for w in words if len(w) <= KEPT_LENGTH]
-        if missing:
-            cut = [[w] if w.isalpha() else self.v.cut.findall(w) for w in missing]
-            pieces = list({p for c in cut for p in c})
-            found = dict(zip(pieces, merged_many([p.encode() for p in pieces], self.v), strict=True)) if pieces else {}
-            self.table.update((w, found[c[0]] if len(c) == 1 else tuple(chain.from_iterable(map(found.__getitem__, c)))) for w, c in zip(missing, cut, strict=True))
-
     def segments(self, text: str | None) -> Iterator[list[int]]:
         at = 0
         if text and self.v.marks and "<" in text:
@@ -402,8 +429,6 @@ def _with_columns(docs: DataFrame, text: str, make, added: list[T.StructField],
         enc = encoder(sent.value)
         for batch in batches:
             values = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            if pa.types.is_string(batch.schema.field(text).type):
-                enc.learn(values)
             made = [make(enc, x) for x in values]
             new = [pa.array([m[i] for m in made], kinds[f.name]) for i, f in enumerate(added)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f.name for f in added)])
