@@ -1,5 +1,6 @@
 """Brute-force versions of the training-data operators, over lists of rows."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -72,3 +73,43 @@ def merged(symbols, pairs):
             return ids
         (_, new), i = min(found)
         ids[i : i + 2] = [new]
+
+
+def log_perplexities(rows, half, order=5, points=0x110000):
+    """Log perplexity of each (text, lang) by a modified Kneser-Ney model of the language's texts of the other half."""
+    counts = defaultdict(Counter)
+    pad = " " * (order - 1)
+    cut = lambda t: [(pad + t)[i : i + order] for i in range(len(t))]
+    for t, lang in rows:
+        if t:
+            counts[lang, half(t)].update(cut(t))
+    models = {}
+    for key, c in counts.items():
+        levels = {order: c}
+        for k in range(order - 1, 0, -1):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        models[key] = {}
+        for k, c in levels.items():
+            n = [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
+            d = [0.5, 0.75, 0.9]
+            if all(n):
+                y = n[0] / (n[0] + 2 * n[1])
+                d = [max(0.05, min(i - 0.05, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
+            total, free = Counter(), Counter()
+            for g, v in c.items():
+                total[g[:-1]] += v
+                free[g[:-1]] += d[min(v, 3) - 1]
+            models[key][k] = c, d, total, free
+
+    def p(model, g):
+        if not g:
+            return 1 / points
+        c, d, total, free = model.get(len(g), ({}, (), {}, {}))
+        below = p(model, g[1:])
+        h = g[:-1]
+        if h not in total:
+            return below
+        own = (c[g] - d[min(c[g], 3) - 1]) / total[h] if g in c else 0
+        return own + free[h] / total[h] * below
+
+    return [-math.fsum(math.log(p(models.get((lang, 1 - half(t)), {}), g)) for g in cut(t)) / len(t) if t else None for t, lang in rows]

@@ -30,21 +30,45 @@ def test_base_rules(rows):
     assert list(zip(*(got[c].tolist() for c in perplexity.BASE), strict=True)) == [plain.base(t) for _, t, _, _ in rows]
 
 
-def test_kneser_ney_sums_to_one():
-    code, spans = perplexity.codes(["abc abd. Abd, 12 \u00e9\u4e2d", "abc abc"])
-    own = np.concatenate([code[a:b] for a, b in spans])
-    model = perplexity.KneserNey(*perplexity.tally(own))
-    for h in [*(own[:5] >> 6).tolist(), 12345]:
-        p = np.exp(model.log(4, ((h << 6) + np.arange(64)).astype(np.uint32)))
-        assert abs(p.sum() - 1) < 1e-5 and (p > 0).all()
-    assert len(own) == len("abc abd. Abd, 12 \u00e9\u4e2d") + len("abc abc")
-
-
-def test_models_of_tasks_add_up(spark, rows):
-    df = spark.createDataFrame(rows, SCHEMA)
-    a = {(r.lang, r.code): r.n for r in perplexity.count(df.repartition(5)).collect()}
-    b = {(r.lang, r.code): r.n for r in perplexity.count(df.coalesce(1)).collect()}
-    assert a == b and sum(a.values()) == sum(len(t or "") for _, t, _, _ in rows)
+@pytest.mark.parametrize("sent, part, block, size", [(1 << 21, 1 << 20, 1 << 20, 1 << 19), (0, 700, 3000, 64)])
+def test_perplexity_equals_plain_counting(spark, rows, monkeypatch, sent, part, block, size):
+    for name, value in (("SENT", sent), ("PART", part), ("BLOCK", block), ("SLICE", size), ("FLUSH", 4 * part)):
+        monkeypatch.setattr(perplexity, name, value)
+    own = [(t, lang) for _, t, lang, _ in rows] + [("x y z " * 30, "alone"), ("中文的字 " * 40, "zh"), ("中文字的 " * 40, "zh"), ("abc", None)]
+    df = spark.createDataFrame([(i, *r, "mine", "mine") for i, r in enumerate(own)], "doc_id long, text string, lang string, _low string, log_perplexity string").repartition(3)
+    got = {r.doc_id: r for r in perplexity.score(df).collect()}
+    expected = plain.log_perplexities(own, perplexity.half)
+    assert len(got) == len(own)
+    for i, x in enumerate(expected):
+        assert got[i].log_perplexity is x is None or math.isclose(got[i].log_perplexity, x, rel_tol=1e-6)
+        assert got[i]._low == "mine" and got[i].n_words == plain.base(own[i][0])[0]
+    # bands and verdicts, by their definition
+    kept = {r.doc_id: r.kept for r in perplexity.judge(df).collect()}
+    for lang in {x for _, x in own}:
+        all_ = [(i, expected[i], plain.base(t)) for i, (t, x) in enumerate(own) if x == lang]
+        fails = {i for i, _, b in all_ if b[0] < 50 or 100 * b[4] > 50 * b[0]}
+        bins = sorted(math.floor(x / perplexity.BIN) for i, x, _ in all_ if i not in fails)
+        low, high = -math.inf, math.inf
+        if len(bins) >= perplexity.LEAST_DOCS:
+            q1, q3 = ((bins[math.ceil(len(bins) * k / 4) - 1] + 0.5) * perplexity.BIN for k in (1, 3))
+            width = perplexity.SPREAD * max(q3 - q1, perplexity.LEAST_WIDTH)
+            low, high = q1 - width, q3 + width
+        assert {i: kept[i] for i, _, _ in all_} == {i: i not in fails and low <= x <= high for i, x, _ in all_}
+
+
+def test_probabilities_sum_to_one(spark):
+    texts = ["abracadabra", "abrakadabra", "ab", "cab cad"]
+    counts = spark.createDataFrame([(" " * 4 + t)[i : i + 5] for t in texts for i in range(len(t))], "string").groupBy("value").count().collect()
+    code = lambda g: (sum(ord(c) << 21 * i for i, c in enumerate(reversed(g[:2]))), sum(ord(c) << 21 * i for i, c in enumerate(reversed(g[2:]))))
+    letters = sorted(set("".join(texts)) | {" ", "z"})
+    asked = [(h + c) for h in ("abra", "zzab", "  ca", "zzzz") for c in letters]
+    rows = [("=x", 0, *code(r.value), r["count"]) for r in counts] + [("=x", 1, *code(g), 1) for g in asked]
+    found = {(r.high, r.low): math.exp(r.logp) for r in perplexity.likelihoods(spark.createDataFrame(rows, "model string, fold int, high long, low long, n long")).collect() if r.fold == 1}
+    for h in ("abra", "zzab", "  ca", "zzzz"):
+        # all that is missing is the uniform part of the letters not asked for
+        total = sum(found[code(h + c)] for c in letters)
+        least = min(found[code(h + c)] for c in letters)
+        assert abs(total + least * (perplexity.POINTS - len(letters)) - 1) < 1e-3
 
 
 def test_bands_reject_noise_and_keep_prose(spark):
@@ -67,30 +91,6 @@ def test_letters_of_other_scripts_are_told_apart(spark):
     assert all(kept[i] for i, *_ in clean) and not any(kept[i] for i, *_ in noise)
 
 
-def test_details_sum_to_one():
-    code, _ = perplexity.details(["éàé ñé àñ éé", "àé\u4e2d"])
-    model = perplexity.Details(*perplexity.tally(code))
-    group = [c for c in range(0xC0, 0x250) if perplexity._TABLE[c] == 60]
-    for h in [*(code[:4] >> np.uint64(21)).tolist(), 12345]:
-        p = np.exp(model.log(3, (np.uint64(h) << np.uint64(21)) | np.array(group, np.uint64)))
-        assert abs(p.sum() - 1) < 1e-5 and (p > 0).all()
-
-
-def test_every_language_has_a_model(spark, monkeypatch):
-    rng = random.Random(4)
-    rows = [(100 * k + i, prose(rng, 60).translate(str.maketrans("aeiou", "aeiou"[k % 5 :] + "aeiou"[: k % 5])), f"l{k}" if k else None) for k in range(20) for i in range(6)]
-    rows += [(9000, None, "l1"), (9001, "", "empty")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    a = {r.doc_id: r for r in perplexity.score(df).collect()}
-    assert {r._model for r in a.values() if r.log_perplexity is not None} == {perplexity.REST, *(f"l{k}" for k in range(1, 20))}
-    alone = {r.doc_id: r for r in perplexity.score(df.filter("lang = 'l19'")).collect()}
-    assert len(alone) == 6 and all(math.isclose(a[i].log_perplexity, r.log_perplexity, rel_tol=1e-6) for i, r in alone.items())
-    monkeypatch.setattr(perplexity, "SENT", 0)
-    monkeypatch.setattr(perplexity, "SALTED", 1000)
-    b = {r.doc_id: r for r in perplexity.score(df).collect()}
-    assert set(a) == set(b) and all(a[i]._model == b[i]._model and (a[i].log_perplexity is b[i].log_perplexity is None or math.isclose(a[i].log_perplexity, b[i].log_perplexity, rel_tol=1e-6)) for i in a)
-
-
 def test_passages(spark, docs, rows):
     expected = {i: x for (i, _, _, _), x in zip(rows, plain.stripped([(i, t) for i, t, _, _ in rows]), strict=True)}
     for texts in (False, True):

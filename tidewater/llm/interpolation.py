@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.store import bounded_batches, keep, table, tidy
+from tidewater.llm.store import bounded_batches, keep, pack, table, tidy, unpack
 from tidewater.llm.words import _MULT, U, Words, _mix
 
 FOLDS, HELD = 7, 2
@@ -55,20 +55,6 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Numbers as compressed planes of bytes."""
-    x = np.ascontiguousarray(x, np.uint64)
-    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True) if len(x) else bytes(8)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    if not n:
-        return np.zeros(0, U)
-    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).view(U).ravel()
-
-
 def _steps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=U(0))
 

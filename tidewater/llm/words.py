@@ -108,7 +108,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
             n = len(power) - width
             power = _mix(power[:n] * _MULT + power[width : width + n])
             width *= 2
-    return _mix(acc[: len(h) - k + 1] + U(k) * _K)
+    return _mix(acc[: len(h) - k + 1] + U(k * int(_K) & (2**64 - 1)))
 
 
 def signed(h: np.ndarray) -> np.ndarray:
