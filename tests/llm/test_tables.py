@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import math
+import os
 import random
 
 import numpy as np
@@ -106,7 +107,9 @@ def test_nearest_within_each_length(spark):
     assert got == {i: sorted((j for j, w in rows if j != i and len(w) == len(v)), key=lambda j: -cosine(v, rows[j][1]))[:5] for i, v in rows if i % 10 == 0 and i < 80}
 
 
-def test_recall(spark, folder):
+@pytest.mark.parametrize("size", ["", "sf0.1"])
+def test_recall(spark, folder, size):
+    folder = folder if not size else f"{os.path.dirname(folder)}/{size}"
     df = spark.read.parquet(f"{folder}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     x = np.array([v for _, v in rows], float)
@@ -126,11 +129,46 @@ def test_recall(spark, folder):
 
 def test_walk_is_in_order_of_distance():
     rng = np.random.default_rng(1)
-    index = vectors.MultiIndex(rng.normal(size=(6, 2)), rng.normal(size=(6, 2)), {(a, b): 1 for a in range(6) for b in range(6)})
+    counts = rng.integers(0, 3, (6, 5))
+    index = vectors.MultiIndex(rng.normal(size=(6, 2)), rng.normal(size=(5, 2)), counts)
     a, b = index.distances(rng.normal(size=(1, 4)))
-    order = list(index.walk(a[0], b[0], 36))
-    sums = [a[0][p] + b[0][q] for p, q in order]
-    assert len(order) == 36 and sums == sorted(sums)
+    sums = sorted((a[0][p] + b[0][q], int(counts[p, q])) for p in range(6) for q in range(5))
+    for enough in range(1, counts.sum() + 1):
+        last, got = index.walk(a[0], b[0], enough)
+        met = [n for d, n in sums if d <= last + 1e-12]
+        assert got == sum(met) >= enough > got - met[-1]
+
+
+def test_regions_hold_every_entry_once():
+    counts = np.array([[3, 0, 40], [2, 9, 1]])
+    r = vectors.Regions(counts, 10)
+    assert r.parts.tolist() == [1, 1, 4, 1, 1, 1] and r.first[[0, 2, 3, 4, 5]].tolist() == [0, 1, 5, 6, 6]
+    assert r.met(np.array([0, 2, 5])).tolist() == [0, 1, 2, 3, 4, 6]
+
+
+def test_rows_that_repeat_an_id(spark):
+    rng = np.random.default_rng(2)
+    v = [rng.normal(size=8).tolist() for _ in range(40)]
+    rows = [(i, x) for i, x in enumerate(v)] + [(10, v[10]), (10, v[11]), (20, v[3])]
+    got = {}
+    for r in vectors.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, share=1.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    cosine = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    expected = {}
+    for at, (i, x) in enumerate(rows):
+        if i % 10 == 0:
+            near = sorted((-cosine(x, w), j) for o, (j, w) in enumerate(rows) if o != at)
+            expected.setdefault(i, []).extend((n + 1, j, round(-d, 9)) for n, (d, j) in enumerate(near[:5]))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in expected.items()}
+
+
+def test_share_is_small_where_recall_is_high():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 4
+    x = np.concatenate([c + rng.normal(size=(50, 16)) for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = vectors.MultiIndex.fit(x, vectors.codes_for(len(x)))
+    assert index.share(x, 5) < 0.1
 
 
 def test_targets():
