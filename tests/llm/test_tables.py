@@ -5,6 +5,8 @@ import hashlib
 import math
 import os
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -53,7 +55,7 @@ def test_salted_scores_are_the_same(spark, folder, monkeypatch):
     assert urls.filter_urls(pages).select("page_id", "verdict", "score").orderBy("page_id").collect() == a
 
 
-def test_archives(spark, tmp_path):
+def test_archives(spark, tmp_path, monkeypatch):
     long = "p" * 100
     rows = [(5, "http://a\r\nX: y", long), (2, None, long), (9, "u", long + "\r\n\r\nWARC/1.1\r\n\r\n"), (3, "u", "short"), (1, "u", "short"), (4, "u", None), (7, "é", "é" * 60), (6, "é", "é" * 60), (None, "u", long)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, kind string").repartition(3)
@@ -66,12 +68,45 @@ def test_archives(spark, tmp_path):
         raw = (body or "").encode()
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
     assert {i: got[i].refers_to for i in got if got[i].kind == "revisit"} == {5: 2, None: 2, 7: 6}
-    texts = b"".join(gzip.open(p).read() for p in (tmp_path / "b").glob("*.gz"))
+    texts = b"".join(gzip.open(p).read() for p in (tmp_path / "b").glob("part-*"))
     assert texts.count(b"WARC-Type: revisit") == 3 and texts.count(b"p" * 100) == 2
+    # ids are new, and what revisits refer to is there
+    ids = lambda folder: re.findall(rb"WARC-Record-ID: (\S+)", b"".join(gzip.open(p).read() for p in (tmp_path / folder).glob("part-*")))
+    assert len(set(ids("b"))) == len(rows) and not set(ids("a")) & set(ids("b"))
+    assert set(re.findall(rb"WARC-Refers-To: (\S+)", texts)) <= set(ids("b"))
+    monkeypatch.setattr(warc, "WAVE_BYTES", 100)
+    warc.deduplicate(spark, a, warc.resolve(warc.read_archive(spark, a)), f"{b}2")
+    key = lambda r: (r.page_id or 0, r.kind, r.payload_digest, r.refers_to or 0)
+    assert sorted(map(key, warc.read_archive(spark, f"{b}2").collect())) == sorted(map(key, got.values()))
     warc.write_archive(df.limit(0), f"file://{tmp_path}/c")
     assert warc.read_archive(spark, f"file://{tmp_path}/c").count() == 0
 
 
+def test_each_record_is_a_member(spark, tmp_path, monkeypatch):
+    rng = random.Random(0)
+    rows = [(i, "u", "".join(chr(rng.randrange(32, 126)) for _ in range(n))) for i, n in enumerate([0, 5, 3000, 200_000, 5_000_000])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(df, f"file://{tmp_path}/a")
+    for path in (tmp_path / "a").glob("part-*"):
+        data = path.read_bytes()
+        while data:
+            gz = zlib.decompressobj(31)
+            text = gz.decompress(data) + gz.flush()
+            assert gz.eof and text.startswith(b"WARC/1.1\r\n") and text.endswith(b"\r\n\r\n") and text.count(b"WARC-Type") == 1
+            data = gz.unused_data
+    # long archives are several files
+    monkeypatch.setattr(warc, "FILE_ROWS", 1)
+    long = [(i, "u", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGH", k=2_000_000))) for i in range(3)]
+    warc.write_archive(spark.createDataFrame(long, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/b")
+    assert len(list((tmp_path / "b").glob("part-*"))) == 3
+    for folder, known in (("a", rows), ("b", long)):
+        assert {r.page_id: r.payload_bytes for r in warc.read_archive(spark, f"file://{tmp_path}/{folder}").collect()} == {i: len(x) for i, _, x in known}
+    # long records are several members
+    monkeypatch.setattr(warc, "MEMBER", 1000)
+    parts = list(warc.members(b"x" * 2500))
+    assert len(parts) == 3 and all(p[-1] == 0 for p in parts) and gzip.decompress(b"".join(parts)) == b"x" * 2500
+
+
 def brute(rows, asked, k=5):
     good = [(i, np.array(v, float) / max(map(abs, v))) for i, v in rows if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
     out = {}

@@ -56,6 +56,15 @@ def test_perplexity_equals_plain_counting(spark, rows, monkeypatch, sent, part,
         assert {i: kept[i] for i, _, _ in all_} == {i: i not in fails and low <= x <= high for i, x, _ in all_}
 
 
+def test_slices_change_nothing(monkeypatch):
+    texts = ["", "abc", "x" * 300, "long " * 200, "é中😀"]
+    whole = [np.concatenate(x) for x in zip(*perplexity.slices(texts), strict=True)]
+    monkeypatch.setattr(perplexity, "SLICE", 64)
+    cut = list(perplexity.slices(texts))
+    assert len(cut) > 5 and all((np.concatenate(x) == y).all() for x, y in zip(zip(*cut, strict=True), whole, strict=True))
+    assert np.bincount(whole[0]).tolist() == [len(t) for t in texts]
+
+
 def test_probabilities_sum_to_one(spark):
     texts = ["abracadabra", "abrakadabra", "ab", "cab cad"]
     counts = spark.createDataFrame([(" " * 4 + t)[i : i + 5] for t in texts for i in range(len(t))], "string").groupBy("value").count().collect()
