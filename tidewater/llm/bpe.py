@@ -30,6 +30,7 @@ import codecs
 import hashlib
 import json
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -42,7 +43,7 @@ from pyspark.sql import types as T
 from tidewater.llm.store import bounded_batches, table, tidy
 
 #: Words kept with their ids, and pairs of tokens kept with whether they hold, at most; tables are emptied when full.
-PIECES, PAIRS = 1 << 17, 1 << 18
+PIECES, PAIRS = 1 << 18, 1 << 18
 #: Longer words are streamed and not kept.
 KEPT_LENGTH = 64
 #: Characters of a text that are normalised and cut into pieces at a time, at least.
@@ -114,6 +115,10 @@ class Vocabulary:
                 self.inner[raw] = t
         self.length = {t: len(raw) for some in (self.inner, self.final) for raw, t in some.items()}
         self.longest = max(self.length.values())
+        #: Length of the longest token that ends with two bytes.
+        self.upto: dict[bytes, int] = defaultdict(lambda: 1)
+        for raw in chain(self.inner, self.final):
+            self.upto[raw[-2:]] = max(len(raw), self.upto[raw[-2:]])
         self.joints = Joints(self.pairs, len(self.decimals), PAIRS)
         parts = spec.get("normalizer") or {}
         parts = parts.get("normalizers", [parts] if parts else [])
@@ -208,8 +213,9 @@ class Transducer:
 
     def _token(self, end: int, tokens: dict[bytes, int]) -> int:
         """The last token before a place, of those in tokens."""
-        raw, last, joints, longest = self.raw, self.last, self.v.joints, self.v.longest
+        raw, last, joints = self.raw, self.last, self.v.joints
         get, held = tokens.get, joints.held.get
+        longest = self.v.upto[raw[end - 2 : end]] if end > 1 else 1
         for at in range(end - longest if end > longest else 0, end):
             t = get(raw[at:end])
             if t is None:
@@ -272,10 +278,20 @@ class Transducer:
         """some: the bytes left, of which the last is the piece's last."""
         if not some:
             return []
-        out = self.feed(some[:-1]) if len(some) > self.v.longest else []
-        self._held(some[-1:] if len(some) > self.v.longest else some)
-        self._token(len(self.raw), self.v.final)
-        return out + self._tokens(len(self.raw))
+        out = []
+        if len(some) > self.v.longest:
+            out, some = self.feed(some[:-1]), some[-1:]
+        self.raw += some
+        self.last += [None] * len(some)
+        n = len(self.raw)
+        if n > self.most:
+            self.most = n
+        self._token(n, self.v.final)
+        return out + self._tokens(n) if out else self._tokens(n)
+
+    def reset(self) -> None:
+        """Ready for the next piece."""
+        self.raw, self.last = b"", [None]
 
 
 class Encoder:
@@ -283,18 +299,27 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pieces: int = PIECES):
         self.v, self.limit = vocabulary, pieces
-        #: Pieces that went through a transducer.
-        self.streamed = 0
+        #: What pieces go through, one after the other, and how many did.
+        self.transducer, self.streamed = Transducer(vocabulary), 0
         before: dict[str, tuple[int, ...]] = {}
+        once: set[int] = set()
 
         class Table(dict):
-            """Half of the table; when it is full it takes the place of the other half, from which words in use come back."""
+            """Half of the table; when it is full it takes the place of the other half, from which words in use come back.
+
+            Words are kept when they are met for the second time: most words are met once.
+            """
 
             def __missing__(table, word: str) -> tuple[int, ...]:
                 nonlocal before
                 out = before.get(word)
                 if out is None:
                     out = tuple(chain.from_iterable(map(self.stream, [word] if word.isalpha() else vocabulary.cut.findall(word))))
+                    if (key := hash(word)) not in once:
+                        if len(once) >= self.limit:
+                            once.clear()
+                        once.add(key)
+                        return out
                 if len(word) <= KEPT_LENGTH:
                     if 2 * len(table) >= self.limit:
                         before = dict(table)
@@ -311,7 +336,9 @@ class Encoder:
         raw = piece.encode()
         if self.v.silent:
             raw = raw.translate(None, self.v.silent)
-        return Transducer(self.v).finish(raw)
+        out = self.transducer.finish(raw)
+        self.transducer.reset()
+        return out
 
     def normal(self, text: str) -> str:
         if not text.isascii():
