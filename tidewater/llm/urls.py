@@ -20,8 +20,11 @@ for each gram) is broadcast only if it has at most BROADCAST_ROWS rows; beyond
 that it is joined by gram, both sides salted, as every URL of a host shares
 grams.
 
+Models read whole URLs, letter by letter: scheme, host, path, digits, query and
+fragment. Rules look at host and path alone.
+
 Edge cases: a null URL or one without `://` has an empty host and path and no
-rule; it is scored as an empty string. If either model has no URL to learn
+rule; it is scored like all others, a null as an empty string. If either model has no URL to learn
 from or to calibrate on, every score is 0 and the verdict is allow. Repeated
 URLs count as often as they occur; ties of rules go to the longer rule, then
 to the first given; input columns with the names added here give way.
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.store import keep, table
+from tidewater.llm.store import keep, table, unused
 
 #: (verdict, host, path), the form in which rules are given.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -67,9 +70,9 @@ def judge(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (none, none) if name is None else (name, verdict)
 
 
-def spelled(host: Column, path: Column) -> Column:
-    """What the models read: host and path, each run of digits as one 0."""
-    return F.regexp_replace(F.concat(host, path), "[0-9]+", "0")
+def spelled(url: Column) -> Column:
+    """What the models read: the whole URL."""
+    return F.coalesce(url, F.lit(""))
 
 
 def grams_of(text: Column, order: int) -> Column:
@@ -118,15 +121,18 @@ def threshold(scored: DataFrame) -> float | None:
     return None if best is None else best.twice * BIN / 2
 
 
+ADDED = ("host", "path", "rule", "verdict", "score")
+
+
 def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, order: int = ORDER) -> DataFrame:
     """pages with host, path, rule, verdict and score."""
-    added = ("host", "path", "rule", "verdict", "score", "_text", "_said")
+    text, told = unused(pages.columns, "_text", "_said")
     host, path = split_url(F.col(url))
-    base = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in added or c == url])
-    base = base.withColumn("host", host).withColumn("path", path)
+    base = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in ADDED or c == url])
+    base = base.withColumn(text, spelled(F.col(f"`{url}`"))).withColumn("host", host).withColumn("path", path)
     name, said = judge(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", name).withColumn("_said", said).withColumn("_text", spelled(F.col("host"), F.col("path")))
-    texts = base.groupBy(F.col("_text").alias("text")).agg(*(F.sum(F.when(F.col("_said") == v, 1).otherwise(0)).alias(v) for v in ("allow", "block")))
+    base = base.withColumn("rule", name).withColumn(told, said)
+    texts = base.groupBy(F.col(text).alias("text")).agg(*(F.sum(F.when(F.col(told) == v, 1).otherwise(0)).alias(v) for v in ("allow", "block")))
     texts = keep(texts.withColumn("held", F.substring(F.md5("text"), 1, 1).isin("0", "1", "2")), "url-texts")
     learned = F.when(F.col("held"), 0)
     grams = texts.select(F.explode(grams_of(F.col("text"), order)).alias("gram"), learned.otherwise(F.col("allow")).alias("a"), learned.otherwise(F.col("block")).alias("b"))
@@ -140,10 +146,10 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, order: int = OR
         kinds = F.explode(F.array(*(F.struct(F.lit(v).alias("verdict"), F.col(v).alias("n")) for v in ("allow", "block"))))
         edge = threshold(held.select("score", kinds.alias("k")).select("score", "k.verdict", "k.n"))
     if edge is None:
-        return base.withColumn("verdict", F.coalesce("_said", F.lit("allow"))).withColumn("score", F.lit(0.0)).drop("_said", "_text")
-    judged = base.join(scores.withColumnRenamed("text", "_text"), "_text", "left")
+        return base.withColumn("verdict", F.coalesce(told, F.lit("allow"))).withColumn("score", F.lit(0.0)).drop(told, text)
+    judged = base.join(scores.withColumnRenamed("text", text), text, "left")
     own = F.when(F.col("score") >= edge, "allow").otherwise("block")
-    return judged.withColumn("verdict", F.coalesce("_said", own)).drop("_said", "_text")
+    return judged.withColumn("verdict", F.coalesce(told, own)).drop(told, text)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,9 +164,9 @@ def _sql() -> str:
     said = " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits)
     pad = "||".join(["chr(2)"] * ORDER)
     out = f"""
-WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-b AS (SELECT *, CASE {rule} END AS rule, CASE {said} END AS said, regexp_replace(host || path, '[0-9]+', '0', 'g') AS text FROM h),
+WITH u AS (SELECT page_id, coalesce(url, '') AS text, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, text, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+b AS (SELECT *, CASE {rule} END AS rule, CASE {said} END AS said FROM h),
 t AS (SELECT text, count(*) FILTER (said = 'allow') AS allow, count(*) FILTER (said = 'block') AS block, substr(md5(text), 1, 1) IN ('0', '1', '2') AS held FROM b GROUP BY text),
 e AS (SELECT text, substr({pad} || text || chr(3), i, {ORDER + 1}) AS gram, CASE WHEN held THEN 0 ELSE allow END AS a, CASE WHEN held THEN 0 ELSE block END AS r
   FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM t)),
