@@ -127,7 +127,8 @@ def test_histogram(spark):
         above = [x for x in plain if x >= k]
         assert (r.n_docs, r.n_tokens, r.docs_at_least, r.tokens_at_least) == (plain.count(k), k * plain.count(k), len(above), sum(above))
         assert r.truncated_tokens == sum(min(x, k) for x in plain) and r.quantile == sum(x <= k for x in plain) / len(plain)
-    for r in lengths.totals(hist, [0, 3, 2000]).collect():
+    for r in lengths.totals(hist, [0, 1, 3, 5, 1000, 2000]).collect():
         assert (r.n_docs, r.n_tokens, r.longer, r.truncated_tokens) == (9, sum(plain), sum(x > r.context for x in plain), sum(min(x, r.context) for x in plain))
     assert {r.share: r.length for r in lengths.quantiles(hist, [0.1, 0.5, 1.0]).collect()} == {0.1: 0, 0.5: 5, 1.0: 1000}
-    assert lengths.histogram(df.limit(0)).count() == 0
+    none = lengths.histogram(df.limit(0))
+    assert none.count() == lengths.totals(none, [5]).count() == lengths.quantiles(none, [0.5]).count() == 0

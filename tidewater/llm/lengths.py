@@ -5,7 +5,7 @@ that occurs: map-side sums, so a length shared by a third of all documents is
 one row a task), and suffix sums over lengths give, for every limit L that
 occurs, how many documents and tokens lie at or above it; from a row one reads
 the number of documents, the total, quantiles and the tokens left when every
-document is cut to L. Any other limit is answered by `totals`.
+document is cut to L. Any other limit is answered by `totals`, from the row next above it.
 
 Suffix sums run in two steps, within blocks of `BLOCK` lengths and over the
 blocks' sums, so no task holds all lengths.
@@ -56,22 +56,43 @@ def histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
     return out.select("length", "n_docs", "n_tokens", "docs_at_least", "tokens_at_least", cut.cast("long").alias("truncated_tokens"), quantile.alias("quantile"))
 
 
+def _at_or_above(hist: DataFrame, edges: list, column: str) -> list:
+    """For each of the ascending edges the first row of hist (by length) with column at or above it, None if there is none.
+
+    Each row of the histogram goes to the one edge that it is next above, so it
+    is read once, and a row an edge reaches the driver.
+    """
+    place = F.size(F.filter(F.array(*(F.lit(x) for x in edges)), lambda x: x <= F.col(column)))
+    first = hist.groupBy(place.alias("at")).agg(F.min(F.struct("length", "n_docs", "docs_at_least", "tokens_at_least")).alias("r")).collect()
+    found, out = {r["at"]: r["r"] for r in first}, []
+    last = None
+    for at in range(len(edges), 0, -1):
+        last = found.get(at, last)
+        out.append(last)
+    return out[::-1]
+
+
 def totals(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: documents, tokens, documents longer than it, tokens after cutting to it."""
-    asked = hist.sparkSession.createDataFrame([(int(x),) for x in limits], "context long")
-    # the asked limits are a list of the caller's; the histogram is read once for all of them
-    cut = F.least(F.col("length"), F.col("context")) * F.col("n_docs")
-    return (
-        hist.join(F.broadcast(asked))
-        .groupBy("context")
-        .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.when(F.col("length") > F.col("context"), F.col("n_docs")).otherwise(0)).alias("longer"), F.sum(cut).alias("truncated_tokens"))
-    )
+    """For each context limit: documents, tokens, documents longer than it, tokens after cutting to it.
+
+    All are read off the suffix sums of the row at or above the limit.
+    """
+    asked = sorted({0, *map(int, limits)})
+    found = dict(zip(asked, _at_or_above(hist, asked, "length"), strict=True))
+    rows, whole = [], found[0]
+    for x in sorted(set(map(int, limits))) if whole else []:
+        r = found[max(x, 0)]
+        docs, tokens = (r.docs_at_least, r.tokens_at_least) if r else (0, 0)
+        longer = docs - (r.n_docs if r and r.length == x else 0)
+        rows.append((x, whole.docs_at_least, whole.tokens_at_least, longer, whole.tokens_at_least - tokens + x * docs))
+    return hist.sparkSession.createDataFrame(rows, "context long, n_docs long, n_tokens long, longer long, truncated_tokens long")
 
 
 def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
     """The smallest length that at least the given share of documents does not exceed."""
-    asked = hist.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    return hist.join(F.broadcast(asked), F.col("quantile") >= F.col("share")).groupBy("share").agg(F.min("length").alias("length"))
+    asked = sorted(set(map(float, shares)))
+    found = _at_or_above(hist, asked, "quantile")
+    return hist.sparkSession.createDataFrame([(x, r.length) for x, r in zip(asked, found, strict=True) if r], "share double, length long")
 
 
 def op6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
