@@ -113,3 +113,20 @@ def log_perplexities(rows, half, order=5, points=0x110000):
         return own + free[h] / total[h] * below
 
     return [-math.fsum(math.log(p(models.get((lang, 1 - half(t)), {}), g)) for g in cut(t)) / len(t) if t else None for t, lang in rows]
+
+
+def allot(sizes, weights, share=1.5, most=2.0):
+    """Targets of sources: share of all words by weight, none above most times its size, the excess reshared."""
+    left, open_, out = share * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
+    while open_:
+        total = sum(weights[i] for i in open_)
+        over = [i for i in open_ if left * weights[i] / total > most * sizes[i]]
+        if not over:
+            for i in open_:
+                out[i] = left * weights[i] / total
+            break
+        for i in over:
+            out[i] = most * sizes[i]
+        left -= sum(out[i] for i in over)
+        open_ -= set(over)
+    return out

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm import plain
 from tests.llm.data import SCHEMA, documents
 from tests.llm.plain import words
 from tests.oracle import connect, rows_of, rows_of_sql
@@ -206,11 +207,13 @@ def test_share_is_small_where_recall_is_high():
     assert index.share(x, 5) < 0.1
 
 
-def test_targets():
-    for sizes in ([10, 10, 10], [1, 100, 3, 0], [5], [0, 0], [7, 7, 7, 7, 1000]):
-        t = mixing.allot(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))])
-        assert math.isclose(sum(t), 1.5 * sum(sizes)) and all(x <= 2 * s + 1e-9 for x, s in zip(t, sizes, strict=True))
-    assert mixing.allot([], []) == []
+def test_targets(spark):
+    for sizes in ([10, 10, 10], [1, 100, 3, 0], [5], [0, 0], [7, 7, 7, 7, 1000], list(range(50))):
+        names = [None if i == len(sizes) - 1 else chr(0x10000 - 5 + i) for i in range(len(sizes))]
+        got = {r.source: r for r in mixing.targets(spark.createDataFrame([(s, n) for s, n in zip(names, sizes, strict=True)], "source string, size long")).collect()}
+        expected = plain.allot(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))])
+        assert len(got) == len(sizes) and all(got[s].source_size == n and math.isclose(got[s].target, x, abs_tol=1e-9) for s, n, x in zip(names, sizes, expected, strict=True))
+    assert mixing.targets(spark.createDataFrame([], "source string, size long")).count() == 0
 
 
 @pytest.mark.parametrize("bins", [1, 4, 4096])

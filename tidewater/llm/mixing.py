@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.store import keep, table
+from tidewater.llm.store import keep, table, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -44,30 +44,25 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def allot(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE, most: float = MOST) -> list[float]:
-    """Targets of sources: share of all words by weight, none above most times its size, the excess reshared."""
-    left, open_, out = share * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
-    while open_:
-        total = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / total > most * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = left * weights[i] / total
-            break
-        for i in over:
-            out[i] = most * sizes[i]
-        left -= sum(out[i] for i in over)
-        open_ -= set(over)
-    return out
-
-
 def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, source_size, target: a row for each source (sources, not documents, reach the driver)."""
-    spark = sized.sparkSession
-    rows = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
-    rows = sorted(rows, key=lambda r: (r.source is None, r.source or ""))
-    found = allot([r.n for r in rows], [weights[i % len(weights)] for i in range(len(rows))], share, most)
-    return spark.createDataFrame([(r.source, r.n, t) for r, t in zip(rows, found, strict=True)], "source string, source_size long, target double")
+    """source, source_size, target: share of all words by weight, none above most times its size, the excess reshared.
+
+    Sources in order of cap by weight fill up one after the other; those from the
+    first on whose share of what is left is no more than its cap get that share.
+    """
+    rows = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # windows over sources, not documents
+    nth = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
+    rows = rows.withColumn("_w", F.get(F.lit(list(map(float, weights))), F.pmod(nth - 1, F.lit(len(weights)))))
+    cap = F.lit(float(most)) * F.col("source_size")
+    order = W.orderBy(cap / F.col("_w"), F.col("source").asc_nulls_last())
+    before, on = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
+    left = F.lit(float(share)) * F.sum("source_size").over(W.partitionBy()) - F.lit(float(most)) * F.coalesce(F.sum("source_size").over(before), F.lit(0))
+    rows = rows.select("source", "source_size", "_w", cap.alias("_cap"), left.alias("_left"), F.sum("_w").over(on).alias("_open"), F.row_number().over(order).alias("_k"))
+    fits = F.col("_left") * F.col("_w") / F.col("_open") <= F.col("_cap")
+    rows = rows.withColumn("_level", F.min(F.when(fits, F.struct("_k", "_left", "_open"))).over(W.partitionBy()))
+    filled = F.col("_level").isNull() | (F.col("_k") < F.col("_level._k"))
+    return rows.select("source", "source_size", F.when(filled, F.col("_cap")).otherwise(F.col("_level._left") * F.col("_w") / F.col("_level._open")).alias("target"))
 
 
 def uniform(seed: str, key: Column) -> Column:
@@ -81,11 +76,11 @@ def mix(sized: DataFrame, weight: str, seed: str = SEED, bins: int = BINS, share
 
     weight names the column of quality weights (null or not positive: PLAIN).
     """
-    shares = shares if shares is not None else targets(sized)
+    shares = shares if shares is not None else keep(targets(sized), "mix-targets")
     added = {"source_size", "target", "taken", "_key", "_bin", "_rest", "_before", "_epochs"}
     rows = sized.select(*[c for c in sized.columns if c not in added])
     usable = F.when(F.col(weight) > 0, F.col(weight).cast("double")).otherwise(F.lit(PLAIN))
-    # one row a source: its size is checked against nothing but the number of sources
+    # a row a source: Spark broadcasts them if they are few, and splits a source's rows if not
     rows = rows.alias("d").join(shares.alias("s"), F.expr("d.source <=> s.source")).select("d.*", "s.source_size", "s.target")
     rows = rows.withColumn("_key", -F.log(uniform(seed, F.col("doc_id"))) / usable)
     rows = rows.withColumn("_bin", F.least(F.floor((1 - F.exp(-F.col("_key"))) * bins), F.lit(bins - 1)).cast("int"))
@@ -97,7 +92,7 @@ def mix(sized: DataFrame, weight: str, seed: str = SEED, bins: int = BINS, share
     sums = sums.withColumn("_before", F.coalesce(F.sum("n").over(order), F.lit(0)))
     # a budget runs out in one bin of each source: that one alone is ordered
     cut = sums.filter((F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("n") >= F.col("rest"))).select("source", F.col("_bin").alias("cut"), "_before")
-    rows = rows.alias("d").join(F.broadcast(cut).alias("c"), F.expr("d.source <=> c.source"), "left").select("d.*", "c.cut", "c._before")
+    rows = rows.alias("d").join(cut.alias("c"), F.expr("d.source <=> c.source"), "left").select("d.*", "c.cut", "c._before")
     split = rows.filter(F.col("_bin") == F.col("cut"))
     inner = W.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     ahead = F.col("_before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
@@ -118,16 +113,17 @@ def weighed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.drop("_weight").join(quality_weights(labels), "doc_id", "left")
 
 
-def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
+def copies(mixed: DataFrame, text: str = "text", size: str = "size", taken: str = "taken") -> DataFrame:
     """The mix itself: a row for each whole repeat of a document, and one for its part, if any.
 
     mixed has size, taken and text. The text of a part is its first words, joined by one space.
     """
-    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    rows = mixed.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
-    take = F.least(F.col("size"), F.col("taken") - (F.col("_copy") - 1) * F.col("size")).cast("int")
+    nth = unused(mixed.columns, "_copy")[0]
+    times = F.when(F.col(size) > 0, F.ceil(F.col(taken) / F.col(size))).otherwise(0).cast("int")
+    rows = mixed.filter(times > 0).withColumn(nth, F.explode(F.sequence(F.lit(1), times)))
+    take = F.least(F.col(size), F.col(taken) - (F.col(nth) - 1) * F.col(size)).cast("int")
     head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), take), " ")
-    return rows.withColumn(text, F.when(take < F.col("size"), head).otherwise(F.col(text))).drop("_copy")
+    return rows.withColumn(text, F.when(take < F.col(size), head).otherwise(F.col(text))).drop(nth)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
