@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.store import bounded_batches, table, tidy
+from tidewater.llm.store import KEPT, bounded_batches, table, tidy
 
 #: Words kept with their ids, and pairs of tokens kept with whether they hold, at most; tables are emptied when full.
 PIECES, PAIRS = 1 << 18, 1 << 18
@@ -421,6 +421,7 @@ class Decoder:
 
 
 _ENCODERS: dict[bytes, Encoder] = {}
+KEPT["bpe"] = _ENCODERS.clear
 
 
 def encoder(source: bytes) -> Encoder:
@@ -461,7 +462,7 @@ def _with_columns(docs: DataFrame, text: str, make, added: list[T.StructField],
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f.name for f in added)])
 
     bounded_batches(docs.sparkSession)
-    return base.mapInArrow(tidy(run), schema)
+    return base.mapInArrow(tidy(run, "bpe"), schema)
 
 
 def _arrow(fields: list[T.StructField]) -> list[pa.DataType]:

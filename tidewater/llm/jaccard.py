@@ -411,8 +411,8 @@ def met_by_two(entries: DataFrame, square: int) -> DataFrame:
     return own.withColumn("two", F.shiftleft(F.least("block", "other").cast("long"), 32) + F.greatest("block", "other").cast("long")).drop("other", "blocks")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
-    """class and its whole set (entries) for each class of wanted (class, and row: a document that has it)."""
+def sets_of(docs: DataFrame, wanted: DataFrame, seed: int, name: str) -> DataFrame:
+    """class and its whole set (entries) for each class of wanted (class, and row: a document that has it), kept under a name."""
     words = docs.sparkSession.sparkContext.broadcast(filter_of(wanted.select(F.col("row").alias("key"))))
 
     def run(batches):
@@ -428,7 +428,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
 
     bounded_batches(docs.sparkSession)
     found = docs.select("text", row_of(F.col("doc_id"), F.xxhash64("text")).alias("row")).mapInArrow(tidy(run), "row long, class long, entries array<long>")
-    return found.join(wanted, ["row", "class"], "left_semi").dropDuplicates(["class"]).select("class", "entries")
+    sets = keep(found.join(wanted, ["row", "class"], "left_semi").dropDuplicates(["class"]).select("class", "entries"), name)
+    words.destroy()
+    return sets
 
 
 def row_of(doc_id, key):
@@ -441,7 +443,7 @@ def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, name: str, see
     pairs = keep(pairs.select("x", "y", "nx", "ny"), f"jaccard-{name}-pairs")
     ends = pairs.select(F.col("x").alias("class")).unionByName(pairs.select(F.col("y").alias("class"))).distinct()
     wanted = keep(ends.join(classes, "class").select("class", "row"), f"jaccard-{name}-ends")
-    sets = keep(sets_of(docs, wanted, seed), f"jaccard-{name}-sets")
+    sets = sets_of(docs, wanted, seed, f"jaccard-{name}-sets")
     both = pairs.join(sets.select(F.col("class").alias("x"), F.col("entries").alias("ex")), "x").join(sets.select(F.col("class").alias("y"), F.col("entries").alias("ey")), "y")
     enough = F.size(F.array_intersect("ex", "ey")) >= F.expr("(4 * (nx + ny) + 8) div 9")
     return keep(both.filter(enough).select("x", "y"), f"jaccard-{name}-links")
@@ -467,6 +469,7 @@ def join(docs: DataFrame, hot: int = HOT, square: int = SQUARE) -> DataFrame:
     often = said.filter("n is null").groupBy("class").agg(F.sum("said").alias("df")).filter(F.col("df") >= HOT_LEAST).orderBy(F.desc("df"), "class").limit(hot).toArrow()
     order = spark.sparkContext.broadcast(Order(often.column("class").to_numpy().astype(np.int64).view(U), often.column("df").to_numpy()))
     met = keep(stars(postings(docs, order, seed)), "jaccard-columns")
+    order.destroy()
     pivots = met.filter("s is null").groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c"))
     need = F.greatest(F.lit(1), F.expr("(4 * (nx + ny) + 8) div 9 - greatest((4 * nx + 4) div 5, (4 * ny + 4) div 5) + 1"))
     # these pairs only save work later on: likely ones and two pivots a row (the best of each half of them) will do

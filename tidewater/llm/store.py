@@ -45,9 +45,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds; both settings act on later plans only."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound what one Arrow batch holds, in this session from now on; a caller's own lower bounds stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        said = re.fullmatch(r"(\d+)b?", spark.conf.get(name).lower())
+        if said is None or not 0 < int(said[1]) <= most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +69,17 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def aside(df: DataFrame, added: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with columns that are called like one of added called otherwise, and how to get df's columns back."""
+    clash = {x.lower() for x in added}
+    names = list(df.columns)
+    for i, c in enumerate(df.columns):
+        if c.lower() in clash:
+            names[i] = unused([*names, *clash], c)[0]
+    back = lambda out: out.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, df.columns, strict=True)])
+    return df.toDF(*names), back
+
+
 def others(df: DataFrame, added: Iterable[str]) -> DataFrame:
     """df without columns that are called like one of added: these give way."""
     gone = {c.lower() for c in added}
@@ -95,11 +109,18 @@ def _release() -> None:
         pass
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run over a task's batches, and then no memory kept beyond the task."""
+#: What operators keep in a worker between tasks, by name: how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def tidy(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """run over a task's batches, with nothing kept from other operators' tasks; then no memory is held beyond the task."""
 
     def whole(batches):
         try:
+            for name, forget in KEPT.items():
+                if name != keeps:
+                    forget()
             yield from run(batches)
         finally:
             _release()

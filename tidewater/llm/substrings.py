@@ -240,6 +240,7 @@ def spans(docs: DataFrame, name: str = "repeats") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(filter_of(repeated_minimizers(docs), FILTER_BITS))
     # rows alike in doc_id and text say the same
     found = keep(matches(paths(docs, sent)).distinct(), name)
+    sent.destroy()
     # paths that follow on each other in both texts are one span
     order = W.partitionBy("doc", "key").orderBy("start", "source", "source_key", "source_start")
     follows = (F.lag("source").over(order) == F.col("source")) & (F.lag("source_key").over(order) == F.col("source_key")) & (F.lag("start").over(order) + F.lag("size").over(order) == F.col("start")) & (F.lag("source_start").over(order) + F.lag("size").over(order) == F.col("source_start"))
