@@ -390,6 +390,11 @@ def iso(ts: C) -> Column:
 # -- compact addresses -------------------------------------------------------
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), value being worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _number(data: Column, at: Column, width: int) -> Column:
     return F.conv(F.hex(F.substring(data, at, F.lit(width))), 16, 10).cast("int")
 
@@ -401,25 +406,34 @@ def _address(data: Column, at: Column) -> tuple[Column, Column]:
 
 def compact_peers(data: C) -> Column:
     """Array of (ip, port) from six-byte records; a rest that is no whole record is dropped."""
-    data = _c(data)
-    n = F.floor(F.octet_length(data) / 6).cast("int")
-    index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(index, lambda i: F.struct(*_address(data, i * 6 + 1)))
+
+    def read(data):
+        n = F.floor(F.octet_length(data) / 6).cast("int")
+        index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(index, lambda i: F.struct(*_address(data, i * 6 + 1)))
+
+    return _once(_c(data), read)
 
 
 def compact_nodes(data: C) -> Column:
     """Array of (id hex, ip, port) from 26-byte records."""
-    data = _c(data)
-    n = F.floor(F.octet_length(data) / 26).cast("int")
-    index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(index, lambda i: F.struct(F.lower(F.hex(F.substring(data, i * 26 + 1, F.lit(20)))).alias("id"), *_address(data, i * 26 + 21)))
+
+    def read(data):
+        n = F.floor(F.octet_length(data) / 26).cast("int")
+        index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(index, lambda i: F.struct(F.lower(F.hex(F.substring(data, i * 26 + 1, F.lit(20)))).alias("id"), *_address(data, i * 26 + 21)))
+
+    return _once(_c(data), read)
 
 
 def encode_peer(ip: C, port: C) -> Column:
     """Six bytes of an address."""
-    parts = F.split(_c(ip), r"\.")
-    octets = [F.lpad(F.hex(parts.getItem(i).cast("int")), 2, "0") for i in range(4)]
-    return F.unhex(F.concat(*octets, F.lpad(F.hex(_c(port).cast("int")), 4, "0")))
+
+    def write(a):
+        octets = [F.lpad(F.hex(F.get(a["octets"], i).cast("int")), 2, "0") for i in range(4)]
+        return F.unhex(F.concat(*octets, F.lpad(F.hex(a["port"]), 4, "0")))
+
+    return _once(F.struct(F.split(_c(ip), r"\.").alias("octets"), _c(port).cast("int").alias("port")), write)
 
 
 def listed_peers(peers: C) -> Column:

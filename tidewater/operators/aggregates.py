@@ -126,7 +126,7 @@ def slow_peers(samples: DataFrame, timeouts: DataFrame, peer: str, rtt: str, lim
 def outcome(requests: DataFrame, status: str, latency: str, limit_ms: float = 3000.0) -> DataFrame:
     """Requests by outcome, 99th percentile and verdict of a load test: one creation, no server error, in time."""
     s = F.col(status)
-    out = requests.agg(F.count_if(s == 201).alias("created"), F.count_if(s == 200).alias("repeated"), F.count_if(s == 409).alias("in_flight"), F.count_if(s >= 500).alias("server_errors"), F.count_if(~s.isin(200, 201, 409) & (s < 500)).alias("other"), F.percentile(latency, 0.99).alias("p99"))
+    out = requests.agg(F.count_if(s == 201).alias("created"), F.count_if(s == 200).alias("repeated"), F.count_if(s == 409).alias("in_flight"), F.count_if(s >= 500).alias("server_errors"), F.count_if(~s.isin(200, 201, 409) & (s < 500)).alias("other"), F.round(F.percentile(latency, 0.99), 6).alias("p99"))
     return out.withColumn("passed", (F.col("created") == 1) & (F.col("server_errors") == 0) & (F.coalesce("p99", F.lit(0.0)) < limit_ms))
 
 

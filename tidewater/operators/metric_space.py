@@ -23,6 +23,18 @@ def nearest_unasked(nodes: DataFrame, asked: DataFrame, target: str, k: int = 3,
     return nearest(nodes.join(asked.select(node), node, "left_anti"), target, k, node)
 
 
+def id_in_bucket(own: Column, bucket: Column, seed: Column) -> Column:
+    """An id whose distance to own has its highest bit at bucket, the rest of it by a digest of the seed."""
+    noise = S.id_words(F.sha1(seed.cast("string").cast("binary")))
+    words = []
+    for i, (a, b) in enumerate(zip(S.id_words(own), noise, strict=True)):
+        # the bit's place in this word: below 0 if it lies in a later word, from 32 on if in an earlier one
+        at = bucket - 32 * (S.WORDS - 1 - i)
+        low = F.when(at < 0, 0).when(at >= 32, b).otherwise(b.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int")) - 1) + F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int")))
+        words.append(F.lower(F.lpad(F.hex(a.bitwiseXOR(low.cast("long"))), 8, "0")))
+    return F.concat(*words)
+
+
 def bucketed(nodes: DataFrame, own: str, node: str = "id") -> DataFrame:
     """Nodes with the bucket of their distance to own; own itself left out."""
     return nodes.filter(F.col(node) != own).withColumn("bucket", S.bucket_index(F.col(node), F.lit(own)))

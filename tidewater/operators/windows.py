@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,29 +59,50 @@ def strikes(df: DataFrame, keys: Sequence[str], ts: str, strike: Column, seconds
     return out.withColumn("strikes", F.sum(F.when(strike, 1).otherwise(0)).over(w)).withColumn("banned", F.col("strikes") >= most).drop("_at")
 
 
-def bans(strikes_: DataFrame, key: str, ts: str, most: int = 3, window_s: float = 600.0, ban_s: float = 1800.0) -> DataFrame:
-    """Key, banned_at, until: bans of each key in turn; strikes count within window_s, and from nothing after a ban.
+def _walked(rows: DataFrame, key: str, order: str, begin, step, end, schema: str) -> DataFrame:
+    """Rows in order within each key through step(state, values) -> (state, row or None).
 
-    A ban depends on the one before, so each key's strikes are walked in order, one group a key.
+    A step depends on the one before, so a key's rows are one task's; they are
+    read batch by batch, and only the state is held.
     """
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        now, state = None, None
+        for batch in batches:
+            out = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for values in zip(*columns, strict=True):
+                if state is None or values[0] != now:
+                    now, state = values[0], begin()
+                state, row = step(state, values)
+                if row is not None:
+                    out.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), end(batch.schema), strict=True)], names=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
+def bans(strikes_: DataFrame, key: str, ts: str, most: int = 3, window_s: float = 600.0, ban_s: float = 1800.0) -> DataFrame:
+    """Key, banned_at, until: bans of each key in turn; strikes count within window_s, and from nothing after a ban."""
+    import pyarrow as pa
+
     kind = strikes_.schema[key].dataType.simpleString()
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = sorted(pdf["_at"])
-        held: list[float] = []
-        until, out = float("-inf"), []
-        for t in at:
-            if t < until:
-                continue
-            held = [x for x in held if t - x <= window_s] + [t]
-            if len(held) >= most:
-                until = t + ban_s
-                out.append((pdf[key].iloc[0], t, until))
-                held = []
-        return pd.DataFrame(out, columns=[key, "banned_at", "until"])
+    def step(state, values):
+        (held, until), (who, t) = state, values
+        if t < until:
+            return state, None
+        held = [x for x in held if t - x <= window_s] + [t]
+        if len(held) < most:
+            return (held, until), None
+        return ([], t + ban_s), (who, t, t + ban_s)
 
     rows = strikes_.select(key, _seconds(ts).alias("_at"))
-    return rows.groupBy(key).applyInPandas(walk, f"{key} {kind}, banned_at double, until double")
+    return _walked(rows, key, "_at", lambda: ([], float("-inf")), step, lambda schema: (schema.types[0], pa.float64(), pa.float64()), f"{key} {kind}, banned_at double, until double")
 
 
 def failure_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], success: Column) -> DataFrame:
@@ -97,21 +117,19 @@ def failure_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], succe
 
 def token_bucket(requests: DataFrame, key: str, tick: str, wanted: str, rate: float, capacity: float) -> DataFrame:
     """Bytes granted to each request, in order of ticks of 0.1 s: a bucket refilled by rate / 10 a tick, partial grants, first come first served."""
+    import pyarrow as pa
+
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(tick, kind="stable")
-        tokens, last, out = capacity, None, []
-        for t, want in zip(pdf[tick], pdf[wanted], strict=True):
-            if last is not None:
-                tokens = min(capacity, tokens + rate * 0.1 * (t - last))
-            last = t
-            got = min(tokens, want)
-            tokens -= got
-            out.append(got)
-        return pdf[[key, tick, wanted]].assign(granted=out)
-
-    return requests.select(key, tick, wanted).groupBy(key).applyInPandas(walk, f"{key} {kinds[key]}, {tick} {kinds[tick]}, {wanted} {kinds[wanted]}, granted double")
+    def step(state, values):
+        (tokens, last), (who, t, want) = state, values
+        if last is not None:
+            tokens = min(capacity, tokens + rate * 0.1 * (t - last))
+        got = min(tokens, want)
+        return (tokens - got, t), (who, t, want, got)
+
+    rows = requests.select(key, tick, wanted)
+    return _walked(rows, key, tick, lambda: (capacity, None), step, lambda schema: (*schema.types[:3], pa.float64()), f"{key} {kinds[key]}, {tick} {kinds[tick]}, {wanted} {kinds[wanted]}, granted double")
 
 
 def per_second(df: DataFrame, keys: Sequence[str], ts: str, value: str, width: str = "1 second") -> DataFrame:

@@ -103,10 +103,10 @@ def piece_availability(t):
     return A.availability(t.lineitem, "l_partkey", "l_suppkey", most=3)
 
 
-@query("F5 D17", "SELECT l_partkey, availability FROM (SELECT l_partkey, count(DISTINCT l_suppkey) AS availability FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_partkey IS NOT NULL) GROUP BY 1) ORDER BY availability, l_partkey LIMIT 20")
+@query("F5 D17", "SELECT l_partkey, availability FROM (SELECT l_partkey, count(DISTINCT l_suppkey) AS availability FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 AND l_partkey IS NOT NULL) GROUP BY 1) ORDER BY availability, l_partkey LIMIT 20")
 def rarest_first(t):
     counts = A.availability(t.lineitem, "l_partkey", "l_suppkey")
-    busy = t.lineitem.filter(F.col("l_returnflag") == "R").select("l_partkey")
+    busy = t.lineitem.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)).select("l_partkey")
     return R.rarest(counts, busy, "l_partkey").limit(20)
 
 
@@ -187,7 +187,7 @@ def latency_p95_hist(t):
 
 
 @query("D37", """SELECT count(*) FILTER (s = 201) AS created, count(*) FILTER (s = 200) AS repeated, count(*) FILTER (s = 409) AS in_flight, count(*) FILTER (s >= 500) AS server_errors, count(*) FILTER (s NOT IN (200, 201, 409) AND s < 500) AS other,
-quantile_cont(value, 0.99) AS p99, (count(*) FILTER (s = 201) = 1 AND count(*) FILTER (s >= 500) = 0 AND quantile_cont(value, 0.99) < 3000) AS passed FROM (SELECT CASE WHEN event_id = 0 THEN 201 WHEN event_type = 'view' THEN 200 ELSE 409 END AS s, value FROM events)""")
+round(quantile_cont(value, 0.99), 6) AS p99, (count(*) FILTER (s = 201) = 1 AND count(*) FILTER (s >= 500) = 0 AND quantile_cont(value, 0.99) < 3000) AS passed FROM (SELECT CASE WHEN event_id = 0 THEN 201 WHEN event_type = 'view' THEN 200 ELSE 409 END AS s, value FROM events)""")
 def load_test_outcome(t):
     s = F.when(F.col("event_id") == 0, 201).when(is_type("view"), 200).otherwise(409)
     return A.outcome(t.events.withColumn("s", s), "s", "value")
@@ -249,10 +249,21 @@ def active_transfers(t):
     return R.active(t.orders.withColumn("state", state)).filter("o_custkey <> 1").select("o_orderkey")
 
 
-@query("B14 B16", """SELECT l_suppkey FROM (SELECT l_suppkey, avg(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS r, count(*) AS n, max(l_quantity) AS q FROM lineitem GROUP BY 1) WHERE (n > 10 AND r < 0.3) OR q < 50""")
+@query("B16", """SELECT l_suppkey, l_linenumber FROM (SELECT l_suppkey, l_linenumber, avg(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS r, count(*) AS n, avg(l_quantity) AS q FROM lineitem GROUP BY 1, 2) WHERE (n > 10 AND r < 0.3) OR q < 24""")
 def unhealthy_peers(t):
-    rows = t.lineitem.groupBy("l_suppkey").agg(F.avg(F.when(F.col("l_returnflag") != "R", 1).otherwise(0)).alias("success_rate"), F.count("*").alias("samples"), (F.max("l_quantity") < 50).alias("slow"))
-    return R.unhealthy(rows).select("l_suppkey")
+    rows = t.lineitem.groupBy("l_suppkey", "l_linenumber").agg(F.avg(F.when(F.col("l_returnflag") != "R", 1).otherwise(0)).alias("success_rate"), F.count("*").alias("samples"), (F.avg("l_quantity") < 24).alias("slow"))
+    return R.unhealthy(rows).select("l_suppkey", "l_linenumber")
+
+
+REQUEST_IDS_SQL = "CASE event_id % 5 WHEN 0 THEN 'req-' || event_id WHEN 1 THEN 'a b' WHEN 2 THEN '' WHEN 3 THEN repeat('x', 120 + (event_id % 20)::INT) END"
+
+
+@query("B14", f"SELECT event_id, coalesce(regexp_full_match(id, '[a-zA-Z0-9_-]{{1,128}}'), false) AS valid FROM (SELECT event_id, {REQUEST_IDS_SQL} AS id FROM events)")
+def valid_requests(t):
+    """Well-formed, spaced, empty, overlong and absent ids."""
+    k = F.col("event_id") % 5
+    said = F.when(k == 0, F.concat(F.lit("req-"), F.col("event_id").cast("string"))).when(k == 1, "a b").when(k == 2, "").when(k == 3, F.repeat(F.lit("x"), (120 + F.col("event_id") % 20).cast("int")))
+    return t.events.select("event_id", R.valid_request(said).alias("valid"))
 
 
 @query("B15 L12 L6", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS c_name, c_mktsegment FROM customer""")
@@ -294,9 +305,9 @@ def live_only(t):
     return t.orders.join(live, F.col("o_custkey") == F.col("user_id")).select("o_orderkey", "n")
 
 
-@query("C9", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("C9", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL)")
 def orphans_anti(t):
-    return R.orphans(t.customer.select("c_custkey"), t.orders, "c_custkey", "o_custkey")
+    return R.orphans(t.customer.select("c_custkey"), t.orders.filter("o_orderstatus = 'P'"), "c_custkey", "o_custkey")
 
 
 @query("C10 I11", """SELECT o_orderkey, 'queued' AS status, 'JOB_ASSIGNED' AS type FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate > TIMESTAMP '1997-06-01')""")
@@ -311,16 +322,25 @@ def dedup_prepopulate(t):
     return R.stored(t.documents.select("doc_id", S.sha256_hex("text").alias("chunk_hash")), store).select("doc_id")
 
 
-@query("C12 L5 L11 M32", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey < 3 UNION ALL SELECT n_nationkey, upper(n_name), n_regionkey FROM nation WHERE n_regionkey >= 3")
+@query("C12 L5 M32", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey < 3 UNION ALL SELECT n_nationkey, upper(n_name), n_regionkey FROM nation WHERE n_regionkey >= 3")
 def upsert_insert(t):
     old = t.nation.filter("n_regionkey < 3")
     return R.inserted(old, t.nation.withColumn("n_name", F.upper("n_name")), ["n_nationkey"])
 
 
-@query("C13 G6", "SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem WHERE (l_suppkey, l_linenumber) NOT IN (SELECT l_suppkey, l_linenumber FROM lineitem WHERE l_quantity > 45)")
+@query("L11", """WITH u AS (SELECT c_custkey AS id, 'g-' || c_custkey AS google_id, lower(c_name) AS email FROM customer WHERE c_custkey % 2 = 0), w AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'g-' || o_custkey ELSE 'h-' || o_orderkey END AS google_id, lower('Customer#' || lpad((o_custkey + 1)::VARCHAR, 9, '0')) AS email FROM orders)
+SELECT w.google_id, w.email, coalesce(a.id, b.id) AS id, coalesce(a.id, b.id) IS NULL AS created FROM w LEFT JOIN u a ON a.google_id = w.google_id LEFT JOIN u b ON b.email = w.email""")
+def signed_in(t):
+    users = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.concat(F.lit("g-"), F.col("c_custkey").cast("string")).alias("google_id"), F.lower("c_name").alias("email"))
+    known = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("g-"), F.col("o_custkey").cast("string"))).otherwise(F.concat(F.lit("h-"), F.col("o_orderkey").cast("string")))
+    mail = F.lower(F.concat(F.lit("Customer#"), F.lpad((F.col("o_custkey") + 1).cast("string"), 9, "0")))
+    return R.get_or_create(t.orders.select(known.alias("google_id"), mail.alias("email")), users)
+
+
+@query("C13 G6", "SELECT DISTINCT l_partkey, l_linenumber FROM lineitem WHERE (l_partkey, l_linenumber) NOT IN (SELECT l_partkey, l_linenumber FROM lineitem WHERE l_quantity > 45)")
 def new_peers(t):
     known = t.lineitem.filter("l_quantity > 45")
-    return R.unknown(t.lineitem.select("l_suppkey", "l_linenumber"), known, "l_suppkey", "l_linenumber")
+    return R.unknown(t.lineitem.select("l_partkey", "l_linenumber"), known, "l_partkey", "l_linenumber")
 
 
 @query("C15", f"WITH {CHUNKS_SQL} SELECT o_orderkey, count(part) AS leases FROM orders LEFT JOIN c ON l_orderkey = o_orderkey AND flag = 'A' GROUP BY 1")
@@ -467,13 +487,23 @@ def file_offsets(t):
     return E.offsets(t.documents.select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars").select("doc_id", "start", "end")
 
 
-@query("H25 C14 H27 A18", """WITH o AS (SELECT doc_id, (sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars)::BIGINT AS s, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS e FROM documents),
+@query("H25 C14 H27", """WITH o AS (SELECT doc_id, (sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars)::BIGINT AS s, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS e FROM documents),
 p AS (SELECT doc_id, s, e, unnest(generate_series(s // 1000, (e - 1) // 1000)) AS piece FROM o WHERE e > s) SELECT doc_id, piece, (least(e, (piece + 1) * 1000) - greatest(s, piece * 1000))::BIGINT AS shared FROM p""")
 def file_piece_ranges(t):
     rows = E.offsets(t.documents.select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars")
     return R.pieces_of_files(rows, 1000).select("doc_id", "piece", F.col("shared").cast("long").alias("shared"))
 
 
+@query("A18 E3", """WITH d AS (SELECT hex(encode(text)) AS h, doc_id FROM documents WHERE lang = 'en' AND text IS NOT NULL) SELECT sha256(unhex(substr(string_agg(h, '' ORDER BY doc_id), 10001, 60000))) AS sha256, 30000::INT AS bytes FROM d""")
+def byte_ranges(t):
+    """Bytes 5,000 to 35,000 of files laid end to end."""
+    from tidewater.sources import content
+
+    rows = t.documents.filter("lang = 'en' AND text IS NOT NULL").select("doc_id", "lang", F.encode("text", "UTF-8").alias("data")).withColumn("n", F.octet_length("data"))
+    found = content.byte_range(E.offsets(rows, ["lang"], ["doc_id"], "n"), "data", 5000, 35000)
+    return found.select(F.sha2("data", 256).alias("sha256"), F.octet_length("data").alias("bytes"))
+
+
 @query("E4 I7 M36 B11", "SELECT user_id, event_id, age FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events) WHERE age <= 60")
 def speed_history_last60(t):
     return E.last_n(t.events, ["user_id"], 60, F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", F.col("age").cast("long").alias("age"))
@@ -484,7 +514,11 @@ def strike_bans(t):
     return E.strikes(t.events, ["user_id"], "ts", is_type("error"), 172800.0, 3).select("event_id", "strikes", "banned")
 
 
-@query("E6")
+@query("E6", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6::DOUBLE AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error'),
+w AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::DOUBLE[] AS held, '-infinity'::DOUBLE AS until, false AS hit, 0::DOUBLE AS sec FROM e UNION ALL
+SELECT user_id, n, CASE WHEN skip THEN held WHEN len(kept) >= 3 THEN [] ELSE kept END, CASE WHEN NOT skip AND len(kept) >= 3 THEN sec + 172800 ELSE until END, NOT skip AND len(kept) >= 3, sec
+FROM (SELECT e.user_id, e.n, w.held, w.until, e.sec, e.sec < w.until AS skip, list_append(list_filter(w.held, lambda x: e.sec - x <= 432000), e.sec) AS kept FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT user_id, sec AS banned_at, until FROM w WHERE hit""")
 def ban_intervals(t):
     return E.bans(t.events.filter(is_type("error")), "user_id", "ts", most=3, window_s=86400.0 * 5, ban_s=86400.0 * 2)
 
@@ -496,10 +530,13 @@ def tracker_state(t):
     return E.failure_runs(t.events, ["user_id"], ["ts", "event_id"], ~is_type("error")).select("event_id", "failures", "state")
 
 
-@query("E8 M19")
+@query("E8 M19", """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w AS (SELECT user_id, event_id, value, n, least(200::DOUBLE, value) AS granted, 200::DOUBLE - least(200::DOUBLE, value) AS tokens FROM e WHERE n = 1 UNION ALL
+SELECT user_id, event_id, value, n, least(room, value), room - least(room, value) FROM (SELECT e.user_id, e.event_id, e.value, e.n, least(200::DOUBLE, w.tokens + 100::DOUBLE * 0.1::DOUBLE * (e.event_id - w.event_id)) AS room FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT user_id, event_id AS tick, value, round(granted, 6) AS granted FROM w""")
 def token_bucket(t):
     rows = t.events.select("user_id", F.col("event_id").alias("tick"), "value")
-    return E.token_bucket(rows, "user_id", "tick", "value", rate=100.0, capacity=200.0)
+    return E.token_bucket(rows, "user_id", "tick", "value", rate=100.0, capacity=200.0).withColumn("granted", F.round("granted", 6))
 
 
 @query("E9 I7", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS at, event_type, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -695,7 +732,7 @@ def percent_encoded(t):
     return t.nation.select("n_nationkey", S.percent_encode(F.col("n_name").cast("binary")).alias("quoted"))
 
 
-@query("B17")
+@query("B17", "SELECT event_id, event_type FROM events WHERE ('0x' || substr(md5(event_id::VARCHAR), 1, 12))::BIGINT % 10 = 0")
 def sampled_events(t):
     return R.sampled(t.events, "event_id", 10).select("event_id", "event_type")
 
@@ -779,7 +816,8 @@ def artifact_links(t):
     return rows.select("p_partkey", "a.info_hash", F.size("a.pieces").alias("pieces"), K.artifact_magnet(F.col("a")).alias("link"))
 
 
-@query("A17 A19 M13")
+@query("A17 A19 M13", """WITH d AS (SELECT hex(encode(text)) AS h FROM documents WHERE strlen(text) > 0), p AS (SELECT substr(h, i * 8192 + 1, 8192) AS h FROM (SELECT h, unnest(range(0, (length(h) + 8191) // 8192)) AS i FROM d))
+SELECT sha256(unhex(h)) AS sha256, count(*) AS copies, max(length(h) // 2)::INT AS length FROM p GROUP BY 1""")
 def chunk_store(t):
     """Pieces of all documents by content: hash, copies and length; each content once (hex digests of 4 KiB pieces)."""
     from tidewater.sources import content
@@ -789,7 +827,7 @@ def chunk_store(t):
     return pieces.groupBy(F.sha2("bytes", 256).alias("sha256")).agg(F.count("*").alias("copies"), F.max(F.octet_length("bytes")).alias("length"))
 
 
-@query("A4 A5 M1 A7 A11")
+@query("A4 A5 M1", "SELECT sha1(user_id::VARCHAR) AS info_hash, user_id::VARCHAR AS user_id, event_id AS size, round(value, 4) AS average_speed FROM events WHERE event_type = 'purchase'")
 def decoded_facts(t):
     """events as JSON messages and back: completions as facts."""
     from tidewater.sources import events as source
@@ -824,7 +862,7 @@ def directive_counts(t):
     return source.directives(rows).filter("problem is null").groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("A8 A9 A12 A13", "SELECT event_type AS topic, count(*) AS messages, count(DISTINCT user_id) AS keys FROM events GROUP BY 1")
+@query("A8", "SELECT event_type AS topic, count(*) AS messages, count(DISTINCT user_id) AS keys FROM events GROUP BY 1")
 def messages_by_topic(t):
     from tidewater.sources import events as source
 
@@ -832,13 +870,109 @@ def messages_by_topic(t):
     return out.groupBy("topic").agg(F.count("*").alias("messages"), F.count_distinct("key").alias("keys"))
 
 
-@query("A15 A16", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("A16", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def state_documents(t):
     from tidewater.sources import events as source
 
     return source.imported(source.exported(t.nation), "n_nationkey int, n_name string, n_regionkey int")
 
 
+@query("A15", "SELECT n_nationkey, upper(n_name) AS n_name, n_regionkey FROM nation")
+def newest_valid_snapshot(t):
+    """Of three snapshots the last is broken off: the one before it is read."""
+    from tidewater.session import fresh_path
+    from tidewater.sources import events as source
+
+    folder = fresh_path(t.spark, "snapshots")
+    source.saved(t.nation, folder, 1)
+    source.saved(t.nation.withColumn("n_name", F.upper("n_name")), folder, 2)
+    source.exported(t.nation).filter("value NOT LIKE '%:3,%'").selectExpr("replace(value, '}}', '}') AS value").write.text(f"{folder}/snapshot=3")
+    return source.restored(t.spark, folder, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("A6 A7 A9", """SELECT CASE event_type WHEN 'purchase' THEN 'TRANSFER_COMPLETED' WHEN 'signup' THEN 'JOB_ASSIGNED' WHEN 'error' THEN 'TRANSFER_FAILED' ELSE 'STATS_UPDATE' END AS type, user_id::VARCHAR AS "key", 'torrent.jobs.dispatch' AS topic, count(*) AS n FROM events GROUP BY ALL""")
+def directive_headers(t):
+    """Directives whose type stands in a message header, and in the value where there is none; values go as they are."""
+    from tidewater.schemas import TOPICS
+    from tidewater.sources import events as source
+
+    kind = F.when(is_type("purchase"), "TRANSFER_COMPLETED").when(is_type("signup"), "JOB_ASSIGNED").when(is_type("error"), "TRANSFER_FAILED")
+    body = F.to_json(F.struct(F.lit("STATS_UPDATE").alias("type"), F.lit("{}").alias("payload"), F.col("event_id").alias("timestamp")))
+    rows = t.events.select("user_id", kind.alias("type"), body.alias("body"))
+    sent = source.messages(rows, "user_id", TOPICS["dispatch"], headers=("type",), raw="body")
+    good = source.directives(sent.select("value", "headers", "key", "topic")).filter("problem is null").groupBy("type").agg(F.count("*").alias("n"))
+    own = sent.select(F.coalesce(source.header("type"), F.lit("STATS_UPDATE")).alias("type"), "key", "topic").groupBy("type", "key", "topic").agg(F.count("*").alias("n"))
+    return own.join(good.select("type"), "type", "left_semi")
+
+
+@query("A10 A11 A12 A13 I19 I21", """WITH k AS (SELECT CASE event_type WHEN 'purchase' THEN 'torrent_completions' WHEN 'signup' THEN 'torrents' WHEN 'view' THEN 'torrent_progress_snapshots' WHEN 'click' THEN 'peer_connections' ELSE 'piece_completions' END AS fact, user_id, ts FROM events)
+SELECT fact, count(*) AS "rows", count(DISTINCT user_id) AS users, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest FROM k GROUP BY 1 UNION ALL SELECT 'torrent_events', count(*), count(DISTINCT user_id), strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events""")
+def fact_tables(t):
+    """What the fact tables hold after a stream of messages, of which a batch came twice."""
+    from tidewater.session import fresh_path
+    from tidewater.sources import events as source
+
+    kinds = {"purchase": "torrent:completed", "signup": "torrent:added", "view": "torrent:progress", "click": "peer:connected", "error": "piece:completed"}
+    kind = F.lit(None).cast("string")
+    for name, wire in kinds.items():
+        kind = F.when(is_type(name), wire).otherwise(kind)
+
+    def sent(events):
+        body = F.to_json(F.struct(F.col("event_id").alias("size"), F.col("event_id").cast("int").alias("pieceIndex")))
+        rows = events.select(kind.alias("type"), F.sha1(F.col("user_id").cast("string").cast("binary")).alias("infoHash"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("user_id").cast("string").alias("userId"), body.alias("data"))
+        return source.messages(rows, "infoHash", "torrent-events")
+
+    path = fresh_path(t.spark, "facts")
+    write = source.fact_sink(path)
+    q = sent(event_stream(t)).writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    write(sent(t.events), 0)
+    out = None
+    for name in ("torrents", "torrent_completions", "torrent_progress_snapshots", "peer_connections", "piece_completions", "torrent_events"):
+        rows = t.spark.read.parquet(f"{path}/{name}")
+        at = "completed_at" if "completed_at" in rows.columns else "ts"
+        one = rows.agg(F.lit(name).alias("fact"), F.count("*").alias("rows"), F.count_distinct("user_id").alias("users"), text(F.max(at)).alias("latest"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("H42", f"WITH {CHUNKS_SQL} SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1)::INT AS place, 4::INT AS message, lpad(printf('%X', l_linenumber), 8, '0') AS payload FROM c")
+def framed_messages(t):
+    """Frames of a length, an id and a payload, put together and read back."""
+    from tidewater.functions import codecs as K
+
+    frame = F.concat(F.lit("0000000504"), F.lpad(F.hex("l_linenumber"), 8, "0"))
+    rows = chunks(t).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(frame)).alias("f")).select("l_orderkey", F.unhex(F.array_join("f", "")).alias("data"))
+    read = rows.lateralJoin(K.ReadFrames(F.col("data").outer()))
+    return read.select("l_orderkey", "place", "message", F.hex("payload").alias("payload"))
+
+
+@query("J4", "SELECT n_nationkey, b.bucket, true AS apart FROM nation, (SELECT unnest(range(0, 160, 7))::INT AS bucket) b")
+def ids_for_buckets(t):
+    """Ids made for buckets, and the bucket that each is in."""
+    rows = t.nation.select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(159), F.lit(7))).alias("wanted"))
+    made = rows.withColumn("id", M.id_in_bucket(F.lit(TARGET), F.col("wanted"), F.concat(F.col("n_nationkey").cast("string"), F.lit("/"), F.col("wanted").cast("string"))))
+    return made.select("n_nationkey", S.bucket_index(F.col("id"), F.lit(TARGET)).alias("bucket"), (F.col("id") != TARGET).alias("apart"))
+
+
+LEASE_SQL = "CASE event_type WHEN 'signup' THEN 'acquire' WHEN 'purchase' THEN 'acquire' WHEN 'view' THEN 'renew' WHEN 'error' THEN 'release' END"
+
+
+@query("I9", f"""WITH RECURSIVE e AS (SELECT (user_id % 7)::VARCHAR AS k, event_id AS seq, {LEASE_SQL} AS action, (event_id % 2)::VARCHAR AS who, 1 + event_id % 3 AS shown, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id % 7 ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events WHERE event_type <> 'click'),
+w AS (SELECT DISTINCT k, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS action, NULL::VARCHAR AS who, false AS ok, NULL::VARCHAR AS owner, 0::BIGINT AS token, 0::BIGINT AS ends FROM e UNION ALL
+SELECT k, n, seq, action, who, ok, CASE WHEN NOT ok THEN owner WHEN action = 'release' THEN NULL ELSE who END, token, CASE WHEN NOT ok THEN ends WHEN action = 'release' THEN 0 ELSE ms + 3600000 END
+FROM (SELECT *, CASE action WHEN 'acquire' THEN free OR owner = who ELSE NOT free AND owner = who AND shown = token END AS ok
+FROM (SELECT e.k, e.n, e.seq, e.action, e.who, e.shown, e.ms, w.owner, w.ends, w.owner IS NULL OR w.ends <= e.ms AS free, w.token + CASE WHEN e.action = 'acquire' AND (w.owner IS NULL OR w.ends <= e.ms) THEN 1 ELSE 0 END AS token FROM w JOIN e ON e.k = w.k AND e.n = w.n + 1)))
+SELECT k AS "key", seq, action, who AS owner, ok AS granted, CASE WHEN ok THEN token END AS token, CASE WHEN ok AND owner IS NOT NULL THEN ends END AS ends FROM w WHERE n > 0""")
+def lease_stream(t):
+    """Leases asked for, renewed and given back by a stream of requests."""
+    from tidewater.session import fresh_path
+
+    action = F.when(is_type("signup") | is_type("purchase"), "acquire").when(is_type("view"), "renew").when(is_type("error"), "release")
+    rows = event_stream(t).select((F.col("user_id") % 7).cast("string").alias("key"), F.col("event_id").alias("seq"), action.alias("action"), (F.col("event_id") % 2).cast("string").alias("owner"), (1 + F.col("event_id") % 3).alias("token"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return T.finished(T.leases(rows.filter("action is not null"), 3600000), fresh_path(t.spark, "leases"))
+
+
 @query("D11 B9", f"WITH {CHUNKS_SQL} SELECT l_orderkey, count(*) AS files, count(*) FILTER (quantity > 25) AS selected FROM c GROUP BY 1")
 def selected_files(t):
     return A.counted_by(chunks(t), ["l_orderkey"], {"selected": F.col("quantity") > 25}).withColumnRenamed("total", "files")
@@ -901,15 +1035,19 @@ def event_stream(t):
     return source.file_stream(t.spark, t.folder, t.events.schema, "events.parquet")
 
 
-@query("I2 I5 A3 A10", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) FILTER (event_type = 'purchase') AS completions, round(coalesce(sum(value) FILTER (event_type = 'purchase'), 0), 6) AS total_bytes FROM events GROUP BY 1")
+@query("I2 I5 A3", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) FILTER (event_type = 'purchase') AS completions, round(coalesce(sum(value) FILTER (event_type = 'purchase'), 0), 6) AS total_bytes FROM events GROUP BY 1")
 def hourly_stream(t):
     """The hourly rollup as a stream, run to the present end of its files."""
-    out = T.memory_stream(T.hourly(event_stream(t), "ts", is_type("purchase"), "value"), "hourly_stream", "complete")
+    from tidewater.session import fresh_path
+
+    out = T.finished(T.hourly(event_stream(t), "ts", is_type("purchase"), "value"), fresh_path(t.spark, "hourly"), "complete")
     return out.select(text("hour").alias("hour"), "completions", F.round("total_bytes", 6).alias("total_bytes"))
 
 
-@query("I8 I19 I21", "SELECT count(*) AS requests FROM (SELECT DISTINCT user_id FROM events)")
+@query("I8", "SELECT count(*) AS requests FROM (SELECT DISTINCT user_id FROM events)")
 def idempotent_stream(t):
     """First requests of each id, as a stream that remembers them for a year."""
-    out = T.memory_stream(T.first_requests(event_stream(t), "user_id", "ts", "365 days"), "idempotent_stream")
+    from tidewater.session import fresh_path
+
+    out = T.finished(T.first_requests(event_stream(t), "user_id", "ts", "365 days"), fresh_path(t.spark, "requests"))
     return out.agg(F.count("*").alias("requests"))

@@ -22,6 +22,29 @@ def session(name: str = "tidewater", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, a local folder if all run in this process; else an error."""
+    import re
+    import tempfile
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset: on {master}, name a folder that all executors see")
+        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidewater-"))
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session: they need not have it installed."""
     import os

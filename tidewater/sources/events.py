@@ -61,19 +61,59 @@ def facts(events: DataFrame) -> dict[str, DataFrame]:
     return {"torrents": added, "torrent_completions": done, "torrent_progress_snapshots": progress, "peer_connections": joined.unionByName(left), "piece_completions": pieces, "torrent_events": every}
 
 
+def header(name: str, headers: str = "headers"):
+    """The text of the last header of a name, null without one."""
+    found = F.filter(F.col(headers), lambda h: h["key"] == name)
+    return F.element_at(F.when(F.size(found) > 0, found), -1)["value"].cast("string")
+
+
 def directives(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Directives of JSON messages; problem says why one is refused."""
+    """Directives of JSON messages, their type being the header's if there is one; problem says why one is refused."""
     d = F.from_json(F.col(value).cast("string"), DIRECTIVE).alias("d")
-    out = messages.select(d).select("d.*")
+    said = header("type") if "headers" in messages.columns else F.lit(None).cast("string")
+    out = messages.select(d, said.alias("said")).select("d.*", "said")
+    out = out.withColumn("type", F.coalesce("said", "type")).drop("said")
     problem = F.when(~F.coalesce(F.col("type").isin(*DIRECTIVE_TYPES), F.lit(False)), "unknown type").when(~F.coalesce(F.startswith(F.trim("payload"), F.lit("{")), F.lit(False)), "payload is no object").when(F.col("timestamp").isNull(), "no timestamp")
     return out.withColumn("problem", problem)
 
 
-def messages(events: DataFrame, key: str, topic: str | None = None) -> DataFrame:
-    """Key, value (JSON of each row) and topic, as a Kafka sink takes them; a topic column goes by itself."""
+def messages(events: DataFrame, key: str, topic: str | None = None, headers: tuple[str, ...] = (), raw: str | None = None) -> DataFrame:
+    """Key, value (JSON of each row, or a column's bytes as they are), topic and headers, as a Kafka sink takes them; a topic column goes by itself."""
     rest = [c for c in events.columns if c != "topic"]
     name = F.lit(topic) if topic else F.col("topic")
-    return events.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rest)).alias("value"), name.alias("topic"))
+    value = F.col(raw).cast("binary") if raw else F.to_json(F.struct(*rest))
+    more = [F.array(*(F.struct(F.lit(h).alias("key"), F.col(h).cast("string").cast("binary").alias("value")) for h in headers)).alias("headers")] if headers else []
+    return events.select(F.col(key).cast("string").alias("key"), value.alias("value"), name.alias("topic"), *more)
+
+
+def fact_sink(path: str):
+    """A writer of batches of messages: each fact table of a batch under the batch's number, so that one that comes again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        good = accepted(decoded(batch)).persist()
+        try:
+            for name, rows in facts(good).items():
+                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        finally:
+            good.unpersist()
+
+    return write
+
+
+def saved(rows: DataFrame, folder: str, number: int) -> None:
+    """A snapshot: the rows as documents, and how many there are."""
+    n = rows.count()
+    exported(rows).unionByName(rows.sparkSession.createDataFrame([(f'{{"version":1,"rows":{n}}}',)], "value string")).write.mode("overwrite").text(f"{folder}/snapshot={number}")
+
+
+def restored(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of the newest snapshot of which no document is malformed, of another version or missing; older ones are its backups."""
+    rows = spark.read.schema("value string, snapshot int").text(folder)
+    d = F.from_json("value", f"version int, rows long, row struct<{schema}>", {"mode": "PERMISSIVE"})
+    parsed = rows.select("snapshot", d.alias("d"))
+    whole = parsed.groupBy("snapshot").agg(F.min(F.coalesce(F.col("d.version") == 1, F.lit(False))).alias("good"), F.max("d.rows").alias("rows"), F.count("d.row").alias("n"))
+    best = whole.filter("good and rows = n").agg(F.max("snapshot").alias("snapshot"))
+    return parsed.join(best, "snapshot").filter("d.row is not null").select("d.row.*")
 
 
 def exported(rows: DataFrame) -> DataFrame:
