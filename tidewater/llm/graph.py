@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.store import keep
+from tidewater.llm.store import drop, keep
 
 #: Bits of a membership filter: its size whatever it is asked to hold. Full, it lets all pass.
 FILTER_BITS = 1 << 26
@@ -50,12 +50,14 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
     """node and component (its least node) of every node of links (x, y), by large and small stars.
 
     Each round is two sums and joins by node over links alone; the links of a
-    round are written to the shared folder, so no round depends on the one before.
+    round are written to the shared folder, so no round depends on the one before,
+    whose links are deleted.
     """
     edges = keep(links.select("x", "y").filter("x <> y").distinct(), name)
     before = None
     for _ in range(rounds):
-        edges = keep(_small(_large(edges)), name)
+        last, edges = edges, keep(_small(_large(edges)), name)
+        drop(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 40)))).first())
         if now == before:
             break

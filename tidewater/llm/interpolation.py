@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.store import bounded_batches, keep, pack, table, tidy, unpack
+from tidewater.llm.store import bounded_batches, drop, keep, pack, table, tidy, unpack
 from tidewater.llm.words import _MULT, U, Words, _mix
 
 FOLDS, HELD = 7, 2
@@ -256,6 +256,7 @@ def learn(pairs: DataFrame, tokens: int, types: int, rounds: int = ROUNDS) -> np
         last, out = out, np.where(seen[:, None], total / np.maximum(total.sum(1), 1e-300)[:, None], every / every.sum())
         if np.abs(out - last).max() < 1e-9:
             break
+    drop(rows)
     # without P2 the other two make up the whole
     out[0, 0] = 0
     out[0] = out[0] / out[0].sum() if out[0].sum() > 0 else (0, 0.5, 0.5)
@@ -286,6 +287,7 @@ def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     total = said.filter(F.col("origin") == ALL).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
     by_block = said.filter(F.col("origin") != ALL).groupBy("origin").agg(F.collect_list(F.struct("part", "n")).alias("said"))
     known = keep(made.join(by_block, "origin"), "lm-known")
+    drop(made, said)
     weights = learn(held_pairs(known, parts), total.tokens, total.types)
     return scores(known, parts, weights, total.tokens, total.types)
 

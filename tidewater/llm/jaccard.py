@@ -53,7 +53,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.llm.graph import among, components, filter_of, passing
-from tidewater.llm.store import bounded_batches, keep, table, tidy, unused
+from tidewater.llm.store import bounded_batches, drop, keep, table, tidy, unused
 from tidewater.llm.words import U, Words, _mix, grams, signed
 
 WORDS = 5
@@ -446,7 +446,9 @@ def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, name: str, see
     sets = sets_of(docs, wanted, seed, f"jaccard-{name}-sets")
     both = pairs.join(sets.select(F.col("class").alias("x"), F.col("entries").alias("ex")), "x").join(sets.select(F.col("class").alias("y"), F.col("entries").alias("ey")), "y")
     enough = F.size(F.array_intersect("ex", "ey")) >= F.expr("(4 * (nx + ny) + 8) div 9")
-    return keep(both.filter(enough).select("x", "y"), f"jaccard-{name}-links")
+    links = keep(both.filter(enough).select("x", "y"), f"jaccard-{name}-links")
+    drop(pairs, wanted, sets)
+    return links
 
 
 def classed(docs: DataFrame) -> tuple[int, DataFrame, DataFrame]:
@@ -476,14 +478,17 @@ def join(docs: DataFrame, hot: int = HOT, square: int = SQUARE) -> DataFrame:
     worth = keep(pivots.filter((4 * F.col("c") >= need) & (45 * F.col("c") >= F.col("nx") + F.col("ny"))), "jaccard-likely")
     best = [worth.groupBy(me, F.pmod(it, F.lit(2))).agg(F.max(F.struct("c", it, "nx", "ny")).alias("m")).select(me, f"m.{it}", "m.nx", "m.ny") for me, it in (("x", "y"), ("y", "x"))]
     links = linked(docs, _may_link_pairs(best[0].unionByName(best[1]).distinct(), classes), classes, "first", seed)
+    drop(worth)
     parts = keep(components(links, "jaccard-first"), "jaccard-parts")
     entries = met.filter("s is not null").select("s", F.col("x").alias("class"), F.col("nx").alias("n"))
     entries = entries.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     # the join has dealt entries by class already
     entries = keep(entries.withColumn("q", F.count("*").over(W.partitionBy("class")).cast("int")), "jaccard-entries")
+    drop(met, parts)
     # parities go along with entries of columns that more than one component has
     pairs = across(met_by_two(entries, square).join(classes.select("class", "bits"), "class")).groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c")).filter(F.col("c") >= need)
     more = linked(docs, pairs, classes, "second", seed)
+    drop(entries)
     parts = keep(components(links.unionByName(more), "jaccard-second"), "jaccard-parts")
     named = classes.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -47,7 +47,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.store import bounded_batches, keep, others, pack, table, tidy, unpack, unused
+from tidewater.llm.store import bounded_batches, drop, keep, others, pack, table, tidy, unpack, unused
 from tidewater.llm.words import _MULT, SPACE, U, Words, _mix, grams
 
 ORDER, POINT = 5, 21
@@ -224,8 +224,9 @@ def discounts(level: DataFrame) -> DataFrame:
     return of.select("model", "fold", *d)
 
 
-def likelihoods(counts: DataFrame) -> DataFrame:
-    """model, fold, high, low, logp: for each gram of texts of a half, its log probability by the model of the other half."""
+def likelihoods(counts: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
+    """model, fold, high, low, logp: for each gram of texts of a half, its log probability by the model of the other half. held gets what was kept on the way."""
+    held = [] if held is None else held
     key = ["model", "fold", "high", "low"]
     counts = counts.withColumnRenamed("n", "c")
     level = counts.select(*key, "c")
@@ -235,6 +236,7 @@ def likelihoods(counts: DataFrame) -> DataFrame:
     for k in range(ORDER - 1, 0, -1):
         levels[k] = keep(levels[k + 1].groupBy("model", "fold", *_ending(k)).agg(F.count("*").alias("c")), f"perplexity-level-{k}")
         wanted[k] = keep(wanted[k + 1].select("model", "fold", *_ending(k)).distinct(), f"perplexity-asked-{k}")
+        held += [levels[k], wanted[k]]
     below = None
     for k in range(1, ORDER + 1):
         d = discounts(levels[k])
@@ -255,6 +257,7 @@ def likelihoods(counts: DataFrame) -> DataFrame:
         below = rows.select(*key, p.alias("p"))
         if k < ORDER:
             below = keep(below, f"perplexity-order-{k}")
+            held.append(below)
     return below.select("model", (1 - F.col("fold")).alias("fold"), "high", "low", F.log("p").cast("float").alias("logp"))
 
 
@@ -323,7 +326,9 @@ def summed(texts: list[str], models: list[str], look) -> np.ndarray:
 def score(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with BASE, base_failed, _model (the language judged by) and log_perplexity (null without code points)."""
     counts = keep(counted(docs, text, lang), "perplexity-counts")
-    found = keep(likelihoods(counts), "perplexity-grams")
+    held = [counts]
+    found = keep(likelihoods(counts, held), "perplexity-grams")
+    drop(*held)
     n = found.count()
     if n > SENT:
         return _scored_in_parts(docs, found, -(-n // PART), text, lang)

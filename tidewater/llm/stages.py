@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.llm import bpe, jaccard, mixing, perplexity, substrings
-from tidewater.llm.store import aside, fresh_path, keep, table, unused
+from tidewater.llm.store import aside, keep, table, unused
+from tidewater.session import fresh_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

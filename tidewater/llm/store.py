@@ -1,11 +1,9 @@
-"""Where operators keep what must outlive a stage, and how they meet Arrow."""
+"""Where operators keep what must outlive a stage (tidewater.session names the folder), and how they meet Arrow."""
 
 from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,35 +11,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.session import fresh_path
+
 #: Rows and bytes of an Arrow batch: long texts stay far below a worker's memory.
 BATCH_ROWS = 512
 BATCH_BYTES = 4 << 20
 
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir. Where it is unset, a local folder if all run in this process; else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir is unset: on {master}, name a folder that all executors see")
-        app = spark.sparkContext.applicationId
-        found = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tidewater-"))
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there."""
+    """Write df to the shared folder and read it back: lineage ends there. See drop."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def drop(*kept: DataFrame) -> None:
+    """Delete what keep wrote: all that was made of it must have been written by now."""
+    for df in kept:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(spark.sessionState().newHadoopConf()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

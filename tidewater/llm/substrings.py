@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.graph import among, filter_of
-from tidewater.llm.store import bounded_batches, keep, others, table, tidy, unused
+from tidewater.llm.store import bounded_batches, drop, keep, others, table, tidy, unused
 from tidewater.llm.words import U, Words, _mix, grams, signed
 
 WINDOW = 20
@@ -246,7 +246,9 @@ def spans(docs: DataFrame, name: str = "repeats") -> DataFrame:
     follows = (F.lag("source").over(order) == F.col("source")) & (F.lag("source_key").over(order) == F.col("source_key")) & (F.lag("start").over(order) + F.lag("size").over(order) == F.col("start")) & (F.lag("source_start").over(order) + F.lag("size").over(order) == F.col("source_start"))
     marked = found.withColumn("island", F.sum(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).over(order))
     whole = marked.groupBy("doc", "key", "island").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.min("source_start").alias("source_start"), F.first("source").alias("source"), F.first("source_key").alias("source_key"))
-    return whole.select("doc", "key", "start", (F.col("size") + WINDOW - 1).cast("int").alias("words"), "source", "source_key", "source_start")
+    out = keep(whole.select("doc", "key", "start", (F.col("size") + WINDOW - 1).cast("int").alias("words"), "source", "source_key", "source_start"), f"{name}-spans")
+    drop(found)
+    return out
 
 
 def _print(words: list[bytes], start: int, n: int) -> bytes:
@@ -298,11 +300,12 @@ def strip(docs: DataFrame, texts: bool = True) -> DataFrame:
     doc, key, cut = unused(own.columns, "_doc", "_key", "_cut")
     own = own.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(key, F.xxhash64("doc_id", "text"))
     narrow = own.select("text", F.col(doc).alias("_doc"), F.col(key).alias("_key"))
-    found = keep(spans(narrow), "repeats-spans")
+    found = spans(narrow)
     place = ["source", "source_key", "source_start", "words"]
     prints = told(narrow, found).toDF(*place, "print")
     lists = found.join(prints, place, "left").groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("start", "words", "print"))).alias(cut))
     lists = keep(lists, "repeats-by-text")
+    drop(found)
     # texts that lose nothing are digested where they are read and not shuffled
     sent = docs.sparkSession.sparkContext.broadcast(filter_of(lists.select("key")))
     lists = lists.select(F.col("doc").alias(doc), F.col("key").alias(key), cut)

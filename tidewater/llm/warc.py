@@ -43,7 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.store import bounded_batches, fresh_path, keep, table, tidy
+from tidewater.llm.store import bounded_batches, drop, keep, table, tidy
+from tidewater.session import fresh_path
 
 MIN_BYTES = 100
 DATE = "2025-01-01T00:00:00Z"
@@ -227,6 +228,7 @@ def deduplicate(spark: SparkSession, path: str, resolved: DataFrame, to: str) ->
 
         _write(_files(spark, own).mapInArrow(tidy(run), "value binary"), to, "append")
         sent.destroy()
+    drop(revisits)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +237,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = fresh_path(spark, "warc"), fresh_path(spark, "warc-deduplicated")
     write_archive(pages, first)
     headers = keep(read_archive(spark, first), "warc-headers")
-    deduplicate(spark, first, keep(resolve(headers), "warc-resolved"), second)
+    resolved = keep(resolve(headers), "warc-resolved")
+    deduplicate(spark, first, resolved, second)
+    drop(headers, resolved)
     return read_archive(spark, second).select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
