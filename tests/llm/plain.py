@@ -75,7 +75,7 @@ def merged(symbols, pairs):
         ids[i : i + 2] = [new]
 
 
-def log_perplexities(rows, half, order=5, points=0x110000):
+def log_perplexities(rows, half, order, points=0x110000):
     """Log perplexity of each (text, lang) by a modified Kneser-Ney model of the language's texts of the other half."""
     counts = defaultdict(Counter)
     pad = " " * (order - 1)

@@ -37,7 +37,7 @@ def test_perplexity_equals_plain_counting(spark, rows, monkeypatch, sent, part,
     own = [(t, lang) for _, t, lang, _ in rows] + [("x y z " * 30, "alone"), ("中文的字 " * 40, "zh"), ("中文字的 " * 40, "zh"), ("abc", None)]
     df = spark.createDataFrame([(i, *r, "mine", "mine") for i, r in enumerate(own)], "doc_id long, text string, lang string, _low string, log_perplexity string").repartition(3)
     got = {r.doc_id: r for r in perplexity.score(df).collect()}
-    expected = plain.log_perplexities(own, perplexity.half)
+    expected = plain.log_perplexities(own, perplexity.half, perplexity.ORDER)
     assert len(got) == len(own)
     for i, x in enumerate(expected):
         assert got[i].log_perplexity is x is None or math.isclose(got[i].log_perplexity, x, rel_tol=1e-6)
@@ -66,14 +66,15 @@ def test_slices_change_nothing(monkeypatch):
 
 
 def test_probabilities_sum_to_one(spark):
-    texts = ["abracadabra", "abrakadabra", "ab", "cab cad"]
-    counts = spark.createDataFrame([(" " * 4 + t)[i : i + 5] for t in texts for i in range(len(t))], "string").groupBy("value").count().collect()
-    code = lambda g: (sum(ord(c) << 21 * i for i, c in enumerate(reversed(g[:2]))), sum(ord(c) << 21 * i for i, c in enumerate(reversed(g[2:]))))
+    texts, n = ["abracadabra", "abrakadabra", "ab", "cab cad"], perplexity.ORDER
+    counts = Counter((" " * (n - 1) + t)[i : i + n] for t in texts for i in range(len(t)))
+    number = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(reversed(g)))
+    code = lambda g: (number(g[:-3]), number(g[-3:]))
     letters = sorted(set("".join(texts)) | {" ", "z"})
-    asked = [(h + c) for h in ("abra", "zzab", "  ca", "zzzz") for c in letters]
-    rows = [("=x", 0, *code(r.value), r["count"]) for r in counts] + [("=x", 1, *code(g), 1) for g in asked]
+    contexts = [h[1 - n :] for h in ("abra", "zzab", "  ca", "zzzz")]
+    rows = [("=x", 0, *code(g), c) for g, c in counts.items()] + [("=x", 1, *code(h + c), 1) for h in contexts for c in letters]
     found = {(r.high, r.low): math.exp(r.logp) for r in perplexity.likelihoods(spark.createDataFrame(rows, "model string, fold int, high long, low long, n long")).collect() if r.fold == 1}
-    for h in ("abra", "zzab", "  ca", "zzzz"):
+    for h in contexts:
         # all that is missing is the uniform part of the letters not asked for
         total = sum(found[code(h + c)] for c in letters)
         least = min(found[code(h + c)] for c in letters)

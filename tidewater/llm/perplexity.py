@@ -7,7 +7,7 @@ digest says in which half it is, and it is scored by the model of the *other*
 half, so neither its own grams nor those of its copies make it look likely.
 
 Spark counts the grams of all texts (sums within a task come before the
-shuffle), exactly: a gram is two numbers of three and two code points. From
+shuffle), exactly: a gram is two numbers, of its last three code points and of those before. From
 there on the model is joins and sums over distinct grams: lower orders are
 continuation counts (distinct grams with that ending), the three discounts of
 each order come from its counts of counts (Chen and Goodman), a context's total
@@ -50,7 +50,7 @@ from pyspark.sql import types as T
 from tidewater.llm.store import bounded_batches, drop, keep, others, pack, table, tidy, unpack, unused
 from tidewater.llm.words import _MULT, SPACE, U, Words, _mix, grams
 
-ORDER, POINT = 5, 21
+ORDER, POINT = 4, 21
 #: Code points there are: what order 0 is uniform over.
 POINTS = 0x110000
 #: Code points that are read at a time.
@@ -90,8 +90,12 @@ def slices(texts: list[str]):
         for i in range(ORDER - 1):
             inside[first + i] = False
         at = np.flatnonzero(inside)
-        low = (cp[at - 2] << U(2 * POINT)) | (cp[at - 1] << U(POINT)) | cp[at]
-        return np.repeat(np.array(owners, np.int64), size - (ORDER - 1)), (cp[at - 4] << U(POINT)) | cp[at - 3], low
+        high, low = (np.zeros(len(at), U) for _ in range(2))
+        for i in range(ORDER - 1, 2, -1):
+            high = (high << U(POINT)) | cp[at - i]
+        for i in (2, 1, 0):
+            low = (low << U(POINT)) | cp[at - i]
+        return np.repeat(np.array(owners, np.int64), size - (ORDER - 1)), high, low
 
     parts, owners, held = [], [], 0
     for i, text in enumerate(texts):
