@@ -40,6 +40,26 @@ def test_url_rules(spark):
     assert all(r.verdict in ("allow", "block") for r in got.values()) and urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_rules_of_one_length_and_tables_of_one_kind(spark):
+    df = spark.createDataFrame([(1, "http://a.xx/yy/1"), (2, "http://xx/yy/"), (3, None)], "page_id long, url string")
+    for rules in ([("allow", "xx", "/yy/"), ("block", "a.xx", "/yy")], [("block", "a.xx", "/yy"), ("allow", "xx", "/yy/")]):
+        got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(df, rules=rules).collect()}
+        # the longer of two rules wins, the first of equals
+        assert got == {1: ("a.xx/yy", "block"), 2: ("xx/yy/", "allow"), 3: (None, got[3][1])}
+    for rules in ([("allow", "xx", "/"), ("block", "xx", "/")], [("block", "xx", "/"), ("allow", "xx", "/")]):
+        assert {r.verdict for r in urls.filter_urls(df.filter("page_id < 3"), rules=rules).collect()} == {rules[0][0]}
+
+
+def test_the_whole_url_is_read(spark):
+    rows = [(i, f"http://h{i % 7}.org/fr/x?topic={'gambling' if i % 2 else 'cooking'}{i}") for i in range(200)]
+    rows += [(1000 + i, f"http://h{i % 7}.com/de/x?topic={'gambling' if i % 2 else 'cooking'}{i}") for i in range(20)]
+    rules = [("allow", "org", "/fr/x"), ("block", "net", "/")]
+    rows += [(2000 + i, f"http://h{i % 7}.net/fr/x?topic=gambling{i}") for i in range(200)]
+    rows = [r for r in rows if r[0] >= 1000 or not r[0] % 2]
+    got = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    assert [got[1000 + i] for i in range(20)] == ["block" if i % 2 else "allow" for i in range(20)]
+
+
 def test_url_model_learns_what_rules_say(spark):
     rng = random.Random(0)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))

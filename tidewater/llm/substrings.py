@@ -53,6 +53,8 @@ FILTER_BITS = 1 << 27
 LAST = 2**63 - 1
 #: Minimizers that a task sums up before it sends them on.
 FLUSH = 1 << 21
+#: Paths that are matched at a time.
+CHUNK = 1 << 14
 #: Places of a source text that one row asks for, about.
 ASKED = 4096
 
@@ -184,14 +186,18 @@ def matches(found: DataFrame) -> DataFrame:
     """doc, key, start, size (windows), source, source_key, source_start: windows that start earlier elsewhere."""
     names = ["doc", "key", "start", "size", "source", "source_key", "source_start"]
 
-    def resolve(v, doc, key, start, size, edges):
+    def resolve(v, doc, key, start, size, edges, known):
+        """Matches among paths, and with the first places known; what is known then of the last minimizer."""
         h = np.frombuffer(b"".join(edges), U)
         rep = np.repeat(np.arange(len(v)), size)
         at = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size) + start[rep]
-        v, doc, key = v[rep], doc[rep], key[rep]
+        last = v[-1]
+        v, doc, key, at, h = (np.concatenate(x) for x in zip(known, (v[rep], doc[rep], key[rep], at, h), strict=True)) if known else (v[rep], doc[rep], key[rep], at, h)
         order = np.lexsort((at, doc, h, v))
         v, doc, key, at, h = v[order], doc[order], key[order], at[order], h[order]
         new = np.concatenate([[True], (v[1:] != v[:-1]) | (h[1:] != h[:-1])])
+        first = np.flatnonzero(new & (v == last))
+        known = v[first], doc[first], key[first], at[first], h[first]
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = np.flatnonzero((doc > doc[head]) | ((doc == doc[head]) & (at > at[head])))
         head = head[later]
@@ -201,10 +207,11 @@ def matches(found: DataFrame) -> DataFrame:
         length = np.diff(np.append(edge, len(later)))
         later, head = later[edge], head[edge]
         i32 = lambda x: pa.array(x.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(key[later]), i32(at[later]), i32(length), pa.array(doc[head]), pa.array(key[head]), i32(at[head])], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(key[later]), i32(at[later]), i32(length), pa.array(doc[head]), pa.array(key[head]), i32(at[head])], names=names), known
 
     def run(batches):
-        held, size = [], 0
+        """Paths of a minimizer come by text and place, so an edge's first place is met first; of a minimizer only first places are held."""
+        held, size, known = [], 0, None
         for batch in batches:
             there = batch.column(5).is_valid()
             done = batch.filter(pc.invert(there))
@@ -214,19 +221,14 @@ def matches(found: DataFrame) -> DataFrame:
             if own.num_rows:
                 held.append(own)
                 size += own.num_rows
-            if size < 1 << 14:
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            v = rows.column(0).to_numpy()
-            cut = int(np.searchsorted(v, v[-1]))
-            if cut:
-                yield resolve(*_arrays(rows.slice(0, cut)))
-            held = rows.slice(cut).to_batches()
-            size = rows.num_rows - cut
+            if size >= CHUNK:
+                out, known = resolve(*_arrays(pa.Table.from_batches(held)), known)
+                yield out
+                held, size = [], 0
         if held:
-            yield resolve(*_arrays(pa.Table.from_batches(held)))
+            yield resolve(*_arrays(pa.Table.from_batches(held)), known)[0]
 
-    rows = found.repartition("minimizer").sortWithinPartitions("minimizer")
+    rows = found.repartition("minimizer").sortWithinPartitions("minimizer", "doc", "start")
     return rows.mapInArrow(tidy(run), "doc long, key long, start int, size int, source long, source_key long, source_start int")
 
 
