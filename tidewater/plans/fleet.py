@@ -816,6 +816,23 @@ def artifact_links(t):
     return rows.select("p_partkey", "a.info_hash", F.size("a.pieces").alias("pieces"), K.artifact_magnet(F.col("a")).alias("link"))
 
 
+@query("A25 L3 L4", "SELECT n_name AS name, (10 * strlen(n_name))::BIGINT AS length, 16::BIGINT AS piece_length, ((10 * strlen(n_name) + 15) // 16)::INT AS pieces, sha1(repeat(n_name, 10)[1:16]) AS first_piece, 'http://a.example.net' AS tracker, NULL::VARCHAR AS error FROM nation")
+def artifact_files(t):
+    """Metadata files written to a folder and read back, one for each nation's name ten times over."""
+    from tidewater.functions import codecs as K
+    from tidewater.session import fresh_path
+    from tidewater.sources import content
+
+    @F.pandas_udf("binary")
+    def build(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: K.build_artifact(n, n.encode() * 10, 16, ["http://a.example.net"]))
+
+    path = fresh_path(t.spark, "artifacts")
+    content.put_artifacts(t.nation.select(build("n_name").alias("data")), path)
+    read = content.artifacts(t.spark, path, "part-*")
+    return read.select("name", "length", "piece_length", F.size("pieces").alias("pieces"), F.get("pieces", 0).alias("first_piece"), F.get("trackers", 0).alias("tracker"), "error")
+
+
 @query("A17 A19 M13", """WITH d AS (SELECT hex(encode(text)) AS h FROM documents WHERE strlen(text) > 0), p AS (SELECT substr(h, i * 8192 + 1, 8192) AS h FROM (SELECT h, unnest(range(0, (length(h) + 8191) // 8192)) AS i FROM d))
 SELECT sha256(unhex(h)) AS sha256, count(*) AS copies, max(length(h) // 2)::INT AS length FROM p GROUP BY 1""")
 def chunk_store(t):

@@ -45,6 +45,12 @@ def artifacts(spark: SparkSession, path: str, pattern: str = "*.torrent") -> Dat
     return files(spark, path, pattern).select("path", read_artifact("content").alias("a")).select("path", "a.*")
 
 
+def put_artifacts(rows: DataFrame, path: str, data: str = "data") -> None:
+    """L4: each metadata file of a column as a file of its own; the writer's line end is the `e` that ends the dictionary."""
+    own = rows.select(F.expr(f"cast(substring(`{data}`, 1, octet_length(`{data}`) - 1) AS string)").alias("value"))
+    own.write.option("lineSep", "e").option("maxRecordsPerFile", 1).text(path)
+
+
 def pieces(rows: DataFrame, data: str, length: int) -> DataFrame:
     """Rows cut to pieces: piece number, its bytes and their SHA-1; the last one is what remains."""
     count = F.ceil(F.octet_length(data) / length).cast("int")
