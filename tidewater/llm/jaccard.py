@@ -61,7 +61,7 @@ WORDS = 5
 PERCENT = 80
 HOT = 1 << 16
 #: A shingle is told of if a task meets it so often among SEEN shingles; the sum must be HOT_LEAST.
-HOT_LOCAL, HOT_LEAST, SEEN = 4, 16, 1 << 22
+HOT_LOCAL, HOT_LEAST, SEEN = 4, 16, 1 << 21
 #: Classes in a cell of a column (about) and in a block of one; prefix entries that a task sums up before it sends them on.
 WIDE, SQUARE, FLUSH = 1 << 15, 1 << 12, 1 << 19
 #: Hashes that are tried one after the other.

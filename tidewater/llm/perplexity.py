@@ -56,7 +56,7 @@ POINTS = 0x110000
 #: Code points that are read at a time.
 SLICE = 1 << 19
 #: Grams that a task sums up before it sends them on, grams of arrays that go to every task, grams in a part, and code points in a block.
-FLUSH, SENT, PART, BLOCK = 1 << 20, 1 << 21, 1 << 20, 1 << 20
+FLUSH, SENT, PART, BLOCK = 1 << 19, 1 << 21, 1 << 20, 1 << 20
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 #: A band reaches this many interquartile ranges below the first and above the third quartile.
@@ -269,16 +269,29 @@ def arrays(found: DataFrame, parts: int = 1) -> DataFrame:
     """part, kind (0), origin (0), keys and values: the grams of found (likelihoods) as hashes and log probabilities, some at a time, by range of the hash."""
 
     def run(batches):
+        held, size = [], 0
+
+        def out():
+            key, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key)
+            key, value = key[order], value[order].astype(np.float32)
+            for part, at in _by_part(key, parts):
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([0], pa.int32()), pa.array([0]), pa.array([pack(_steps(key[at]))]), pa.array([value[at].tobytes()])], names=["part", "kind", "origin", "keys", "data"])
+
         for batch in batches:
+            if not batch.num_rows:
+                continue
             model, fold = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             known = {x: U(seed_of(*x)) for x in set(zip(model, fold, strict=True))}
             seed = np.array([known[x] for x in zip(model, fold, strict=True)], U)
             high, low = (batch.column(i).to_numpy(zero_copy_only=False).view(U) for i in (2, 3))
-            key = hashed(high, low, seed)
-            order = np.argsort(key)
-            key, value = key[order], batch.column(4).to_numpy(zero_copy_only=False)[order]
-            for part, at in _by_part(key, parts):
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([0], pa.int32()), pa.array([0]), pa.array([pack(_steps(key[at]))]), pa.array([value[at].astype(np.float32).tobytes()])], names=["part", "kind", "origin", "keys", "data"])
+            held.append((hashed(high, low, seed), batch.column(4).to_numpy(zero_copy_only=False)))
+            size += batch.num_rows
+            if size >= FLUSH:
+                yield from out()
+                held, size = [], 0
+        if held:
+            yield from out()
 
     return found.mapInArrow(tidy(run), PACKED)
 

@@ -15,7 +15,9 @@ from tidewater.session import fresh_path
 
 #: Rows and bytes of an Arrow batch: long texts stay far below a worker's memory.
 BATCH_ROWS = 512
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: Rows of a batch that goes back.
+OUT_ROWS = 1 << 14
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -112,7 +114,10 @@ def tidy(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iter
             for name, forget in KEPT.items():
                 if name != keeps:
                     forget()
-            yield from run(batches)
+            for out in run(batches):
+                # the JVM holds what it is given outside its heap
+                for lo in range(0, max(1, out.num_rows), OUT_ROWS):
+                    yield out.slice(lo, OUT_ROWS)
         finally:
             _release()
 

@@ -52,7 +52,7 @@ SEED = 8
 FILTER_BITS = 1 << 27
 LAST = 2**63 - 1
 #: Minimizers that a task sums up before it sends them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 #: Paths that are matched at a time.
 CHUNK = 1 << 14
 #: Places of a source text that one row asks for, about.
@@ -107,7 +107,9 @@ def _sum(parts):
     order = np.argsort(key)
     key, n = key[order], n[order]
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    return key[edge], np.add.reduceat(n, edge) if len(edge) else n
+    # more than one is all that is asked
+    n = np.minimum(np.add.reduceat(n, edge, dtype=np.int64), 2).astype(np.int8) if len(edge) else n
+    return key[edge], n
 
 
 def repeated_minimizers(docs: DataFrame) -> DataFrame:
@@ -119,11 +121,11 @@ def repeated_minimizers(docs: DataFrame) -> DataFrame:
         def out():
             key, n = _sum(parts)
             for i in range(0, len(key), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key[i : i + (1 << 16)])), pa.array(np.minimum(n[i : i + (1 << 16)], 2).astype(np.int8))], names=["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key[i : i + (1 << 16)])), pa.array(n[i : i + (1 << 16)])], names=["key", "n"])
 
         for batch in batches:
             p = Paths(batch.column(0))
-            parts.append(_sum([(p.minimizer, np.ones(len(p.minimizer), np.int64))]))
+            parts.append(_sum([(p.minimizer, np.ones(len(p.minimizer), np.int8))]))
             size += len(parts[-1][0])
             if size > FLUSH:
                 yield from out()
