@@ -95,3 +95,12 @@ def test_odd_documents(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, folder).collect()
         stage(spark, docs.limit(0), folder).collect()
+
+
+def test_stages_return_heap_first(spark, folder):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = table(spark, folder, "documents").limit(3)
+    before = full()
+    stages.encoded(spark, docs, folder)
+    assert full() > before

@@ -53,7 +53,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.llm.graph import among, components, filter_of, passing
-from tidewater.llm.store import bounded_batches, drop, keep, table, tidy, unused
+from tidewater.llm.store import bounded_batches, drop, give_back, keep, table, tidy, unused
 from tidewater.llm.words import U, Words, _mix, grams, signed
 
 WORDS = 5
@@ -448,6 +448,7 @@ def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, name: str, see
     enough = F.size(F.array_intersect("ex", "ey")) >= F.expr("(4 * (nx + ny) + 8) div 9")
     links = keep(both.filter(enough).select("x", "y"), f"jaccard-{name}-links")
     drop(pairs, wanted, sets)
+    give_back(docs.sparkSession)
     return links
 
 
@@ -472,6 +473,7 @@ def join(docs: DataFrame, hot: int = HOT, square: int = SQUARE) -> DataFrame:
     order = spark.sparkContext.broadcast(Order(often.column("class").to_numpy().astype(np.int64).view(U), often.column("df").to_numpy()))
     met = keep(stars(postings(docs, order, seed)), "jaccard-columns")
     order.destroy()
+    give_back(spark)
     pivots = met.filter("s is null").groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c"))
     need = F.greatest(F.lit(1), F.expr("(4 * (nx + ny) + 8) div 9 - greatest((4 * nx + 4) div 5, (4 * ny + 4) div 5) + 1"))
     # these pairs only save work later on: likely ones and two pivots a row (the best of each half of them) will do
@@ -511,6 +513,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     gone = found.filter("n_shingles > 0").join(stay, "group").filter("row <> stays").select("row")
     twice = found.filter("n_shingles > 0").groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row")
     test = passing(docs.sparkSession, filter_of(gone.unionByName(twice).select(F.col("row").alias("key"))))
+    give_back(docs.sparkSession)
     own = docs.withColumn(name, row_of(F.col("doc_id"), F.xxhash64("text")))
     asked = test(F.col(name))
     safe = own.filter(~asked)

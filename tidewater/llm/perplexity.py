@@ -47,7 +47,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.store import bounded_batches, drop, keep, others, pack, table, tidy, unpack, unused
+from tidewater.llm.store import bounded_batches, drop, give_back, keep, others, pack, table, tidy, unpack, unused
 from tidewater.llm.words import _MULT, SPACE, U, Words, _mix, grams
 
 ORDER, POINT = 4, 21
@@ -346,6 +346,7 @@ def score(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     held = [counts]
     found = keep(likelihoods(counts, held), "perplexity-grams")
     drop(*held)
+    give_back(docs.sparkSession)
     n = found.count()
     if n > SENT:
         return _scored_in_parts(docs, found, -(-n // PART), text, lang)

@@ -37,6 +37,17 @@ def drop(*kept: DataFrame) -> None:
         path.getFileSystem(spark.sessionState().newHadoopConf()).delete(path, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let executors collect their heaps and return what is free to the system.
+
+    A heap grows to its limit over many jobs and stays there, mostly free, while
+    buffers outside it and Python workers come on top. A task a core is run, so each
+    executor gets one; where explicit collections are disabled nothing happens.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, in this session from now on; a caller's own lower bounds stay."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.graph import among, filter_of
-from tidewater.llm.store import bounded_batches, drop, keep, others, table, tidy, unused
+from tidewater.llm.store import bounded_batches, drop, give_back, keep, others, table, tidy, unused
 from tidewater.llm.words import U, Words, _mix, grams, signed
 
 WINDOW = 20
@@ -252,6 +252,7 @@ def spans(docs: DataFrame, name: str = "repeats") -> DataFrame:
     whole = marked.groupBy("doc", "key", "island").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.min("source_start").alias("source_start"), F.first("source").alias("source"), F.first("source_key").alias("source_key"))
     out = keep(whole.select("doc", "key", "start", (F.col("size") + WINDOW - 1).cast("int").alias("words"), "source", "source_key", "source_start"), f"{name}-spans")
     drop(found)
+    give_back(docs.sparkSession)
     return out
 
 
@@ -310,6 +311,7 @@ def strip(docs: DataFrame, texts: bool = True) -> DataFrame:
     lists = found.join(prints, place, "left").groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("start", "words", "print"))).alias(cut))
     lists = keep(lists, "repeats-by-text")
     drop(found)
+    give_back(docs.sparkSession)
     # texts that lose nothing are digested where they are read and not shuffled
     sent = docs.sparkSession.sparkContext.broadcast(filter_of(lists.select("key")))
     lists = lists.select(F.col("doc").alias(doc), F.col("key").alias(key), cut)
